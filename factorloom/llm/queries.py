@@ -18,6 +18,13 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), F.col("score").cast("long"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (doc_id, item_id) pairs of documents that hold an item."""
+    from factorloom.llm.decontamination import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.warc import archive
 
@@ -38,6 +45,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(read(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -59,6 +73,15 @@ ORACLE: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op10_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+             f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM l WHERE regexp_matches(line, '[^\s]')),
+             w AS (SELECT a.doc_id, a.i, a.place AS p1, b.place AS p2, a.line || chr(10) || b.line AS key FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+             r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM w),
+             g AS (SELECT doc_id, p1 AS place FROM r WHERE n > 1 UNION SELECT doc_id, p2 FROM r WHERE n > 1),
+             k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS kept
+                   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)""",
     "op5_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
              b AS (SELECT *, (('0x' || substr(key, 1, 6))::BIGINT) % 4096 AS bucket FROM d),
