@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.toxicity import held_out_scores
+
+    return held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.topk import top_k
 
@@ -45,6 +51,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.language import held_out_languages
+
+    return held_out_languages(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.lines import drop_repeated_lines
 
