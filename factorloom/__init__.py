@@ -1,0 +1 @@
+"""Cross-sectional factor analytics on Spark DataFrames."""
