@@ -16,7 +16,11 @@ from factorloom.functions import finite, safe_div
 
 class TickerWindow:
     def __init__(self, ticker: str = "ticker", date: str = "date"):
-        self.all = Window.partitionBy(ticker).orderBy(date)
+        self.ticker, self.date = ticker, date
+
+    @property
+    def all(self) -> WindowSpec:
+        return Window.partitionBy(self.ticker).orderBy(self.date)
 
     def rows(self, n: int) -> WindowSpec:
         return self.all.rowsBetween(-(n - 1), 0)
