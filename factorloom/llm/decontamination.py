@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, i64, rolling, slices, with_only
+from factorloom.llm.common import i64, rolling, slices, with_only
 
 #: Units whose name is a slot of its own; fixed values.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years usd eur gbp dollars euros cents percent mph kmh kph w kw kwh v a hz khz mhz ghz b kb mb gb tb".split())
@@ -18,6 +20,7 @@ NUMBER = re.compile(r"[$€£]?[-+]?\d[\d,._:/]*(?:[eE][-+]?\d+)?%?")
 NUMBER_UNIT = re.compile(r"([$€£]?[-+]?\d[\d,._]*)([A-Za-z]{1,5})")
 EDGE = re.compile(r"^\W+|\W+$")
 SENTENCE_END = frozenset(".?!:\n")
+NAME = xxhash.xxh3_64_intdigest(b"<name>")
 PARTS = re.compile(r"\n|[^\s]+")
 
 
@@ -38,14 +41,15 @@ class Canon:
 
     @staticmethod
     def fresh(raw: str, starts: bool) -> list[tuple[str, str | None]]:
-        bare = EDGE.sub("", raw)
-        signed = raw.strip(".,;:!?()[]{}\"'")
-        if not bare:
-            return []
-        if NUMBER.fullmatch(signed) or NUMBER.fullmatch(bare):
-            return [("<num>", bare)]
-        if m := NUMBER_UNIT.fullmatch(bare):
-            if m[2].lower() in UNITS:
+        bare = raw.strip(punctuation)
+        if not bare.isalpha():
+            bare = EDGE.sub("", raw)
+            signed = raw.strip(".,;:!?()[]{}\"'")
+            if not bare:
+                return []
+            if NUMBER.fullmatch(signed) or NUMBER.fullmatch(bare):
+                return [("<num>", bare)]
+            if (m := NUMBER_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
                 return [("<num>", m[1]), ("<unit>", m[2].lower())]
         low = bare.lower()
         if low in UNITS and len(low) > 1:
@@ -68,6 +72,70 @@ class Canon:
         return words, values
 
 
+class TemplateHashes(dict):
+    """Numbers by raw word, and by number the hashes of its template words; starts anew at ``most`` words."""
+
+    LINE = "\ue000"  # stands for a line's end between the words
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.first = np.zeros((1024, 2), np.uint64)  # inside a sentence, at its start
+        self.second = np.zeros(1024, np.uint64)
+        self.size = np.zeros(1024, np.int8)
+        self.ends = np.zeros(1024, bool)
+
+    def __missing__(self, raw: str) -> int:
+        i = self[raw] = len(self)
+        if i == len(self.size):
+            self.first, self.second, self.size, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.second, self.size, self.ends))
+        if raw == self.LINE:
+            self.ends[i] = True
+            return i
+        core = raw.rstrip(".,;:!?")
+        if core != raw:
+            self.ends[i] = raw[-1] in SENTENCE_END
+        if core.isalpha() and core not in UNITS:
+            if core.islower():  # the same wherever it stands: most words
+                self.size[i], self.first[i] = 1, xxhash.xxh3_64_intdigest(core.encode())
+                return i
+            if (low := core.lower()) not in UNITS and core[0].isupper() and core[1:].islower():
+                self.size[i], self.first[i] = 1, (NAME, xxhash.xxh3_64_intdigest(low.encode()))
+                return i
+        for starts in (0, 1):
+            found = Canon.fresh(raw, bool(starts))
+            self.size[i] = len(found)
+            for place, (w, _) in enumerate(found):
+                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                if place:
+                    self.second[i] = h
+                else:
+                    self.first[i, starts] = h
+        return i
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's template words, as ``Canon.template`` finds them."""
+        if not text:
+            return np.empty(0, np.uint64)
+        if len(self) > self.most:
+            self.reset()
+        parts = text.replace("\n", f" {self.LINE} ").split()
+        at = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        if not len(at):
+            return np.empty(0, np.uint64)
+        starts = np.append(True, self.ends[at[:-1]])
+        h, size = self.first[at, starts.astype(np.int64)], self.size[at]
+        if (size != 1).any():
+            two = np.cumsum(size)[size == 2] - 1
+            h = np.repeat(h, size)
+            h[two] = self.second[at[size == 2]]
+        return h
+
+
 def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool, only: np.ndarray | None = None) -> DataFrame:
     """``(id, at, n, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
 
@@ -77,22 +145,21 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
     kind = dict(table.dtypes)[id_col]
 
     def cut(batches):
-        canon, hashes = Canon(), WordHashes()
+        canon, hashes = Canon(), TemplateHashes()
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):
                 ids = batch.column(id_col)
                 row, at, total, out, slots = [], [], [], [], []
                 for i, text in enumerate(batch.column(text_col).to_pylist()):
-                    words, values = canon.template(text)
-                    h = hashes.of([w.encode("utf-8", "surrogatepass") for w in words])
-                    w = rolling(h, width)
-                    size = width
-                    if short and 0 < len(words) < width:
-                        w, size = rolling(h, len(words)) ^ np.uint64(len(words)), len(words)
+                    h = hashes.of(text)
+                    w, size = rolling(h, width), width
+                    if short and 0 < len(h) < width:
+                        w, size = rolling(h, len(h)) ^ np.uint64(len(h)), len(h)
                     keep = np.arange(len(w))
                     if only is not None and len(w):
                         spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
                         keep = np.flatnonzero(only[spot] == w)
+                    values = canon.template(text)[1] if len(keep) else []
                     for j in keep.tolist():
                         row.append(i)
                         at.append(j)
