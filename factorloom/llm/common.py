@@ -77,7 +77,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word; forgets all once it holds ``most`` words, so a task's memory is bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
+    def __init__(self, seed: int = 0, most: int = 300_000):
         super().__init__()
         self.seed, self.most = seed, most
 

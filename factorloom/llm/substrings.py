@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import WordHashes, delete, i64, mixed, new_path, rolling, saved, slices, words
@@ -108,11 +108,19 @@ def exact_windows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(cut, f"key long, check long, id {kind}, row int, start int, new boolean")
 
 
-def by_small_side(docs: DataFrame, side: DataFrame, how: str, most_rows: int = 500_000) -> DataFrame:
-    """Documents joined to a row for each of some of them; texts are not shuffled while ``side``, which is saved, has at most ``most_rows`` rows."""
+def by_small_side(docs: DataFrame, side: DataFrame, how: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """Documents joined to the ``ranges`` of some of them; texts are not shuffled while ``side``, which is saved, is of at most ``most_bytes``."""
     side = saved(side, "by-document")
-    small = side.limit(most_rows + 1).count() <= most_rows
-    return docs.join(F.broadcast(side) if small else side, ["id", "row"], how)
+    size = side.agg(F.sum(F.lit(96) + F.size("ranges") * 32)).first()[0] or 0
+    return docs.join(F.broadcast(side) if size <= most_bytes else side, ["id", "row"], how)
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """Ranges of a document that touch or overlap as one."""
+    order = Window.partitionBy("id", "row").orderBy("a", "b")
+    ranges = ranges.withColumn("reach", F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.withColumn("part", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranges.groupBy("id", "row", "part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("part")
 
 
 class Index:
@@ -164,7 +172,8 @@ class Index:
         if history is not None:
             prints = prints.union(history.select("fp", "id"))
         twice = prints.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("fp")
-        shared = saved(found.join(twice, "fp", "left_semi"), "shared")
+        # tables of their own on both sides of a join: Spark splits a hot fingerprint then
+        shared = saved(found.join(saved(twice, "twice"), "fp", "left_semi"), "shared")
         own = first_of(shared)
         if history is None:
             firsts = own.withColumn("new", F.lit(True))
@@ -180,10 +189,10 @@ class Index:
         wanted = placed.where("not covered and new").select("fp", "id", "row", "a", "b", F.lit(True).alias("new"))
         if history is not None:
             wanted = wanted.union(firsts.where("not new").select("fp", "first.id", "first.row", "first.a", "first.b", F.lit(False)))
-        wanted = wanted.join(unclear, "fp", "left_semi").select("id", "row", "a", "b", "new")
+        wanted = wanted.join(saved(unclear, "unclear"), "fp", "left_semi").select("id", "row", "a", "b", "new")
         windows = saved(exact_windows(texts, wanted, self.width), "windows")
         least = windows.groupBy("key", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "check", "least")
-        verified = windows.where("new").join(least, ["key", "check"]).where(F.col("id") > F.col("least"))
+        verified = windows.where("new").join(saved(least, "least"), ["key", "check"]).where(F.col("id") > F.col("least"))
         ranges = ranges.union(verified.select("id", "row", F.col("start").alias("a"), F.col("start").alias("b")))
         fresh = first_of(found).select("fp", "ctx", "first.*")
         if history is not None:
@@ -202,7 +211,7 @@ def first_of(rows: DataFrame) -> DataFrame:
 def kept_words(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` of ``(id, row, text)`` rows: words that none of the windows covers, joined by a space."""
     kind = dict(docs.dtypes)["id"]
-    lists = ranges.groupBy("id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    lists = merged(ranges).groupBy("id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     rows = by_small_side(docs, lists, "left").select("id", "text", "ranges")
 
     def cut(batches):
