@@ -1,77 +1,123 @@
-"""Token counts: pieces are counted once per distinct pre-token, ids are never materialised."""
+"""Token counts: pieces once per distinct pre-token, joined to each document's pre-token frequencies; ids are never materialised."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from factorloom.llm.common import slices, with_only, words
+from factorloom.llm.common import saved, slices, with_only
 
 
-class PieceCounts(dict):
-    """Pieces by pre-token.  A pre-token is a run of bytes between ASCII white space.
+def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each pre-token of ``texts`` and the pre-token itself, a run of bytes between ASCII white space."""
+    parts = pc.ascii_split_whitespace(texts)
+    row, part = pc.list_parent_indices(parts), pc.list_flatten(parts)
+    some = pc.greater(pc.binary_length(part), 0)
+    return row.filter(some).to_numpy(), part.filter(some)
 
-    The tokenizer drops white space and never lets a piece span it, so a text has
-    as many tokens as its pre-tokens have together.  Each distinct one is encoded
-    once; at ``most`` entries the table starts anew, so memory is bounded.
-    """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+def distinct_parts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(part, seen)``: every distinct pre-token, and in how many slices of the texts it stands."""
+
+    def found(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col, 8 << 20):
+                part = pc.unique(pre_tokens(batch.column(text_col))[1])
+                yield pa.RecordBatch.from_arrays([part], names=["part"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of its own, as tasks of few bytes are long here: encoding is what takes the time
+    return with_only(docs, text_col).mapInArrow(found, "part string").repartition(n, "part").groupBy("part").agg(F.count("*").alias("seen"))
+
+
+def piece_counts(parts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``pieces`` of each row's ``part``, as the tokenizer gives them without added special tokens."""
+
+    def count(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self) + len(parts) > self.most:
-            self.clear()
-        new = [p for p in parts if p not in self]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.update(zip(some, map(len, coded), strict=True))
-
-    def total(self, text: str | None) -> int:
-        parts = words(text)
-        try:
-            return sum(map(self.__getitem__, parts))
-        except KeyError:
-            self.learn(set(parts))
-            return sum(map(self.__getitem__, parts))
-
-
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for whole in batches:
+            for batch in slices(whole, "part", 4 << 20):
+                coded = tokenizer.encode_batch_fast(batch.column("part").to_pylist(), add_special_tokens=False)
+                yield batch.append_column("pieces", pa.array(map(len, coded), pa.int64()))
+
+    return parts.mapInArrow(count, "part string, seen long, pieces long")
+
+
+def frequent(counts: DataFrame, most: int) -> float:
+    """The least level of ``seen`` at which at most ``most`` pre-tokens stand; levels are eighths of a power of two, so there are few."""
+    left = most
+    least = float("inf")
+    for level, n in counts.groupBy(_level().alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= n
+        if left < 0:
+            break
+        least = level
+    return least
+
+
+def _level():
+    return F.floor(F.log2("seen") * 8).cast("double")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, most: int = 1_000_000) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of every whole text.
 
-    The table of distinct pre-tokens is kept by each task and joined there to the
-    frequencies of its own documents, so nothing is shuffled.  Special strings in a
-    text count as the library counts them by default; none are added.  A null or
-    empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows are
-    counted each; other columns are ignored.
+    The tokenizer drops white space and never lets a piece span it, so a text has as many tokens as its
+    pre-tokens have together.  Pieces are counted once for each distinct pre-token of all texts.  The most
+    frequent ones, at most ``most``, are broadcast and joined to a document's frequencies where it is read; all
+    others, each in few slices of the texts, by a shuffled join.  Special strings in a text count as the library
+    counts them by default; none are added.  A null or empty text has 0 bytes and 0 tokens; a null id stays null;
+    repeated rows are counted each; other columns are ignored.
     """
-
-    def count(batches):
-        table = PieceCounts(tokenizer_path)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    docs = with_only(docs, id_col, text_col).toDF("id", "text")
+    counts = saved(piece_counts(distinct_parts(docs, "text"), tokenizer_path), "pieces")
+    least = frequent(counts, most)
+    known = counts.where(_level() >= least).select("part", "pieces").toArrow().combine_chunks()
+    rest = counts.where(_level() < least).select("part", "pieces")
+    table = spark.sparkContext.broadcast((pa.array(known.column("part").to_pylist(), pa.string()), known.column("pieces").to_numpy()))
+
+    names = ["id", "h", "n_bytes", "n", "part"]
+
+    def joined(batches):
+        """A row of each document with the tokens of its frequent pre-tokens, then its other pre-tokens with their frequencies."""
+        part_of, pieces_of = table.value
         for whole in batches:
-            for batch in slices(whole, text_col, 8 << 20):
-                texts = batch.column(text_col).to_pylist()
-                parts: set[bytes] = set()
-                for t in texts:
-                    parts.update(words(t))
-                    if len(parts) > table.most // 2:  # one very long part of a batch at a time
-                        table.learn(parts)
-                        parts = set()
-                table.learn(parts)
-                n = [table.total(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
-                )
-
-    kind = dict(docs.dtypes)[id_col]
-    return with_only(docs, id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+            for batch in slices(whole, "text", 8 << 20):
+                n = batch.num_rows
+                row, part = pre_tokens(batch.column("text"))
+                coded = part.dictionary_encode()
+                at = pc.index_in(coded.dictionary, value_set=part_of)
+                pieces = np.append(pieces_of, 0)[pc.fill_null(at, len(part_of)).to_numpy()]
+                code = coded.indices.to_numpy()
+                tokens = np.bincount(row, pieces[code], n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
+                size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), size, pa.array(tokens), pa.nulls(n, pa.string())], names=names)
+                other = pc.is_null(at).to_numpy(zero_copy_only=False)[code] if len(row) else np.zeros(0, bool)
+                pairs, times = np.unique(row[other].astype(np.int64) << 32 | code[other], return_counts=True)
+                for i in range(0, len(pairs), 100_000):
+                    some, where = pairs[i : i + 100_000], pairs[i : i + 100_000] >> 32
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(where)), batch.column("h").take(pa.array(where)), pa.nulls(len(some), pa.int64()), pa.array(times[i : i + 100_000].astype(np.int64)), coded.dictionary.take(pa.array(some & 0xFFFFFFFF))],
+                        names=names,
+                    )
+
+    rows = docs.withColumn("h", F.xxhash64("text")).mapInArrow(joined, f"id {kind}, h long, n_bytes long, n long, part string")
+    if not rest.isEmpty():
+        # a document's own row goes with a key that no pre-token equals, so that these rows spread over the tasks of the join
+        rows = rows.withColumn("part", F.coalesce("part", F.concat(F.lit(" "), F.col("h").cast("string")))).join(rest, "part", "left")
+        rows = rows.withColumn("n", F.col("n") * F.coalesce("pieces", F.lit(1)))
+        # repeated rows have the same count, so they are summed together and set apart again
+        rows = rows.groupBy("id", "h").agg(F.count("n_bytes").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"))
+        rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("n", (F.col("n") / F.col("copies")).cast("long"))
+    return rows.select(F.col("id").alias(id_col), "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))

@@ -208,11 +208,27 @@ def test_token_counts(spark, texts, docs):
     library = Tokenizer.from_file(path)
     odd = ["<|endoftext|> a<|startoftext|>b", "don't STOP it now", "é ́x", "ΟΔΟΣ ΣΑΣ", "日本語テキスト 12345", "a\x1cb\x85c", "𝔘𝔫 🙂🙂"]
     more = spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(odd)], SCHEMA)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(docs.select(*more.columns).union(more).where("doc_id is not null"), path).collect()}
-    for i, t in [*texts, *((1000 + i, t) for i, t in enumerate(odd))]:
-        if i is not None:
-            n = len(library.encode(t or "", add_special_tokens=False).ids)
-            assert got[i] == (len((t or "").encode()), n, n > 2048), t
+    for most in (1_000_000, 20, 0):  # all pre-tokens frequent, some, none
+        got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(docs.select(*more.columns).union(more).where("doc_id is not null"), path, most=most).collect()}
+        for i, t in [*texts, *((1000 + i, t) for i, t in enumerate(odd))]:
+            if i is not None:
+                n = len(library.encode(t or "", add_special_tokens=False).ids)
+                assert got[i] == (len((t or "").encode()), n, n > 2048), t
+
+
+def test_token_counts_of_repeated_and_empty_rows(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+
+    from factorloom.llm.token_counts import token_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "a b", 1), (None, "a b", 2), (7, None, 3), (7, "", 4), (7, " \n", 5), (7, " \n", 6), (8, "zz " * 5000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
+    for most in (1_000_000, 0):
+        got = sorted((tuple(r) for r in token_counts(docs, path, most=most).collect()), key=str)
+        assert [r[:2] for r in got] == [(7, 0), (7, 0), (7, 2), (7, 2), (8, 15000), (None, 3), (None, 3)]
+        assert [r[2] for r in got[:4]] == [0] * 4 and got[4][3] and got[5] == got[6] and got[5][2] == 2
+        assert token_counts(docs.where("false"), path, most=most).count() == 0
 
 
 def test_language(spark):
