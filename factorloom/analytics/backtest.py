@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,3 +78,41 @@ def walk_forward(panel: DataFrame, features: Sequence[str], steps: Sequence[Span
 
     w, r = union(weights), union(realised)
     return {"weights": w, "returns": period_returns(w, r, cost_bps), "exposures": exposures(w), "ic": union(ics)}
+
+
+def buckets(start: date, end: date, months: int) -> list[tuple[date, date]]:
+    """The first and last days of the spans of ``months`` from ``start`` on, the last one cut at ``end``."""
+    if start > end:
+        raise ValueError("a holdout ends before it starts")
+    out, a = [], start
+    while a <= end:
+        b = add_months(a, months)
+        out.append((a, min(b - timedelta(days=1), end)))
+        a = b
+    return out
+
+
+def holdout(panel: DataFrame, features: Sequence[str], start: date, end: date, *, months: int = 3, model: str = "ridge", threshold: float = 0.0, cost_bps: float = 0.0, cap: float = 0.25, settle=None, **params) -> dict[str, DataFrame]:
+    """One model of all tradable rows before ``start``, held against the spans from ``start`` to ``end``, both days included.
+
+    Gaps are filled with the training rows' statistics.  Each span has the last score of a ticker; its IC compares these with the
+    return of the same row.
+    """
+    panel = tradable(labels(relative_return(panel), threshold))
+    panel = settle(panel) if settle else panel
+    day = F.to_date("date")
+    train = panel.where(day < F.lit(start))
+    values = fill_values(train, features)
+    fitted = models.fit(filled(train, values), features, model, **params)
+    period = F.lit(None).cast("date")
+    for a, b in buckets(start, end, months):
+        period = F.when(day.between(F.lit(a), F.lit(b)), F.lit(a)).otherwise(period)
+    test = filled(panel.where(day.between(F.lit(start), F.lit(end))), values)
+    scored = models.scores(test, fitted).select(period.alias("period"), "date", "ticker", "score", "next_period_return")
+    scored = settle(scored) if settle else scored
+    final = scored.groupBy("period", "ticker").agg(F.max_by(F.struct("score", "next_period_return"), "date").alias("last"), (F.product(1 + F.coalesce("next_period_return", F.lit(0.0))) - 1).alias("ret"))
+    final = final.select("period", "ticker", "last.score", "last.next_period_return", "ret")
+    w = heuristic_weights(final.select("period", "ticker", "score"), cap=cap)
+    w = settle(w) if settle else w
+    ic = daily_ic(long_factors(final.withColumnRenamed("period", "date"), ["score"], "next_period_return")).select(F.col("date").alias("period"), "ic", "rank_ic")
+    return {"weights": w, "returns": period_returns(w, final.select("period", "ticker", "ret"), cost_bps), "exposures": exposures(w), "ic": ic}

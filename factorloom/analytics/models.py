@@ -69,6 +69,14 @@ def scores(rows: DataFrame, fitted) -> DataFrame:
     return out.withColumn("score", F.col("prediction") - 1).drop("_x", "rawPrediction", "prediction")
 
 
+def signals(rows: DataFrame, fitted) -> DataFrame:
+    """``signal``: the predicted class -1, 0 or 1, or the sign of the prediction."""
+    kind, model = fitted
+    out = model.transform(rows)
+    signal = F.signum("prediction") if kind == "value" else F.col("prediction") - 1
+    return out.select(*rows.columns, signal.alias("signal"))
+
+
 def importances(fitted, features: Sequence[str]) -> list[tuple[str, float]]:
     last = fitted[1].stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else [abs(v) for v in last.coefficients]
