@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import saved, slices, with_only
 
+#: Longer pre-tokens are never broadcast, so ``most`` entries have a bound in bytes too: 44 each at most.
+LONGEST = 32
+
 
 def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The row of each pre-token of ``texts`` and the pre-token itself, a run of bytes between ASCII white space."""
@@ -54,10 +57,10 @@ def piece_counts(parts: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> float:
-    """The least level of ``seen`` at which at most ``most`` pre-tokens stand; levels are eighths of a power of two, so there are few."""
+    """The least level of ``seen`` at which at most ``most`` pre-tokens of up to LONGEST bytes stand; levels are eighths of a power of two, so there are few."""
     left = most
     least = float("inf")
-    for level, n in counts.groupBy(_level().alias("level")).count().orderBy(F.desc("level")).collect():
+    for level, n in counts.where(F.octet_length("part") <= LONGEST).groupBy(_level().alias("level")).count().orderBy(F.desc("level")).collect():
         left -= n
         if left < 0:
             break
@@ -74,7 +77,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     The tokenizer drops white space and never lets a piece span it, so a text has as many tokens as its
     pre-tokens have together.  Pieces are counted once for each distinct pre-token of all texts.  The most
-    frequent ones, at most ``most``, are broadcast and joined to a document's frequencies where it is read; all
+    frequent ones, at most ``most`` of up to 32 bytes, are broadcast and joined to a document's frequencies where it is read; all
     others, each in few slices of the texts, by a shuffled join.  Special strings in a text count as the library
     counts them by default; none are added.  A null or empty text has 0 bytes and 0 tokens; a null id stays null;
     repeated rows are counted each; other columns are ignored.
@@ -83,8 +86,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     docs = with_only(docs, id_col, text_col).toDF("id", "text")
     counts = saved(piece_counts(distinct_parts(docs, "text"), tokenizer_path), "pieces")
     least = frequent(counts, most)
-    known = counts.where(_level() >= least).select("part", "pieces").toArrow().combine_chunks()
-    rest = counts.where(_level() < least).select("part", "pieces")
+    is_frequent = (_level() >= least) & (F.octet_length("part") <= LONGEST)
+    known = counts.where(is_frequent).select("part", "pieces").toArrow().combine_chunks()
+    rest = counts.where(~is_frequent).select("part", "pieces")
     table = spark.sparkContext.broadcast((pa.array(known.column("part").to_pylist(), pa.string()), known.column("pieces").to_numpy()))
 
     names = ["id", "h", "n_bytes", "n", "part"]

@@ -218,16 +218,18 @@ def test_token_counts(spark, texts, docs):
 
 def test_token_counts_of_repeated_and_empty_rows(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
 
     from factorloom.llm.token_counts import token_counts
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = [(None, "a b", 1), (None, "a b", 2), (7, None, 3), (7, "", 4), (7, " \n", 5), (7, " \n", 6), (8, "zz " * 5000, 7)]
+    rows = [(None, "a b", 1), (None, "a b", 2), (7, None, 3), (7, "", 4), (7, " \n", 5), (7, " \n", 6), (8, "zz " * 5000, 7), (9, "a" * 40 + " b", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
     for most in (1_000_000, 0):
         got = sorted((tuple(r) for r in token_counts(docs, path, most=most).collect()), key=str)
-        assert [r[:2] for r in got] == [(7, 0), (7, 0), (7, 2), (7, 2), (8, 15000), (None, 3), (None, 3)]
-        assert [r[2] for r in got[:4]] == [0] * 4 and got[4][3] and got[5] == got[6] and got[5][2] == 2
+        assert [r[:2] for r in got] == [(7, 0), (7, 0), (7, 2), (7, 2), (8, 15000), (9, 42), (None, 3), (None, 3)]
+        assert [r[2] for r in got[:4]] == [0] * 4 and got[4][3] and got[6] == got[7] and got[6][2] == 2
+        assert got[5][2] == len(Tokenizer.from_file(path).encode("a" * 40 + " b", add_special_tokens=False).ids)
         assert token_counts(docs.where("false"), path, most=most).count() == 0
 
 
