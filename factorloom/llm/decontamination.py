@@ -25,7 +25,7 @@ PARTS = re.compile(r"\n|[^\s]+")
 
 
 class Canon:
-    """Words to (template word, slot value).  A slot is a number, a unit or a name; a name is a capitalised word inside a sentence."""
+    """Words to (template word, slot value).  A slot is a number, a unit or a name; a name is a capitalised word inside a sentence, in typed templates anywhere."""
 
     def __init__(self, most: int = 500_000):
         self.seen: dict[tuple[str, bool], list[tuple[str, str | None]]] = {}
@@ -58,14 +58,15 @@ class Canon:
             return [("<name>", low)]
         return [(low, None)]
 
-    def template(self, text: str | None) -> tuple[list[str], list[str | None]]:
+    def template(self, text: str | None, typed: bool = False) -> tuple[list[str], list[str | None]]:
+        """``typed``: capitalised words that start a sentence or line are names too."""
         words, values, starts = [], [], True
         for m in PARTS.finditer(text or ""):
             raw = m[0]
             if raw == "\n":
                 starts = True
                 continue
-            for w, v in self.word(raw, starts):
+            for w, v in self.word(raw, starts and not typed):
                 words.append(w)
                 values.append(v)
             starts = raw[-1] in SENTENCE_END
@@ -119,26 +120,31 @@ class TemplateHashes(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """The hashes of a text's template words, as ``Canon.template`` finds them."""
+        return self.both(text)[0]
+
+    def both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of ``of`` and those of the typed template, of as many words."""
         if not text:
-            return np.empty(0, np.uint64)
+            return (np.empty(0, np.uint64),) * 2
         if len(self) > self.most:
             self.reset()
         parts = text.replace("\n", f" {self.LINE} ").split()
         at = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         if not len(at):
-            return np.empty(0, np.uint64)
+            return (np.empty(0, np.uint64),) * 2
         starts = np.append(True, self.ends[at[:-1]])
-        h, size = self.first[at, starts.astype(np.int64)], self.size[at]
+        h, typed, size = self.first[at, starts.astype(np.int64)], self.first[at, 0], self.size[at]
         if (size != 1).any():
             two = np.cumsum(size)[size == 2] - 1
-            h = np.repeat(h, size)
-            h[two] = self.second[at[size == 2]]
-        return h
+            h, typed = np.repeat(h, size), np.repeat(typed, size)
+            h[two] = typed[two] = self.second[at[size == 2]]
+        return h, typed
 
 
 def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool, only: np.ndarray | None = None) -> DataFrame:
-    """``(id, at, n, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
+    """``(id, mode, at, n, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
 
+    ``mode`` is 0 for the template whose sentences start with plain words, 1 for the typed one.
     ``slots`` lists the values in the window's first word, or all words of the last window, each once a text.
     With ``short`` a text of fewer words is one window.  ``only``: sorted hashes to keep.
     """
@@ -149,29 +155,30 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):
                 ids = batch.column(id_col)
-                row, at, total, out, slots = [], [], [], [], []
+                row, modes, at, total, out, slots = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(text_col).to_pylist()):
-                    h = hashes.of(text)
-                    w, size = rolling(h, width), width
-                    if short and 0 < len(h) < width:
-                        w, size = rolling(h, len(h)) ^ np.uint64(len(h)), len(h)
-                    keep = np.arange(len(w))
-                    if only is not None and len(w):
-                        spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
-                        keep = np.flatnonzero(only[spot] == w)
-                    values = canon.template(text)[1] if len(keep) else []
-                    for j in keep.tolist():
-                        row.append(i)
-                        at.append(j)
-                        total.append(len(w))
-                        slots.append([{"place": j + o, "value": values[j + o]} for o in range(size) if values[j + o] is not None])
-                    out.append(w[keep])
+                    for mode, h in enumerate(hashes.both(text)):
+                        w, size = rolling(h, width), width
+                        if short and 0 < len(h) < width:
+                            w, size = rolling(h, len(h)) ^ np.uint64(len(h)), len(h)
+                        keep = np.arange(len(w))
+                        if only is not None and len(w):
+                            spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
+                            keep = np.flatnonzero(only[spot] == w)
+                        values = canon.template(text, mode == 1)[1] if len(keep) else []
+                        for j in keep.tolist():
+                            row.append(i)
+                            modes.append(mode)
+                            at.append(j)
+                            total.append(len(w))
+                            slots.append([{"place": j + o, "value": values[j + o]} for o in range(size) if values[j + o] is not None])
+                        out.append(w[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(total, pa.int32()), i64(np.concatenate(out) if out else np.empty(0, np.uint64)), pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())])))],
-                    names=["id", "at", "n", "hash", "slots"],
+                    [ids.take(pa.array(row, pa.int64())), pa.array(modes, pa.int32()), pa.array(at, pa.int32()), pa.array(total, pa.int32()), i64(np.concatenate(out) if out else np.empty(0, np.uint64)), pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())])))],
+                    names=["id", "mode", "at", "n", "hash", "slots"],
                 )
 
-    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, at int, n int, hash long, slots array<struct<place:int,value:string>>")
+    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, mode int, at int, n int, hash long, slots array<struct<place:int,value:string>>")
 
 
 def contaminated(
@@ -188,7 +195,8 @@ def contaminated(
 ) -> DataFrame:
     """``(id, item_id, coverage, exact, n_slots)``: documents that hold a benchmark item, as it is or re-parameterised.
 
-    Windows of ``width`` template words are hash-joined.  Those of a document and an item that
+    Windows of ``width`` template words are hash-joined, once with sentences' first words as they are and
+    once with those that are capitalised as names: either way may find a copy.  Those of a document and an item that
     lie on one diagonal (same distance between their places) are one copy; it counts if it covers ``least``
     of the item's windows and its slots agree: no slot value of the item stands
     for two values in the document, and none in the document for two of the item.  ``exact``: all values alike.
@@ -210,8 +218,8 @@ def contaminated(
             only = np.array([0], np.uint64)
     found = template_windows(docs, width, id_col, text_col, short=True, only=only)
     d, b = found.alias("d"), items.alias("b")
-    pairs = d.join(b, F.col("d.hash") == F.col("b.hash")).select(F.col("d.id").alias("id"), F.col("b.id").alias("item"), (F.col("d.at") - F.col("b.at")).alias("diagonal"), F.col("b.at").alias("at"), F.col("b.n").alias("n"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d")).alias("slots"))
-    runs = pairs.groupBy("id", "item", "diagonal").agg(F.count_distinct("at").alias("hit"), F.first("n").alias("n"), F.flatten(F.collect_set("slots")).alias("slots"))
+    pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.mode") == F.col("b.mode"))).select(F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.mode").alias("mode"), (F.col("d.at") - F.col("b.at")).alias("diagonal"), F.col("b.at").alias("at"), F.col("b.n").alias("n"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d")).alias("slots"))
+    runs = pairs.groupBy("id", "item", "mode", "diagonal").agg(F.count_distinct("at").alias("hit"), F.first("n").alias("n"), F.flatten(F.collect_set("slots")).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["b"]["place"].alias("place"), x["b"]["value"].alias("item"), x["d"]["value"].alias("doc"))))
     runs = runs.withColumn("coverage", F.col("hit") / F.col("n")).where(F.col("coverage") >= least).withColumn("slots", values)
     pair = F.array_distinct(F.transform("slots", lambda x: F.struct(x["item"], x["doc"])))

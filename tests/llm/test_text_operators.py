@@ -188,6 +188,29 @@ def test_decontamination(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_at_sentence_starts(spark):
+    from factorloom.llm.decontamination import contaminated
+
+    item = "Alice has 12 apples. Bob gives Alice 5 more. How many apples does Alice have"
+    swapped = "Carol has 7 apples. Dave gives Carol 9 more. How many apples does Carol have"
+    mixed_up = "Carol has 7 apples. Dave gives Erin 9 more. How many apples does Frank have"
+    lines = "Put down:\nCarol has 7 apples. Dave gives Carol 9 more. How many apples does Carol have"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, swapped), (3, mixed_up), (4, lines), (5, f"So, {swapped}")], "doc_id long, text string")
+    for most in (1_000_000, 3):
+        got = {r["doc_id"]: (r["coverage"], r["exact"]) for r in contaminated(docs, bench, prefilter_windows=most).collect()}
+        assert got == {1: (1.0, True), 2: (1.0, False), 4: (1.0, False), 5: (1.0, False)}
+
+
+def test_typed_template_hashes_follow_templates():
+    from factorloom.llm.common import WordHashes
+    from factorloom.llm.decontamination import Canon, TemplateHashes
+
+    canon, hashes, one = Canon(), TemplateHashes(), WordHashes()
+    for t in ["Hello World, this is Bob. He ran 5km in 3.5 h! $20 and 10%\nAlice 5 kg -- ... 12:30 Paris", "", None, "in IN In. in, KG kg. Kg"]:
+        assert np.array_equal(hashes.both(t)[1], one.of([w.encode() for w in canon.template(t, True)[0]]))
+
+
 def test_template_hashes_follow_templates():
     from factorloom.llm.common import WordHashes
     from factorloom.llm.decontamination import Canon, TemplateHashes
