@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Sequence
 from string import punctuation
 
 import numpy as np
@@ -20,7 +22,7 @@ NUMBER = re.compile(r"[$€£]?[-+]?\d[\d,._:/]*(?:[eE][-+]?\d+)?%?")
 NUMBER_UNIT = re.compile(r"([$€£]?[-+]?\d[\d,._]*)([A-Za-z]{1,5})")
 EDGE = re.compile(r"^\W+|\W+$")
 SENTENCE_END = frozenset(".?!:\n")
-NAME = xxhash.xxh3_64_intdigest(b"<name>")
+NAME, NUM, UNIT = (xxhash.xxh3_64_intdigest(w) for w in (b"<name>", b"<num>", b"<unit>"))
 PARTS = re.compile(r"\n|[^\s]+")
 
 
@@ -141,12 +143,20 @@ class TemplateHashes(dict):
         return h, typed
 
 
-def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool, only: np.ndarray | None = None) -> DataFrame:
-    """``(id, mode, at, n, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
+def grouped(h: np.ndarray) -> np.ndarray:
+    """The places of template words less those that follow a slot of their own type."""
+    slot = (h == NAME) | (h == NUM) | (h == UNIT)
+    return np.flatnonzero(np.append(True, ~(slot[1:] & (h[1:] == h[:-1]))))[: len(h)]
 
-    ``mode`` is 0 for the template whose sentences start with plain words, 1 for the typed one.
-    ``slots`` lists the values in the window's first word, or all words of the last window, each once a text.
-    With ``short`` a text of fewer words is one window.  ``only``: sorted hashes to keep.
+
+def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool = False, lengths: Sequence[int] = (), only: np.ndarray | None = None) -> DataFrame:
+    """``(id, row, mode, at, n, size, whole, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
+
+    ``mode`` is 0 for the template whose sentences start with plain words, 1 for the typed one, 2 for the typed one with
+    neighbouring slots of a type as one.  ``row`` tells texts of one id apart.
+    ``slots`` lists the values of the window's ``size`` words; of slots made one, that of the first decides (``value``) and ``all`` holds each.
+    With ``short`` a text of fewer words is one window; windows of the ``lengths``, all smaller than ``width``, are cut from any text.
+    ``whole``: the window is the text.  ``only``: sorted hashes to keep.
     """
     kind = dict(table.dtypes)[id_col]
 
@@ -155,30 +165,131 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):
                 ids = batch.column(id_col)
-                row, modes, at, total, out, slots = [], [], [], [], [], []
+                row, key, modes, at, total, sizes, full, out, slots = [], [], [], [], [], [], [], [], []
                 for i, text in enumerate(batch.column(text_col).to_pylist()):
-                    for mode, h in enumerate(hashes.both(text)):
-                        w, size = rolling(h, width), width
-                        if short and 0 < len(h) < width:
-                            w, size = rolling(h, len(h)) ^ np.uint64(len(h)), len(h)
-                        keep = np.arange(len(w))
-                        if only is not None and len(w):
-                            spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
-                            keep = np.flatnonzero(only[spot] == w)
-                        values = canon.template(text, mode == 1)[1] if len(keep) else []
-                        for j in keep.tolist():
-                            row.append(i)
-                            modes.append(mode)
-                            at.append(j)
-                            total.append(len(w))
-                            slots.append([{"place": j + o, "value": values[j + o]} for o in range(size) if values[j + o] is not None])
-                        out.append(w[keep])
+                    plain, typed = hashes.both(text)
+                    group = grouped(typed)
+                    for mode, h in enumerate((plain, typed, typed[group])):
+                        if mode == 2 and len(group) == len(typed):
+                            group = np.arange(len(typed))
+                        cuts = [(width, rolling(h, width))]
+                        if mode < 2:
+                            own = {len(h)} if short and 0 < len(h) < width else set()
+                            cuts += [(k, rolling(h, k) ^ np.uint64(k)) for k in sorted({*lengths, *own}) if k <= len(h)]
+                        values = None
+                        for size, w in cuts:
+                            keep = np.arange(len(w))
+                            if only is not None and len(w):
+                                spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
+                                keep = np.flatnonzero(only[spot] == w)
+                            if not len(keep):
+                                continue
+                            if values is None:
+                                found = canon.template(text, mode > 0)[1]
+                                values = [(v, v) for v in found]
+                                if mode == 2:
+                                    ends = [*group[1:].tolist(), len(found)]
+                                    values = [(found[p], found[p] and " ".join(found[p:q])) for p, q in zip(group.tolist(), ends, strict=True)]
+                            digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                            for j in keep.tolist():
+                                row.append(i)
+                                key.append(digest)
+                                modes.append(mode)
+                                at.append(j)
+                                total.append(len(w))
+                                sizes.append(size)
+                                full.append(size == len(h))
+                                slots.append([{"place": j + o, "value": values[j + o][0], "all": values[j + o][1]} for o in range(size) if values[j + o][0] is not None])
+                            out.append(w[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(modes, pa.int32()), pa.array(at, pa.int32()), pa.array(total, pa.int32()), i64(np.concatenate(out) if out else np.empty(0, np.uint64)), pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())])))],
-                    names=["id", "mode", "at", "n", "hash", "slots"],
+                    [ids.take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), *[pa.array(x, pa.int32()) for x in (modes, at, total, sizes)], pa.array(full, pa.bool_()), i64(np.concatenate(out) if out else np.empty(0, np.uint64)), pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string()), ("all", pa.string())])))],
+                    names=["id", "row", "mode", "at", "n", "size", "whole", "hash", "slots"],
                 )
 
-    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, mode int, at int, n int, hash long, slots array<struct<place:int,value:string>>")
+    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, row long, mode int, at int, n int, size int, whole boolean, hash long, slots array<struct<place:int,value:string,all:string>>")
+
+
+def chains(hits: list[tuple[int, int]], n: int, least: float, drift: int) -> list[list[int]]:
+    """Lists of places in ``hits`` that may be one copy each: ``(at in the item, at in the document)`` in order, on diagonals near each other.
+
+    Those of every single diagonal, and the longest chains of runs where a diagonal differs from the one before by ``drift`` at most.
+    Only those that cover ``least`` of the item's ``n`` windows.
+    """
+    lanes: dict[int, list[int]] = {}
+    for i in sorted(range(len(hits)), key=hits.__getitem__):
+        lanes.setdefault(hits[i][1] - hits[i][0], []).append(i)
+    found = [at for at in lanes.values() if len(at) >= least * n]
+    if len(lanes) == 1 or len({b for b, _ in hits}) < least * n:
+        return found
+    # by run of neighbouring windows of a lane: the best chain that ends in it, from the ends (item, document) of earlier runs
+    runs = []
+    for lane, at in lanes.items():
+        start = 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or hits[at[k]][0] != hits[at[k - 1]][0] + 1:
+                runs.append((lane, at[start:k]))
+                start = k
+    runs.sort(key=lambda r: (hits[r[1][0]], r[0]))
+    ends: dict[int, list[tuple[int, int, int]]] = {}  # by lane: (end in the item, most hits so far, run), rising in both
+    before, held, last = [-1] * len(runs), [0] * len(runs), [0] * len(runs)
+    for j, (lane, at) in enumerate(runs):
+        (b, d), best, prev = hits[at[0]], 0, -1
+        for near in range(lane - drift, lane + drift + 1):
+            e = ends.get(near)
+            if e:
+                # the last earlier run of that lane that ends before this one in item and document
+                k = bisect_left(e, (min(b, d - near), 0, 0)) - 1
+                if k >= 0 and e[k][1] > best:
+                    best, prev = e[k][1], e[k][2]
+        before[j], held[j] = prev, best + len(at)
+        mine = ends.setdefault(lane, [])
+        if mine and mine[-1][1] > held[j]:
+            mine.append((hits[at[-1]][0], mine[-1][1], mine[-1][2]))
+        else:
+            mine.append((hits[at[-1]][0], held[j], j))
+    inner = {p for p in before if p >= 0}
+    for j in range(len(runs)):
+        if j not in inner and before[j] >= 0 and held[j] >= least * n:
+            out, k = [], j
+            while k >= 0:
+                out = runs[k][1] + out
+                k = before[k]
+            found.append(out)
+    return found
+
+
+def copies(pairs: DataFrame, width: int, least: float, drift: int) -> DataFrame:
+    """``(id, item, coverage, exact, n_slots)`` of the chains with slots that agree; one row for each pair of texts and mode at most."""
+    kinds = dict(pairs.dtypes)
+    hits = pairs.groupBy("id", "row", "item", "item_row", "mode", "size").agg(
+        F.first("n").alias("n"), F.max("whole").alias("whole"), F.collect_list(F.struct("at", "doc_at", "slots", "doc_slots")).alias("hits")
+    )
+
+    def judge(batches):
+        for batch in batches:
+            keep, cover, exact, count = [], [], [], []
+            for i, r in enumerate(batch.select(["size", "n", "whole", "hits"]).to_pylist()):
+                rows, best = r["hits"], None
+                for at in chains([(x["at"], x["doc_at"]) for x in rows], r["n"], least, drift):
+                    slots = {(a["place"], a["value"], b["value"], a["all"] == b["all"]) for k in at for a, b in zip(rows[k]["slots"], rows[k]["doc_slots"], strict=False)}
+                    pair = {(a, b) for _, a, b, _ in slots}
+                    if len({a for a, _ in pair}) < len(pair) or len({b for _, b in pair}) < len(pair):
+                        continue
+                    same = all(x[3] and x[1] == x[2] for x in slots)
+                    plain = r["size"] - len(rows[at[0]]["slots"])
+                    if r["size"] < width and not r["whole"] and not same and 2 * plain < width:
+                        continue
+                    one = (len({rows[k]["at"] for k in at}) / r["n"], same, len({x[:3] for x in slots}))
+                    best = one if best is None else max(best, one)
+                if best:
+                    keep.append(i)
+                    cover.append(best[0])
+                    exact.append(best[1])
+                    count.append(best[2])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("item").take(at), pa.array(cover, pa.float64()), pa.array(exact, pa.bool_()), pa.array(count, pa.int64())], names=["id", "item", "coverage", "exact", "n_slots"])
+
+    return hits.mapInArrow(judge, f"id {kinds['id']}, item {kinds['item']}, coverage double, exact boolean, n_slots long")
 
 
 def contaminated(
@@ -187,6 +298,7 @@ def contaminated(
     *,
     width: int = 8,
     least: float = 0.5,
+    drift: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -195,18 +307,21 @@ def contaminated(
 ) -> DataFrame:
     """``(id, item_id, coverage, exact, n_slots)``: documents that hold a benchmark item, as it is or re-parameterised.
 
-    Windows of ``width`` template words are hash-joined, once with sentences' first words as they are and
-    once with those that are capitalised as names: either way may find a copy.  Those of a document and an item that
-    lie on one diagonal (same distance between their places) are one copy; it counts if it covers ``least``
+    Windows of ``width`` template words are hash-joined, once with sentences' first words as they are,
+    once with those that are capitalised as names, and once more with neighbouring slots of a type as one ("Mary Smith" and "Alice"):
+    any of these may find a copy.  Windows of a document and an item that
+    lie on one diagonal (same distance between their places), or in order on diagonals that differ from one to
+    the next by ``drift`` words at most, so that words may be put in or left out, are one copy; it counts if it covers ``least``
     of the item's windows and its slots agree: no slot value of the item stands
     for two values in the document, and none in the document for two of the item.  ``exact``: all values alike.
-    The best diagonal is kept for each pair.
+    The best copy is kept for each pair.
 
     The document side is filtered by the item windows' hashes in each task while there are at most
     ``prefilter_windows`` of them (16 MB), which is checked by a count; beyond that all windows are joined by a shuffle, with the same result.
     Null or empty texts hold nothing; null ids stay null but never match an item that is null;
-    repeated rows are one document; items of fewer words than ``width`` are one window of their own length and only found whole in a
-    document as short; empty tables give no rows.
+    repeated rows are one document; items of fewer words than ``width`` are one window of their own length, found inside any
+    document: with other values only if half of ``width`` are plain words or it is the whole document, since "12 km" stands
+    everywhere; empty tables give no rows.
     """
     items = template_windows(benchmark, width, item_col, item_text_col, short=True).where("id is not null")
     prints = items.select("hash").distinct()
@@ -216,23 +331,15 @@ def contaminated(
         only = np.sort(np.array([r[0] for r in prints.collect()], np.int64).view(np.uint64))
         if not len(only):
             only = np.array([0], np.uint64)
-    found = template_windows(docs, width, id_col, text_col, short=True, only=only)
+    lengths = [r[0] for r in items.where(F.col("size") < width).select("size").distinct().collect()]  # fewer than width
+    found = template_windows(docs, width, id_col, text_col, lengths=lengths, only=only)
     d, b = found.alias("d"), items.alias("b")
-    pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.mode") == F.col("b.mode"))).select(F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.mode").alias("mode"), (F.col("d.at") - F.col("b.at")).alias("diagonal"), F.col("b.at").alias("at"), F.col("b.n").alias("n"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d")).alias("slots"))
-    runs = pairs.groupBy("id", "item", "mode", "diagonal").agg(F.count_distinct("at").alias("hit"), F.first("n").alias("n"), F.flatten(F.collect_set("slots")).alias("slots"))
-    values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["b"]["place"].alias("place"), x["b"]["value"].alias("item"), x["d"]["value"].alias("doc"))))
-    runs = runs.withColumn("coverage", F.col("hit") / F.col("n")).where(F.col("coverage") >= least).withColumn("slots", values)
-    pair = F.array_distinct(F.transform("slots", lambda x: F.struct(x["item"], x["doc"])))
-    runs = runs.withColumns({
-        "pairs": F.size(pair),
-        "left": F.size(F.array_distinct(F.transform("slots", lambda x: x["item"]))),
-        "right": F.size(F.array_distinct(F.transform("slots", lambda x: x["doc"]))),
-        "exact": F.forall("slots", lambda x: x["item"] == x["doc"]),
-        "n_slots": F.size("slots"),
-    })
-    runs = runs.where((F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right")))
-    best = runs.groupBy("id", "item").agg(F.max(F.struct("coverage", "exact", "n_slots")).alias("best"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.coverage", "best.exact", F.col("best.n_slots").cast("long").alias("n_slots"))
+    pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.mode") == F.col("b.mode")) & (F.col("d.size") == F.col("b.size"))).select(
+        "d.id", "d.row", F.col("b.id").alias("item"), F.col("b.row").alias("item_row"), "d.mode", "d.size", F.col("b.n").alias("n"), "d.whole",
+        F.col("b.at").alias("at"), F.col("d.at").alias("doc_at"), F.col("b.slots").alias("slots"), F.col("d.slots").alias("doc_slots"),
+    )
+    best = copies(pairs.distinct(), width, least, drift).groupBy("id", "item").agg(F.max(F.struct("coverage", "exact", "n_slots")).alias("best"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.coverage", "best.exact", "best.n_slots")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -202,6 +202,39 @@ def test_decontamination_of_names_at_sentence_starts(spark):
         assert got == {1: (1.0, True), 2: (1.0, False), 4: (1.0, False), 5: (1.0, False)}
 
 
+def test_decontamination_of_edited_and_short_items(spark):
+    from factorloom.llm.decontamination import contaminated
+
+    item = "a farmer walks to the old market with Smith and sells some of the fresh eggs for 5 dollars then buys bread and milk and cheese before going back to the small farm near the river again"
+    half = item.split()
+    inserted = " ".join([*half[:19], "really", *half[19:]])
+    removed = " ".join([*half[:19], *half[20:]])
+    two = item.replace("Smith", "van Dyke").replace("5 dollars", "$5")
+    names = "we know that Mary Smith meets Bob Jones at the park and then Mary Smith calls Bob Jones at home so Mary Smith can see Bob Jones there"
+    fewer = names.replace("Mary Smith", "Ann").replace("Bob Jones", "Tom")
+    halves = " ".join([*half[19:], *half[:19]])
+    bench = spark.createDataFrame([(1, item), (2, names), (3, "what is the capital of France"), (4, "12 km")], "item_id long, text string")
+    rows = [(1, inserted), (2, removed), (3, two), (4, f"so {fewer} today"), (5, "they ask what is the capital of Spain every day of the year"), (6, "it is 12 km from here to there and back again"), (7, "it is 15 km from here to there and back again"), (8, halves.replace("Smith", "Jones")), (9, "15 km")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1_000_000, 3):
+        got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, prefilter_windows=most).collect()}
+        assert got - {(8, 1)} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4), (9, 4)}
+
+
+def test_chains_against_brute_force():
+    from factorloom.llm.decontamination import chains
+
+    rng = random.Random(9)
+    for _ in range(300):
+        hits = sorted({(rng.randrange(8), rng.randrange(12)) for _ in range(rng.randrange(1, 14))})
+        got = chains(hits, 8, 0.0, 2)
+        for at in got:  # in order, and never far from one diagonal to the next
+            path = [hits[i] for i in at]
+            assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(path, path[1:]))
+            lanes = [d - b for b, d in path]
+            assert len(set(lanes)) == 1 or all(abs(p - q) <= 2 for p, q in zip(lanes, lanes[1:]))
+
+
 def test_typed_template_hashes_follow_templates():
     from factorloom.llm.common import WordHashes
     from factorloom.llm.decontamination import Canon, TemplateHashes
