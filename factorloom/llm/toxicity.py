@@ -123,7 +123,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 150, seed: int = 7) -> Model:
     """Fits on labelled documents for whose id ``usable`` holds; at most ``most_rows`` of them, drawn by hash of the id.
 
-    Four fifths fit the trees, one fifth the calibration.
+    Four fifths fit the trees, one fifth the calibration; where a kind has fewer than 10 rows, or one of the parts lacks a kind, all rows fit both.
+    Without labels of both kinds there is no model.
     """
     drawn = labels.where(usable).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     drawn = drawn.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_rows)
@@ -132,13 +133,16 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column, id_col: str = "
     total = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     rows = sum(total.values())
     rate = total.get(1, 0) / rows if rows else 0.0
-    if len(total) < 2 or min(total.values()) < 10:
+    if len(total) < 2:
         return Model({}, None, None, rate)
     learned = learned_lexicon(sample, most_words)
     table = saved(with_features(sample, learned, ["id", "label"]).repartition(4, "id"), "toxicity-features")
     table = table.select("label", array_to_vector("features").alias("features"), (F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string"))) % 5).alias("fold"))
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=seed).fit(table.where("fold > 0"))
-    raw = trees.transform(table.where("fold = 0")).select(F.col("label").cast("double"), vector_to_array("probability")[1].alias("raw"))
+    few = min(total.values()) < 10 or table.select(F.col("fold") > 0, "label").distinct().count() < 4
+    fit, rest = (table, table) if few else (table.where("fold > 0"), table.where("fold = 0"))
+    leaf = min(5, max(1, min(total.values()) // 2))
+    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=leaf, seed=seed).fit(fit)
+    raw = trees.transform(rest).select(F.col("label").cast("double"), vector_to_array("probability")[1].alias("raw"))
     steps = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="score").fit(raw)
     return Model(learned, trees, steps, rate)
 
@@ -147,7 +151,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """``(id, score)`` of every whole text, 0 to 1.
 
     Null and empty texts score as texts without any feature.  Null ids stay null, repeated rows are scored each, other columns
-    are ignored.  A model of fewer than 10 labels of a kind gives their rate to all.
+    are ignored.  Where labels are of one kind, or there are none, their rate is given to all.
     """
     if model.trees is None:
         return docs.select(F.col(f"`{id_col}`"), F.lit(float(model.rate)).alias("score"))
@@ -168,9 +172,12 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that score below the threshold, all columns as they are; nothing is joined or shuffled."""
+    """The documents that score below the threshold, all columns as they are; nothing is joined or shuffled.
+
+    Without a model nothing tells documents apart, and all stay.
+    """
     if model.trees is None:
-        return docs if model.rate < threshold else docs.limit(0)
+        return docs
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     rows = with_features(whole, model.learned, ["row"]).select("row", array_to_vector("features").alias("features"))
     raw = model.trees.transform(rows).select("row", vector_to_array("probability")[1].alias("raw"))

@@ -356,6 +356,25 @@ def test_toxicity(spark):
     assert [r[0] for r in none] == [0.0]
 
 
+def test_toxicity_of_few_labels(spark):
+    from factorloom.llm.toxicity import held_out_scores, is_held_out, train, without_toxic
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        w = prose(rng, 40).split()
+        if i % 7 == 0:
+            w[7], w[20], w[30] = "you", "moron", "idiot"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in held_out_scores(docs, labels).collect()}
+    assert got == {i: int(i % 7 == 0) for i in range(120)}
+    kept = without_toxic(docs, train(docs, labels, usable=~is_held_out()))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(120) if i % 7}
+    assert without_toxic(docs, train(docs, labels.where("toxic = 1"), usable=~is_held_out())).count() == 120
+
+
 def test_empty_tables(spark, docs):
     from factorloom.llm.jaccard import jaccard_components
     from factorloom.llm.lines import drop_repeated_lines
