@@ -6,7 +6,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import WordHashes, delete, i64, new_path, rolling, saved, slices
@@ -37,6 +37,12 @@ class Shingles:
         return out
 
 
+def set_key(s: np.ndarray) -> int:
+    """A 64-bit hash of a set of tokens, signed."""
+    one = int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))) ^ int(s.sum(dtype=np.uint64)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return one - (1 << 64) if one >> 63 else one
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """One bit for each token's low bits, in the power of two from 4 times as many bits."""
     m = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
@@ -143,7 +149,7 @@ def cell_pairs(key: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarr
 
 
 def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """``(id, n, key, bits, prefix)`` of every document: set size, hash of the set, packed bitmap, and its prefix tokens.
+    """``(id, row, n, key, bits, prefix)`` of every document: set size, hash of the set, packed bitmap, and its prefix tokens.
 
     Two sets that link share a token of their prefixes, the first ``n - ceil(percent n) + 1`` in one global
     order: tokens whose bit in ``heavy`` is unset first, then by hash.
@@ -156,17 +162,17 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 n, key, bits, prefix = [], [], [], []
-                for s in shingles.sets(batch.column("text").to_pylist()):
+                nulls = batch.column("id").is_null().to_pylist()
+                for s, null in zip(shingles.sets(batch.column("text").to_pylist()), nulls, strict=True):
                     n.append(len(s))
                     if not len(s):
                         key.append(None)
                         bits.append(None)
                         prefix.append(None)
                         continue
-                    one = int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))) ^ int(s.sum(dtype=np.uint64)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-                    one = one - (1 << 64) if one >> 63 else one
+                    one = set_key(s)
                     key.append(one)
-                    if one in seen:  # sent already from this task
+                    if null or one in seen:  # links nothing, or sent already from this task
                         bits.append(None)
                         prefix.append(None)
                         continue
@@ -178,9 +184,9 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
                     order = np.lexsort((s, spot))[:most]
                     prefix.append((s[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 lists = pa.array(prefix, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), lists], names=["id", "n", "key", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), lists], names=["id", "row", "n", "key", "bits", "prefix"])
 
-    return docs.mapInArrow(cut, f"id {kind}, n long, key long, bits binary, prefix array<int>")
+    return docs.mapInArrow(cut, f"id {kind}, row long, n long, key long, bits binary, prefix array<int>")
 
 
 def heavy_tokens(docs: DataFrame, k: int, least: int = 32, most: int = 1 << 20) -> np.ndarray:
@@ -247,10 +253,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
         shingles = Shingles(k)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                found = [s.view(np.int64) for s in shingles.sets(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("want"), pa.array(found, pa.list_(pa.int64()))], names=["key", "tokens"])
+                found = shingles.sets(batch.column("text").to_pylist())
+                # rows of one id but other texts: the set of the wanted hash is the one that was sketched
+                at = [i for i, (s, want) in enumerate(zip(found, batch.column("want").to_pylist(), strict=True)) if len(s) and set_key(s) == want]
+                yield pa.RecordBatch.from_arrays([batch.column("want").take(pa.array(at, pa.int64())), pa.array([found[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    # rows of one id but other texts: the set of the wanted size and hash is the one that was sketched
     tokens = saved(rows.mapInArrow(sets, "key long, tokens array<long>"), "token-sets").dropDuplicates(["key"])
     one, two = tokens.select(F.col("key").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -307,7 +314,18 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
     with its size, and is in no component (null).  Rows of one id are documents of their own, linked by their texts.
     Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = with_components(docs, k, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_key(text: Column) -> Column:
+    """Tells rows of one id but other texts apart."""
+    return F.xxhash64(text)
+
+
+def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, row, n, component_id)`` of every row."""
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     heavy = heavy_tokens(docs, k)
     all_rows = saved(sketches(docs, k, percent, heavy), "sketches")
     rows = all_rows.where("id is not null and key is not null")
@@ -337,9 +355,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
     named = reps.join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_key = named.join(names, "root").select("key", "component_id")
-    out = all_rows.select("id", "n", "key").join(of_key, "key", "left")
+    out = all_rows.select("id", "row", "n", "key").join(of_key, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", "row", "n", component.alias("component_id"))
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -405,8 +423,11 @@ def fold_bits(bits: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents less all but the smallest id of each component, all columns as they are; those with a null id or without words stay."""
-    found = jaccard_components(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_copy")).distinct()
-    return docs.join(copies, F.col(f"`{id_col}`") == F.col("_copy"), "left_anti")
+    """The documents less all but the smallest id of each component, all columns as they are; those with a null id or without words stay.
+
+    Rows of one id are judged each by its own text.
+    """
+    found = with_components(docs, k, percent, id_col, text_col)
+    copies = found.where("id <> component_id").select(F.col("id").alias("_copy"), F.col("row").alias("_copy_row")).distinct()
+    return docs.join(copies, (F.col(f"`{id_col}`") == F.col("_copy")) & (row_key(F.col(f"`{text_col}`")) == F.col("_copy_row")), "left_anti")
 

@@ -375,6 +375,22 @@ def test_toxicity_of_few_labels(spark):
     assert without_toxic(docs, train(docs, labels.where("toxic = 1"), usable=~is_held_out())).count() == 120
 
 
+def test_jaccard_of_repeated_and_null_ids(spark):
+    from factorloom.llm.jaccard import jaccard_components, one_of_each
+
+    rng = random.Random(8)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    # two texts of id 5, each with a near copy; a null id before the text that has a near copy
+    rows = [(5, one), (5, two), (6, near(one)), (7, near(two)), (None, three), (8, three), (9, near(three)), (5, "one text of its own that nothing is like")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect() if r["doc_id"])
+        assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)]
+    docs = spark.createDataFrame([(3, one), (5, near(one)), (5, two), (None, one)], "doc_id long, text string").coalesce(1)
+    assert sorted(((r[0] or 0), r[1]) for r in one_of_each(docs).collect()) == sorted([(0, one), (3, one), (5, two)])
+
+
 def test_empty_tables(spark, docs):
     from factorloom.llm.jaccard import jaccard_components
     from factorloom.llm.lines import drop_repeated_lines
