@@ -126,7 +126,7 @@ def merged(ranges: DataFrame) -> DataFrame:
 class Index:
     """Sorted, immutable runs of ``(fp, ctx, id, row, a, b)``: where a stretch of windows was first seen.
 
-    Batches come in order of their ids.  ``texts`` is asked for documents of earlier batches when
+    Batches of one table come in order of their ids; what is in the index is earlier than any batch, whatever its ids.  ``texts`` is asked for documents of earlier batches when
     a match is to be verified.  Runs are Parquet folders sorted by fingerprint; ``compact`` merges them into one.
     """
 
@@ -134,6 +134,7 @@ class Index:
         self.spark, self.width, self.most_runs = spark, width, most_runs
         self.folder = folder or new_path(spark, "substring-index")
         self.runs: list[str] = []
+        self.kept: list[str] = []
         self.kind: str | None = None
 
     def _write(self, rows: DataFrame) -> None:
@@ -141,6 +142,15 @@ class Index:
         rows.sortWithinPartitions("fp", "ctx").write.parquet(path)
         self.runs.append(path)
 
+    def keep(self, rows: DataFrame) -> None:
+        """Keeps ``(id, row, text)`` rows, for matches with tables that are added later."""
+        path = new_path(self.spark, "substring-texts")
+        rows.where("id is not null and text is not null").write.parquet(path)
+        self.kept.append(path)
+
+    def with_kept(self, rows: DataFrame) -> DataFrame:
+        return rows.union(self.spark.read.schema(rows.schema).parquet(*self.kept)) if self.kept else rows
+
     def history(self) -> DataFrame | None:
         if not self.runs:
             return None
@@ -183,7 +193,7 @@ class Index:
             firsts = own.join(known, ["fp", "ctx"], "full").select("fp", "ctx", F.coalesce("known", "first").alias("first"), F.col("known").isNull().alias("new"))
         firsts = saved(firsts, "firsts")
         placed = shared.join(firsts.select("fp", "ctx", F.col("first.id").alias("first_id"), "new"), ["fp", "ctx"])
-        placed = saved(placed.select("fp", "ctx", "id", "row", "a", "b", (F.col("id") > F.col("first_id")).alias("covered"), "new"), "placed")
+        placed = saved(placed.select("fp", "ctx", "id", "row", "a", "b", (F.when(F.col("new"), F.col("id") > F.col("first_id")).otherwise(F.col("id") != F.col("first_id"))).alias("covered"), "new"), "placed")
         ranges = placed.where("covered").select("id", "row", "a", "b")
         unclear = firsts.groupBy("fp").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.max("new").alias("new")).where("low <> high and new").select("fp")
         wanted = placed.where("not covered and new").select("fp", "id", "row", "a", "b", F.lit(True).alias("new"))
@@ -191,8 +201,9 @@ class Index:
             wanted = wanted.union(firsts.where("not new").select("fp", "first.id", "first.row", "first.a", "first.b", F.lit(False)))
         wanted = wanted.join(saved(unclear, "unclear"), "fp", "left_semi").select("id", "row", "a", "b", "new")
         windows = saved(exact_windows(texts, wanted, self.width), "windows")
-        least = windows.groupBy("key", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "check", "least")
-        verified = windows.where("new").join(saved(least, "least"), ["key", "check"]).where(F.col("id") > F.col("least"))
+        least = windows.groupBy("key", "check").agg(F.min(F.struct("new", "id")).alias("first"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+        least = saved(least.select("key", "check", (~F.col("first.new")).alias("old"), F.col("first.id").alias("least")), "least")
+        verified = windows.where("new").join(least, ["key", "check"]).where(F.when(F.col("old"), F.col("id") != F.col("least")).otherwise(F.col("id") > F.col("least")))
         ranges = ranges.union(verified.select("id", "row", F.col("start").alias("a"), F.col("start").alias("b")))
         fresh = first_of(found).select("fp", "ctx", "first.*")
         if history is not None:
@@ -243,13 +254,18 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, batches: int = 2, id_col
     those before it.  Stretches, not windows, are shuffled: about one row for 18 words; windows only where a
     match has to be verified.  A passage in very many documents is counted by aggregation and never paired.
 
+    An ``index`` that is handed in holds the tables before this one, which are earlier whatever their ids, and their texts;
+    this table is added to it.
+
     Null texts have no words; fewer than ``width`` words make no window; documents with a null id are
     returned as they are; rows of one id neither remove from each other nor count as one; repeated rows are alike in result; other columns are ignored;
     an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = with_row(docs, id_col, text_col)
+    lasting = index is not None
     index = index or Index(spark, width)
+    texts = index.with_kept(rows)
     at = [(i + 1) / batches for i in range(batches - 1)]
     cuts = rows.agg(F.percentile_approx("id", at, 1000).alias("cuts")).first()["cuts"] if at else []
     cuts = sorted(set(cuts or []))
@@ -260,6 +276,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, batches: int = 2, id_col
             batch = batch.where(F.col("id") > F.lit(low))
         if high is not None:
             batch = batch.where(F.col("id") <= F.lit(high))
-        found = index.add(batch, rows)
+        found = index.add(batch, texts)
         ranges = found if ranges is None else ranges.union(found)
+    if lasting:
+        index.keep(rows)
     return kept_words(rows, ranges, width).withColumnRenamed("id", id_col)

@@ -391,6 +391,21 @@ def test_jaccard_of_repeated_and_null_ids(spark):
     assert sorted(((r[0] or 0), r[1]) for r in one_of_each(docs).collect()) == sorted([(0, one), (3, one), (5, two)])
 
 
+def test_substring_index_lasts_between_tables(spark):
+    from factorloom.llm.substrings import Index, remove_repeats
+
+    rng = random.Random(12)
+    shared, other = prose(rng, 60), prose(rng, 60)
+    wrap = lambda t: f"{prose(rng, 45)} {t} {prose(rng, 45)}"
+    old = [(10, wrap(shared)), (11, wrap(other))]
+    new = [(20, wrap(shared)), (2, wrap(other)), (21, prose(rng, 90))]
+    again = [(30, wrap(shared)), (1, wrap(other))]
+    index = Index(spark)
+    for rows, want in ((old, {10: 0, 11: 0}), (new, {20: 60, 2: 60, 21: 0}), (again, {30: 60, 1: 60})):
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), index=index, batches=1)
+        assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+
+
 def test_empty_tables(spark, docs):
     from factorloom.llm.jaccard import jaccard_components
     from factorloom.llm.lines import drop_repeated_lines
