@@ -13,7 +13,7 @@ from factorloom.llm.common import read, saved
 from factorloom.llm.decontamination import without_contaminated
 from factorloom.llm.jaccard import one_of_each
 from factorloom.llm.lines import drop_repeated_lines
-from factorloom.llm.mixing import mix
+from factorloom.llm.mixing import in_training_order, mix
 from factorloom.llm.toxicity import is_held_out, train, without_toxic
 
 
@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, and when."""
-    return mix(docs)
+    """The training order: what the mix takes of each document, a row for each time that it is read, by position; those never read at the end."""
+    return in_training_order(mix(docs), untaken=True)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard", jaccard), ("decontamination", decontamination), ("mixing", mixing)]

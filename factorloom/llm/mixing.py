@@ -113,7 +113,12 @@ def mix(
     )
 
 
-def in_training_order(mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row for each time that a document is read, range-sorted by position."""
-    each = F.explode(F.filter(F.array(F.struct(F.lit(1).alias("pass"), F.col("position").alias("at")), F.struct(F.lit(2).alias("pass"), F.col("again_at").alias("at"))), lambda x: x["at"].isNotNull()))
-    return mixed.withColumn("_read", each).select(*[c for c in mixed.columns if c not in ("position", "again_at")], F.col("_read.pass").alias("pass"), F.col("_read.at").alias("position")).orderBy("position", id_col, "pass")
+def in_training_order(mixed: DataFrame, *, id_col: str = "doc_id", untaken: bool = False) -> DataFrame:
+    """One row for each time that a document is read, range-sorted by position.
+
+    With ``untaken`` a document that is never read has one row too, of pass 0 and without position, at the end.
+    """
+    reads = F.filter(F.array(F.struct(F.lit(1).alias("pass"), F.col("position").alias("at")), F.struct(F.lit(2).alias("pass"), F.col("again_at").alias("at"))), lambda x: x["at"].isNotNull())
+    if untaken:
+        reads = F.when(F.size(reads) > 0, reads).otherwise(F.array(F.struct(F.lit(0).alias("pass"), F.lit(None).cast("double").alias("at"))))
+    return mixed.withColumn("_read", F.explode(reads)).select(*[c for c in mixed.columns if c not in ("position", "again_at")], F.col("_read.pass").alias("pass"), F.col("_read.at").alias("position")).orderBy(F.col("position").asc_nulls_last(), id_col, "pass")

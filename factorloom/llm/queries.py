@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import read
+from factorloom.llm.common import read, saved
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factorloom.llm.mixing import mix
+    """Writes the whole training order, range-sorted by position; the rows are read from it, each document's first one."""
+    from factorloom.llm.mixing import in_training_order, mix
 
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    order = saved(in_training_order(mix(read(spark, sf_dir, "documents")), untaken=True), "training-order")
+    return order.where("pass <= 1").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

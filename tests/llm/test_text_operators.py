@@ -406,6 +406,21 @@ def test_substring_index_lasts_between_tables(spark):
         assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
 
 
+def test_training_order_is_whole(spark, texts, docs):
+    import corpus_pipeline
+
+    from factorloom.llm.mixing import mix
+
+    rows = corpus_pipeline.mixing(spark, docs, "").collect()
+    mixed = mix(docs).collect()
+    at = [r["position"] for r in rows]
+    known = [x for x in at if x is not None]
+    assert known == sorted(known) and at == known + [None] * (len(at) - len(known))
+    assert sorted(known) == sorted(x for r in mixed for x in (r["position"], r["again_at"]) if x is not None)
+    assert len([r for r in rows if r["pass"] <= 1]) == len(texts)
+    assert {r["pass"] for r in rows if r["position"] is None} == {0}
+
+
 def test_empty_tables(spark, docs):
     from factorloom.llm.jaccard import jaccard_components
     from factorloom.llm.lines import drop_repeated_lines
