@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import saved
+from factorloom.llm.common import WORD, saved
 
 
 def line_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
@@ -29,11 +29,18 @@ def line_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> D
     return rows.select("id", "row", F.transform("w.part", lambda x: x["place"]).alias("at"), "w.print", F.unhex(F.md5(F.array_join(F.transform("w.part", lambda x: x["line"]), "\n"))).alias("key"))
 
 
+def long_lines(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, row, at, key)``: a row for each line of ``words`` words or more, alone."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("place", "line"))
+    rows = rows.where(F.regexp_count("line", F.lit(WORD)) >= words)
+    return rows.select("id", "row", F.array("place").alias("at"), F.unhex(F.md5("line")).alias("key"))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def repeated_lines(docs: DataFrame, *, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_run: int = 2, single_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, row, gone)``: the line numbers, from 0, that ``drop_repeated_lines`` deletes, for documents that lose any."""
     windows = saved(line_windows(docs, min_run, id_col, text_col), "line-windows")
     # fingerprints that stand at two places or more; a window that repeats has one of them
@@ -41,19 +48,27 @@ def repeated_lines(docs: DataFrame, *, min_run: int = 2, id_col: str = "doc_id",
     shared = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     # every window around a shared fingerprint: the match is extended to both sides a line at a time
     near = windows.withColumn("h", F.col("print.h")).join(shared, "h", "left_semi")
+    later = later_copies(near).select("id", "row", "at")
+    if single_words is not None:
+        later = later.union(later_copies(saved(long_lines(docs, single_words, id_col, text_col), "long-lines")).select("id", "row", "at"))
+    return later.select("id", "row", F.explode("at").alias("line")).groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def later_copies(near: DataFrame) -> DataFrame:
+    """The rows whose ``key`` stands at a smaller place too."""
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.element_at("at", 1).alias("start"))
     first = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    later = near.join(first, "key").where(~place.eqNullSafe(F.col("first")))
-    return later.select("id", "row", F.explode("at").alias("line")).groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    return near.join(first, "key").where(~place.eqNullSafe(F.col("first")))
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, min_run: int = 2, single_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The documents with their text less every later copy of a run of ``min_run`` lines or more; all other columns as they are.
 
     A run of lines (blank ones don't count and don't break it) is a later copy if the same lines follow
     each other at a smaller (id, place), in this document or another.  Windows are judged on
     the texts as they come in.  Every repeat of ``min_run`` lines is found: each window carries its
-    smallest line hash, and equal windows carry equal ones.  A shorter run that repeats stays.
+    smallest line hash, and equal windows carry equal ones.  A shorter run that repeats stays,
+    but for lines of ``single_words`` words or more, if that is given: each is a run by itself, in documents of one line too.
     Copies are counted and their first place found by aggregation, so a line that is in very
     many documents costs a few numbers a task.
 
@@ -61,7 +76,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_run: int = 2, id_col: str = "doc
     alike in id and text share their fate and don't delete each other; no document is
     dropped, though all its lines may go.  ``counts`` adds ``n_lines`` and ``n_removed``, in place of columns of that name.
     """
-    gone = repeated_lines(docs, min_run=min_run, id_col=id_col, text_col=text_col).select(F.col("id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(docs, min_run=min_run, single_words=single_words, id_col=id_col, text_col=text_col).select(F.col("id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     text = F.col(f"`{text_col}`")
     rows = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_row_key", row_key(id_col, text_col))

@@ -421,6 +421,18 @@ def test_training_order_is_whole(spark, texts, docs):
     assert {r["pass"] for r in rows if r["position"] is None} == {0}
 
 
+def test_line_dedup_of_single_lines(spark):
+    from factorloom.llm.lines import drop_repeated_lines
+
+    rng = random.Random(14)
+    long, short, other = prose(rng, 12), prose(rng, 3), [prose(rng, 12) for _ in range(4)]
+    rows = [(1, f"{other[0]}\n{long}\n{short}"), (2, f"{long}\n{other[1]}\n{short}"), (3, long), (4, f"{other[2]}\n\n{long}\n{long}"), (None, long), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in drop_repeated_lines(docs, single_words=8, counts=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"{other[1]}\n{short}", 1), 3: ("", 1), 4: (f"{other[2]}\n", 2), None: ("", 1), 5: (None, 0)}
+    assert {r["n_removed"] for r in drop_repeated_lines(docs, counts=True).collect()} == {0}
+
+
 def test_empty_tables(spark, docs):
     from factorloom.llm.jaccard import jaccard_components
     from factorloom.llm.lines import drop_repeated_lines
