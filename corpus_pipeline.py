@@ -48,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard", jaccard), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: Trained trees, near duplicates by set similarity and slot consistency are beyond SQL; tests/llm holds the brute-force versions.
+#: Trained trees, near duplicates by set similarity and slot consistency are beyond SQL; tests/llm/test_pipeline.py compares run() with plain Python on planted texts.
 ORACLE_SQL = None
 
 
