@@ -24,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_base:
             _own_base[app] = "file://" + tempfile.mkdtemp(prefix="factorloom-")
@@ -64,6 +66,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_frequency(rows: DataFrame, keyed: DataFrame, on: list[str], count: str = "n", share: int = 2000) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, one saved row for each key that tells in ``count`` how many rows have it.
+
+    Keys of more than one in ``share`` of all counted rows, so fewer than ``share`` keys whatever the input, are
+    broadcast: their rows stay where they are.  All others are joined by a shuffle in which no key is large.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * share > F.lit(total)
+    often, seldom = F.broadcast(keyed.where(hot)), keyed.where(~hot)
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti")
+    return rows.join(often, on).unionByName(rest.join(seldom, on))
+
+
 def with_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns, whatever their names, can't clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
