@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WORD, saved
+from factorloom.llm.common import WORD, join_by_frequency, saved
 
 
-def line_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, row, at, print, key)``: a row for each window of ``min_run`` lines that follow each other, blank lines left out.
+def fingerprints(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, row, h, windows)``: a row for each line that winnowing selects, blank lines left out.
 
-    ``print`` is the window's winnowed fingerprint, the smallest (line hash, last
-    place) in it; neighbouring windows mostly select the same.  ``key`` is a digest of the window's lines.
+    Of each window of ``min_run`` lines that follow each other the smallest line hash is selected, the last one of ties;
+    windows next to each other mostly select the same line.  ``windows`` holds those that selected this one: where they start, counted in
+    lines that aren't blank, their line numbers ``at`` and their lines' hashes ``key``.
     """
     lines = F.split(F.col("text"), "\n", -1)
     numbered = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("place")))
     full = F.filter(numbered, lambda x: x["line"].rlike(r"[^\s]"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
-    rows = rows.select("id", "row", full.alias("full")).where(F.size("full") >= min_run)
-    rows = rows.withColumn("hashes", F.transform("full", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), (-x["place"]).alias("p"))))
-    starts = F.sequence(F.lit(1), F.size("full") - F.lit(min_run - 1))
-    window = F.explode(F.transform(starts, lambda i: F.struct(
-        F.slice("full", i, F.lit(min_run)).alias("part"),
-        F.array_min(F.slice("hashes", i, F.lit(min_run))).alias("print"),
-    ))).alias("w")
-    rows = rows.select("id", "row", window)
-    return rows.select("id", "row", F.transform("w.part", lambda x: x["place"]).alias("at"), "w.print", F.unhex(F.md5(F.array_join(F.transform("w.part", lambda x: x["line"]), "\n"))).alias("key"))
+    rows = rows.select("id", "row", F.transform(full, lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["place"].alias("place"))).alias("full")).where(F.size("full") >= min_run)
+    ranked = F.transform("full", lambda x, i: F.struct(x["h"].alias("h"), (-i).alias("p")))
+    rows = rows.select("id", "row", "full", ranked.alias("ranked")).withColumn("starts", F.sequence(F.lit(1), F.size("full") - F.lit(min_run - 1)))
+    rows = rows.withColumn("least", F.transform("starts", lambda i: F.array_min(F.slice("ranked", i, F.lit(min_run)))))
+    rows = rows.withColumn("chosen", F.explode(F.array_distinct("least")))
+    # a window that starts at most min_run - 1 lines before the chosen one may have selected it
+    place = -F.col("chosen.p")
+    first = F.greatest(F.lit(1), place - F.lit(min_run - 2))
+    last = F.least(F.size("starts"), place + 1)
+    mine = F.filter(F.sequence(first, last), lambda i: F.get(F.col("least"), i - 1) == F.col("chosen"))
+    window = F.transform(mine, lambda i: F.struct(
+        i.alias("start"),
+        F.transform(F.slice("full", i, F.lit(min_run)), lambda x: x["place"]).alias("at"),
+        F.transform(F.slice("full", i, F.lit(min_run)), lambda x: x["h"]).alias("key"),
+    ))
+    return rows.select("id", "row", F.col("chosen.h").alias("h"), window.alias("windows"))
 
 
 def long_lines(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, row, at, key)``: a row for each line of ``words`` words or more, alone."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("place", "line"))
     rows = rows.where(F.regexp_count("line", F.lit(WORD)) >= words)
-    return rows.select("id", "row", F.array("place").alias("at"), F.unhex(F.md5("line")).alias("key"))
+    return rows.select("id", "row", F.col("place").alias("start"), F.array("place").alias("at"), F.unhex(F.md5("line")).alias("key"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -42,35 +50,44 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def repeated_lines(docs: DataFrame, *, min_run: int = 2, single_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, row, gone)``: the line numbers, from 0, that ``drop_repeated_lines`` deletes, for documents that lose any."""
-    windows = saved(line_windows(docs, min_run, id_col, text_col), "line-windows")
-    # fingerprints that stand at two places or more; a window that repeats has one of them
-    prints = windows.select("id", "row", F.col("print.h").alias("h"), F.col("print.p").alias("p")).distinct()
-    shared = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    # every window around a shared fingerprint: the match is extended to both sides a line at a time
-    near = windows.withColumn("h", F.col("print.h")).join(shared, "h", "left_semi")
-    later = later_copies(near).select("id", "row", "at")
+    prints = saved(fingerprints(docs, min_run, id_col, text_col), "line-fingerprints")
+    shared = saved(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-fingerprints")
+    windows = join_by_frequency(prints, shared, ["h"]).select("id", "row", F.explode("windows").alias("w")).select("id", "row", "w.start", "w.at", "w.key")
+    later = runs(later_copies(saved(windows, "line-windows")))
     if single_words is not None:
         later = later.union(later_copies(saved(long_lines(docs, single_words, id_col, text_col), "long-lines")).select("id", "row", "at"))
     return later.select("id", "row", F.explode("at").alias("line")).groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def later_copies(near: DataFrame) -> DataFrame:
-    """The rows whose ``key`` stands at a smaller place too."""
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.element_at("at", 1).alias("start"))
-    first = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    return near.join(first, "key").where(~place.eqNullSafe(F.col("first")))
+    """The rows whose ``key`` stands at a smaller place too, with the ``first`` such place: each joins one place, however many there are."""
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("start").alias("start"))
+    first = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "first", "n")
+    return join_by_frequency(near, saved(first, "first-places"), ["key"]).where(~place.eqNullSafe(F.col("first")))
+
+
+def runs(matches: DataFrame) -> DataFrame:
+    """``(id, row, at)``: matches extended both ways, to the longest runs of lines that also follow each other where they first stand.
+
+    Windows that start one line apart, here and in one earlier document, are one run.  Each document's matches are looked at by themselves.
+    """
+    lane = ["id", "row", "first_id", "first_row", "lag"]
+    rows = matches.select("id", "row", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), (F.col("start") - F.col("first.start")).alias("lag"), "start", "at")
+    rows = rows.withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy(*lane).orderBy("start")))
+    return rows.groupBy(*lane, "run").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).select("id", "row", "at")
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_run: int = 2, single_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The documents with their text less every later copy of a run of ``min_run`` lines or more; all other columns as they are.
 
     A run of lines (blank ones don't count and don't break it) is a later copy if the same lines follow
-    each other at a smaller (id, place), in this document or another.  Windows are judged on
-    the texts as they come in.  Every repeat of ``min_run`` lines is found: each window carries its
-    smallest line hash, and equal windows carry equal ones.  A shorter run that repeats stays,
+    each other at a smaller (id, place), in this document or another; all is judged on
+    the texts as they come in.  Winnowing selects the smallest line hash of each ``min_run`` lines, so
+    two runs of as many equal lines share a fingerprint.  Windows around fingerprints that stand at several places are joined to
+    the first place of the same lines (by 64-bit hashes of each line), and matches are extended both ways to whole runs.  A shorter run that repeats stays,
     but for lines of ``single_words`` words or more, if that is given: each is a run by itself, in documents of one line too.
-    Copies are counted and their first place found by aggregation, so a line that is in very
-    many documents costs a few numbers a task.
+    Copies are counted and their first place found by aggregation, and very frequent fingerprints and windows are joined by
+    broadcasts of a bounded number, so a line that is in very many documents is never in one task.
 
     Null texts stay null, empty ones empty; a null id comes last in order; rows
     alike in id and text share their fate and don't delete each other; no document is
@@ -78,11 +95,11 @@ def drop_repeated_lines(docs: DataFrame, *, min_run: int = 2, single_words: int
     """
     gone = repeated_lines(docs, min_run=min_run, single_words=single_words, id_col=id_col, text_col=text_col).select(F.col("id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("gone").alias("_gone"))
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_row_key", row_key(id_col, text_col))
-    rows = rows.join(gone.hint("shuffle_hash"), (F.col("_row_key") == F.col("_gone_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")), "left")
-    lines = F.split(text, "\n", -1)
+    text, of = F.col(f"`{text_col}`"), lambda c: F.col("_doc").getField(c)  # noqa: E731  all columns in one, so that names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), row_key(id_col, text_col).alias("_row_key"))
+    rows = rows.join(gone.hint("shuffle_hash"), (F.col("_row_key") == F.col("_gone_row")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
+    text, lines = F.col("_text"), F.split("_text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("place"))), lambda x: ~F.array_contains(F.col("_gone"), x["place"]))
     less = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
     more = [F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")] if counts else []
-    return rows.select(*[less.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *more)
+    return rows.select(*[less.alias(c) if c == text_col else of(c).alias(c) for c in names], *more)
