@@ -346,4 +346,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     """The documents that hold no benchmark item, all columns as they are; those with a null id stay."""
     id_col = options.get("id_col", "doc_id")
     found = contaminated(docs.where(F.col(f"`{id_col}`").isNotNull()), benchmark, **options).select(F.col(f"`{id_col}`").alias("_found")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("_found"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("_id"))  # so that names can't clash
+    return rows.join(found, F.col("_id") == F.col("_found"), "left_anti").select("_doc.*")

@@ -429,5 +429,6 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
     """
     found = with_components(docs, k, percent, id_col, text_col)
     copies = found.where("id <> component_id").select(F.col("id").alias("_copy"), F.col("row").alias("_copy_row")).distinct()
-    return docs.join(copies, (F.col(f"`{id_col}`") == F.col("_copy")) & (row_key(F.col(f"`{text_col}`")) == F.col("_copy_row")), "left_anti")
-
+    # all columns in one, so that names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), row_key(F.col(f"`{text_col}`")).alias("_row"))
+    return rows.join(copies, (F.col("_id") == F.col("_copy")) & (F.col("_row") == F.col("_copy_row")), "left_anti").select("_doc.*")
