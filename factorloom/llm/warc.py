@@ -105,13 +105,19 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """``(id, url, html, payload_bytes, payload_digest, record_type, refers_to)``: who is a response and who revisits whom.
 
     The smallest id of each digest is summed up before any shuffle, so a page with very many
-    copies costs one row a task.
+    copies costs one row a task, and its copies stay where they are: frequent digests, of a bounded number, are joined by a
+    broadcast, so html of a hot page is not gathered in one task.
     """
     text = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     data = F.encode(text, "UTF-8")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), text.alias("html"), F.octet_length(data).cast("long").alias("payload_bytes"), F.sha2(data, 256).alias("payload_digest"))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("payload_digest", "first")
-    rows = rows.join(first, "payload_digest", "left")
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = saved(first, "warc-copies")
+    often = F.col("copies") * 2000 > F.lit(first.agg(F.sum("copies")).first()[0] or 0)  # true of fewer than 2000 digests
+    known = F.broadcast(first.where(often).select("payload_digest", F.col("first").alias("known")))
+    # html of pages with a frequent digest need not be dealt by it: their join key is one that nothing equals
+    rows = rows.join(known, "payload_digest", "left").withColumn("other", F.when(F.col("known").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
+    rows = rows.join(first.where(~often).select(F.col("payload_digest").alias("other"), "first"), "other", "left").withColumn("first", F.coalesce("known", "first"))
     again = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
     return rows.select("id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -151,14 +157,16 @@ def write_bundles(records: DataFrame, folder: str, *, bundle_bytes: int = 64 <<
     return saved(records.mapInArrow(write, f"id {kind}, bundle string, frame long, start long, length long"), "warc-index")
 
 
-def read_bundles(index: DataFrame, folder: str) -> DataFrame:
+def read_bundles(index: DataFrame, folder: str, *, task_bytes: int = 16 << 20) -> DataFrame:
     """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of the indexed records, each read by a seek to its frame.
 
-    Each task reads some of the frames, in whole; the footer gives a frame's place and the index a record's.
+    Each task reads some of the frames, in whole, about ``task_bytes`` of records; the footer gives a frame's place and the index a record's.
     A response's digest is computed from the bytes that come back and compared with the one written.
     """
     kind = dict(index.dtypes)["id"]
-    frames = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    # dealt by what the tasks have to read, not by the size of the index
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    frames = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
 
     def fetch(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
