@@ -41,16 +41,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return per.select(source_col, "source_size", "weight", target.alias("target"))
 
 
-def position(tokens: Column, target: Column, slope: Column) -> Column:
-    """When (0 to 1) a source with demand rate ``target * (1 + slope * (2t - 1))`` has used so many tokens.
-
-    The integral of the rate is ``target * ((1 - slope) t + slope t^2)``; this is its inverse.
-    """
+def reached(tokens: Column, target: Column, slope: Column) -> Column:
+    """When (0 to 1) a source with demand rate ``target * (1 + slope * (2t - 1))`` has used so many tokens: the inverse of ``demand``."""
     done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(tokens, target)))
     back = (F.sqrt(F.pow(1 - slope, 2) + 4 * slope * done) - (1 - slope)) / (2 * slope)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.abs(slope) < 1e-9, done).otherwise(back)))
 
 
+def demand(t: Column, target: Column, slope: Column) -> Column:
+    """The tokens that a source has used at time t: the integral of its rate."""
+    return target * ((1 - slope) * t + slope * t * t)
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -67,12 +69,13 @@ def mix(
     """``(id, source, size, source_size, target, taken, position, again_at)`` of every document.
 
     A source's documents follow each other in an order drawn by hash, twice over;
-    the mix takes the first ``target`` words of that sequence.  ``taken`` is what
-    lies inside for each document (a document at the boundary in part).  The
+    the mix takes the first ``target`` words of that sequence.  The
     source's weight runs linearly through training from ``1 - slope`` to ``1 +
-    slope`` of its mean; ``position`` is when cumulative demand reaches the
-    document's first word, ``again_at`` the same for its repetition; null where
-    nothing is taken.  Sources by code point, null last, take ``weights`` and
+    slope`` of its mean.  A document is read from the time at which its source's cumulative demand reaches its
+    first word to that at which it reaches its last; ``taken`` is the demand between the two (of a document at the end a part), for
+    both readings.  ``position`` is the share of the whole mix, all sources' demand together, that has been read when the document's turn
+    comes, ``again_at`` the same for its repetition; null where
+    nothing is taken.  So at any position the sources' rates stand as their weights do then.  Sources by code point, null last, take ``weights`` and
     ``slopes`` in turn.
 
     No source is ever in one task: words are summed by hash bucket first, and the
@@ -88,19 +91,24 @@ def mix(
     targets = source_targets(sizes, weights, share, most)
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     targets = targets.withColumn("slope", F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (place % len(slopes) + 1).cast("int")))
+    # one row a source: the demand of the whole mix at time t is level * t + rise * t^2
+    every = Window.partitionBy(F.lit(0))
+    targets = targets.withColumns({"level": F.sum(F.col("target") * (1 - F.col("slope"))).over(every), "rise": F.sum(F.col("target") * F.col("slope")).over(every)})
     # a bucket's start: at most ``buckets`` rows a source, however many documents it has
     per_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("start")).alias("b")
-    starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope").alias("b")
+    starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope", "level", "rise").alias("b")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     rows = rows.join(starts, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
-    rows = rows.select("d.id", "d.source", "size", "source_size", "target", "slope", (F.col("start") + F.col("inside")).alias("at"))
-    whole = F.round("target").cast("long")
-    part = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), whole - at))
-    again = F.col("at") + F.col("source_size")
-    first, second = part(F.col("at")), part(again)
+    rows = rows.select("d.id", "d.source", "size", "source_size", "target", "slope", "level", "rise", (F.col("start") + F.col("inside")).alias("at"))
+    target, slope = F.col("target"), F.col("slope")
+    turns = {"from": F.col("at"), "until": F.col("at") + F.col("size"), "again_from": F.col("at") + F.col("source_size"), "again_until": F.col("at") + F.col("size") + F.col("source_size")}
+    rows = rows.select("*", *[reached(x, target, slope).alias(f"t_{n}") for n, x in turns.items()])
+    words = lambda t: F.round(demand(F.col(t), target, slope)).cast("long")
+    first, second = words("t_until") - words("t_from"), words("t_again_until") - words("t_again_from")
+    share = lambda t: F.try_divide(F.col("level") * F.col(t) + F.col("rise") * F.col(t) * F.col(t), F.col("level") + F.col("rise"))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
@@ -108,8 +116,8 @@ def mix(
         "source_size",
         "target",
         (first + second).alias("taken"),
-        F.when(first > 0, position(F.col("at"), F.col("target"), F.col("slope"))).alias("position"),
-        F.when(second > 0, position(again, F.col("target"), F.col("slope"))).alias("again_at"),
+        F.when(first > 0, share("t_from")).alias("position"),
+        F.when(second > 0, share("t_again_from")).alias("again_at"),
     )
 
 
