@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,32 +26,80 @@ def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return row.filter(some).to_numpy(), part.filter(some)
 
 
-def distinct_parts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(part, seen)``: every distinct pre-token, and in how many slices of the texts it stands."""
+def distinct_parts(docs: DataFrame, text_col: str, held_bytes: int = 32 << 20) -> DataFrame:
+    """``(part, seen)``: every distinct pre-token, and in how many slices of the texts it stands.
+
+    A task counts what it meets and sends each pre-token once, or once for each ``held_bytes`` of distinct ones, so a word that is everywhere
+    costs a row a task.
+    """
 
     def found(batches):
+        held, size = [], 0
+
+        def tell():
+            counts = pa.concat_arrays(held).value_counts() if held else pa.array([], pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["part", "seen"])
+
         for whole in batches:
             for batch in slices(whole, text_col, 8 << 20):
                 part = pc.unique(pre_tokens(batch.column(text_col))[1])
-                yield pa.RecordBatch.from_arrays([part], names=["part"])
+                held.append(part)
+                size += part.nbytes
+                if size > held_bytes:
+                    yield tell()
+                    held, size = [], 0
+        yield tell()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a number of its own, as tasks of few bytes are long here: encoding is what takes the time
-    return with_only(docs, text_col).mapInArrow(found, "part string").repartition(n, "part").groupBy("part").agg(F.count("*").alias("seen"))
+    return with_only(docs, text_col).mapInArrow(found, "part string, seen long").repartition(n, "part").groupBy("part").agg(F.sum("seen").alias("seen"))
+
+
+#: Ways to cut a text that never let a piece span or hold white space, as the library's files name them; fixed values.
+CUTTING = ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def check_tokenizer(path: str) -> None:
+    """Raises ValueError unless texts may be counted by pre-tokens: no piece spans white space, white space adds none, words don't change each other.
+
+    The file must drop white space where it cuts texts, and its added tokens hold none; then words, marks and special strings of
+    several scripts are encoded together and one by one, between each kind of white space.
+    """
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    cut = config.get("pre_tokenizer") or {}
+    first = (cut.get("pretokenizers") or [{}])[0] if cut.get("type") == "Sequence" else cut
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    # a split that removes what its pattern does not match, where no part of the pattern matches white space
+    matching = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and not any(regex.search(pattern, f"a{s}b{s}{s}!") and any(c in SPACES for m in regex.finditer(pattern, f"a{s}b{s}{s}!{s}1") for c in m[0]) for s in SPACES)
+    if first.get("type") not in CUTTING and not matching:
+        raise ValueError(f"{path} doesn't cut texts at white space; its tokens can't be counted by words")
+    if any(t.get("lstrip") or t.get("rstrip") or any(c in SPACES for c in t["content"]) for t in config.get("added_tokens", [])):
+        raise ValueError(f"{path} has added tokens that take in white space")
+    tokenizer = open_tokenizer(path)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False))
+    parts = ["The", "don't", "naïve", "e\u0301", "\u0301x", "Σίσυφος", "мир", "你好", "x1234y", "!?", "...", "<|endoftext|>", "a<|startoftext|>b", "\u00a0", "ﬁ", "İ", "🙂"]
+    alone = sum(count(p) for p in parts)
+    if any(count(s.join(parts)) != alone for s in [*SPACES, "  ", "\r\n"]) or any(count(a + " " + b) != count(a) + count(b) for a in parts for b in parts):
+        raise ValueError(f"{path} counts words otherwise together than alone; its tokens can't be counted by words")
+
+
+def open_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def piece_counts(parts: DataFrame, tokenizer_path: str) -> DataFrame:
     """``pieces`` of each row's ``part``, as the tokenizer gives them without added special tokens."""
 
     def count(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = open_tokenizer(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "part", 4 << 20):
                 coded = tokenizer.encode_batch_fast(batch.column("part").to_pylist(), add_special_tokens=False)
@@ -75,13 +127,14 @@ def _level():
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, most: int = 1_000_000) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of every whole text.
 
-    The tokenizer drops white space and never lets a piece span it, so a text has as many tokens as its
+    The tokenizer must drop white space and never let a piece span it (``check_tokenizer`` raises otherwise), so a text has as many tokens as its
     pre-tokens have together.  Pieces are counted once for each distinct pre-token of all texts.  The most
     frequent ones, at most ``most`` of up to 32 bytes, are broadcast and joined to a document's frequencies where it is read; all
     others, each in few slices of the texts, by a shuffled join.  Special strings in a text count as the library
     counts them by default; none are added.  A null or empty text has 0 bytes and 0 tokens; a null id stays null;
     repeated rows are counted each; other columns are ignored.
     """
+    check_tokenizer(tokenizer_path)
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     docs = with_only(docs, id_col, text_col).toDF("id", "text")
     counts = saved(piece_counts(distinct_parts(docs, "text"), tokenizer_path), "pieces")
