@@ -1 +1,8 @@
-"""Cross-sectional factor analytics on Spark DataFrames."""
+"""Cross-sectional factor analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks get the code itself, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -67,10 +67,10 @@ def parquet_rewrite(a) -> None:
 
 def classic_factors(a) -> None:
     from factorloom.factors.families import classic_factors as build
-    from factorloom.sources.tables import scan_panel, settled, write_panel
+    from factorloom.sources.tables import scan_panel, write_panel
 
     spark = _spark()
-    write_panel(build(scan_panel(spark, a.panel), a.family or ["alpha101", "alpha191"], dtype=a.dtype, settle=settled), a.target)
+    write_panel(build(scan_panel(spark, a.panel), a.family or ["alpha101", "alpha191"], dtype=a.dtype), a.target)
 
 
 def factor_mining(a) -> None:

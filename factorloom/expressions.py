@@ -1,8 +1,8 @@
-"""Factor expressions: small trees over panel fields that become Columns.
+"""Factor expressions: small trees over panel fields.
 
-Spark takes no window function inside another's argument, so a nested operator is selected as a column of
-its own first.  Equal subtrees are one node, and all operators of a nesting depth share a select: those per ticker
-share one exchange and sort, those per date another.  ``Expr`` also serves factor mining.
+Equal subtrees are one node.  Operators per ticker and per date alternate: all that a ticker's rows can give is computed in one pass over
+rows dealt by ticker, nested windows and all, then what dates need in one over rows dealt by date, and so on; hundreds of factors take a handful
+of shuffles.  A pass is a ``mapInArrow`` over whole groups with the vectorised operators of ``kernels``.  ``Expr`` also serves factor mining.
 """
 
 from __future__ import annotations
@@ -10,40 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions import flag, ieee_div
-from factorloom.operators import crosssection as cs
-from factorloom.operators.timeseries import TickerWindow
-
-W = TickerWindow()
-
-ROW: dict[str, Callable[..., Column]] = {
-    "+": lambda a, b: a + b,
-    "-": lambda a, b: a - b,
-    "*": lambda a, b: a * b,
-    "/": ieee_div,
-    "pow": lambda a, b: F.pow(a, b),
-    ">": lambda a, b: flag(a > b).cast("double"),
-    "<": lambda a, b: flag(a < b).cast("double"),
-    ">=": lambda a, b: flag(a >= b).cast("double"),
-    "<=": lambda a, b: flag(a <= b).cast("double"),
-    "==": lambda a, b: flag(a == b).cast("double"),
-    "or": lambda a, b: F.greatest(a, b),
-    "abs": F.abs,
-    "sign": F.signum,
-    "log": lambda a: F.when(a > 0, F.ln(a)),
-    "least": F.least,
-    "greatest": F.greatest,
-    "where": lambda c, a, b: F.when(c > 0, a).otherwise(b),
-}
-#: Operators per ticker (arguments: columns, then whole numbers) and per date.
-WINDOW: dict[str, Callable[..., Column]] = {
-    "ts_sum": W.sum, "mean": W.mean, "std": W.std, "ts_min": W.min, "ts_max": W.max, "ts_rank": W.rank, "argmax": W.argmax, "argmin": W.argmin,
-    "corr": W.corr, "cov": W.cov, "delay": W.delay, "delta": W.delta, "decay": W.decay, "growth": W.cumulative_growth, "fill": W.forward_fill,
-    "rank": lambda x: cs.rank(x), "scale": lambda x, k=1.0: cs.scale(x, k),
-}
+from factorloom.functions import FLOAT_MAX
+from factorloom.kernels import DATE, ROW, TIME, Groups
+
+#: Rows that a task computes at once, more only where a group has more.
+ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -110,72 +86,129 @@ def operator(name: str) -> Callable[..., Expr]:
 
 def vocabulary() -> dict[str, Callable[..., Expr]]:
     """Constructors by name, for formulas."""
-    return {n: operator(n) for n in [*WINDOW, "abs", "sign", "log", "least", "greatest", "where"]}
-
+    return {n: operator(n) for n in [*TIME, *DATE, "abs", "sign", "log", "least", "greatest", "where", "sdiv"]}
 
-def with_factors(panel: DataFrame, formulas: Mapping[str, Expr], keep: list[str], settle: Callable[[DataFrame], DataFrame] | None = None, settle_every: int = 3) -> DataFrame:
-    """``keep`` and a double column for each formula.
 
-    ``settle`` (a write to shared storage and read, say) is applied after every few depths of nesting, so that the plan
-    of hundreds of factors stays small; without it the whole is one lazy plan.
-    """
-    depth: dict[Expr, int] = {}
+def stages(formulas: Mapping[str, Expr]) -> dict[Expr, int]:
+    """The pass of each operator over groups: even ones are by ticker, odd ones by date; a node comes after all that it reads."""
+    out: dict[Expr, int] = {}
+    seen: dict[Expr, int] = {}
 
     def visit(e) -> int:
         if not isinstance(e, Expr) or e.op == "field":
             return 0
-        if e not in depth:
+        if e not in seen:
             below = max((visit(a) for a in e.args), default=0)
-            depth[e] = below + (e.op in WINDOW)
-        return depth[e]
+            if e.op in TIME or e.op in DATE:
+                below += below % 2 != (e.op in DATE)
+                out[e] = below
+            seen[e] = below
+        return seen[e]
 
-    tops = {n: visit(e) for n, e in formulas.items()}
-    deepest = max(tops.values(), default=0)
-    names: dict[Expr, str] = {}
-
-    def column(e) -> Column:
-        if not isinstance(e, Expr):
-            return F.lit(float(e))
-        if e.op == "field":
-            return F.col(e.args[0]).cast("double")
-        if e.op in WINDOW:
-            return F.col(names[e])
-        return ROW[e.op](*[column(a) for a in e.args])
-
-    def window(e: Expr) -> Column:
-        """Columns first, plain numbers as the operator's parameters."""
-        return WINDOW[e.op](*[column(a) if isinstance(a, Expr) else a for a in e.args])
-
-    def needed(e, at: int, into: set) -> None:
-        """Window columns that e still reads once depth ``at`` is selected."""
-        if isinstance(e, Expr) and e.op != "field":
-            if e.op in WINDOW and depth[e] <= at:
-                into.add(names[e])
+    for e in formulas.values():
+        visit(e)
+    return out
+
+
+def with_factors(panel: DataFrame, formulas: Mapping[str, Expr], keep: list[str], dtype: str = "double", keys: tuple[str, str] = ("ticker", "date")) -> DataFrame:
+    """``keep`` and a column of type ``dtype`` (float or double) for each formula.
+
+    Each pass deals the rows once and holds some thousand rows, or one ticker's or date's, at a time.  What later passes read goes along.
+    Missing values are NULL, never NaN; floats are NULL where a value is beyond their range.
+    """
+    at = stages(formulas)
+
+    def last(e) -> int:
+        """The pass after which e can be computed row by row."""
+        if not isinstance(e, Expr) or e.op == "field":
+            return 0
+        return at[e] if e in at else max((last(a) for a in e.args), default=0)
+
+    def reads(e, now: int, into: dict) -> None:
+        """Fields, and operators of passes up to ``now``, that e reads in later ones."""
+        if isinstance(e, Expr):
+            if e.op == "field" or at.get(e, now + 1) <= now:
+                into[e] = None
             else:
                 for a in e.args:
-                    needed(a, at, into)
-
-    fields = list(panel.columns)
-    rows, ready = panel, []
-    by_depth: dict[int, list[Expr]] = {}
-    for e, d in depth.items():
-        if e.op in WINDOW:
-            by_depth.setdefault(d, []).append(e)
-    for d in range(1, deepest + 1):
-        now = by_depth.get(d, [])
-        new = {}
-        for e in now:
-            names[e] = f"_w{len(names)}"
-            new[names[e]] = window(e)
-        wanted: set[str] = set()
+                    reads(a, now, into)
+
+    tops = {n: last(e) for n, e in formulas.items()}
+    deepest = max(tops.values(), default=0)
+    fields: dict[Expr, None] = {}
+    for e in formulas.values():
+        reads(e, -1, fields)
+    names = {e: e.args[0] for e in fields} | {e: f"_w{i}" for i, e in enumerate(at)}
+    types = dict(panel.dtypes)
+    extra = list(dict.fromkeys([*keys, *keep]))
+    rows = panel.select(*[F.col(f"`{c}`") for c in extra], *[F.col(f"`{names[e]}`").cast("double").alias(f"_f{i}") for i, e in enumerate(fields)])
+    names |= {e: f"_f{i}" for i, e in enumerate(fields)}
+    have, ready = list(fields), []
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for now in range(deepest + 1):
+        wanted: dict[Expr, None] = {}
         for n, e in formulas.items():
-            if tops[n] > d:
-                needed(e, d, wanted)
-        rows = rows.select("*", *[c.alias(n) for n, c in new.items()])
-        done = [n for n, t in tops.items() if t == d]
-        rows = rows.select(*fields, *ready, *sorted(w for w in wanted if w in rows.columns), *[column(formulas[n]).alias(n) for n in done])
-        ready += done
-        if settle is not None and d % settle_every == 0 and d < deepest:
-            rows = settle(rows)
-    flat = {n: column(formulas[n]) for n, t in tops.items() if t == 0}
-    return rows.select(*keep, *[(flat[n] if n in flat else F.col(n)).alias(n) for n in formulas])
+            if tops[n] > now:
+                reads(e, now, wanted)
+        done = [n for n, t in tops.items() if t == now]
+        if not done and not any(s == now for s in at.values()):
+            continue
+        group, order = (keys[0], [*keys]) if now % 2 == 0 else (keys[1], [keys[1]])
+        dealt = rows.repartition(parts, group).sortWithinPartitions(*order)
+        schema = ", ".join([*[f"`{c}` {types[c]}" for c in extra], *[f"`{n}` {dtype}" for n in ready], *[f"{names[e]} double" for e in wanted], *[f"`{n}` {dtype}" for n in done]])
+        plan = {"group": group, "extra": extra, "ready": ready, "have": {e: names[e] for e in have}, "wanted": {e: names[e] for e in wanted}, "done": {n: formulas[n] for n in done}, "dtype": dtype}
+        rows = dealt.mapInArrow(one_pass(plan), schema)
+        have, ready = list(wanted), [*ready, *done]
+    return rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{n}`") for n in formulas])
+
+
+def one_pass(plan: dict):
+    """Batches of rows sorted by group to batches with the pass's columns."""
+
+    def compute(table: pa.Table, groups: Groups) -> pa.RecordBatch:
+        known = {e: table.column(n).to_numpy() for e, n in plan["have"].items()}
+
+        def value(e):
+            if not isinstance(e, Expr):
+                return float(e)
+            if e not in known:
+                if e.op in TIME or e.op in DATE:
+                    columns = [np.broadcast_to(value(a), groups.n) if isinstance(a, Expr) else a for a in e.args]
+                    known[e] = (TIME.get(e.op) or DATE[e.op])(groups, *columns)
+                else:
+                    known[e] = ROW[e.op](*[value(a) for a in e.args])
+            return known[e]
+
+        def column(x, dtype: str) -> pa.Array:
+            x = np.broadcast_to(np.asarray(x, float), groups.n)
+            if dtype == "float":
+                x = np.where(np.abs(x) <= FLOAT_MAX, x, np.nan).astype(np.float32)
+            return pa.array(x, mask=np.isnan(x))
+
+        with np.errstate(all="ignore"):
+            out = {n: table.column(n) for n in [*plan["extra"], *plan["ready"]]}
+            out |= {n: column(value(e), "double") for e, n in plan["wanted"].items()}
+            out |= {n: column(value(e), plan["dtype"]) for n, e in plan["done"].items()}
+        return pa.table(out).combine_chunks()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < ROWS:
+                continue
+            starts = group_starts(held.column(plan["group"]))
+            if len(starts) > 1:  # the last group may go on
+                cut = int(starts[-1])
+                yield from compute(held.slice(0, cut).combine_chunks(), Groups(starts[:-1], cut)).to_batches()
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from compute(held.combine_chunks(), Groups(group_starts(held.column(plan["group"])), held.num_rows)).to_batches()
+
+    return run
+
+
+def group_starts(column: pa.ChunkedArray) -> np.ndarray:
+    code = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)

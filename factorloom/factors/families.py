@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.expressions import Expr, field, vocabulary, with_factors
 from factorloom.factors.formulas import ALPHA101, ALPHA191
-from factorloom.functions import no_nan, safe_div, to_float
-from factorloom.operators.timeseries import TickerWindow
+from factorloom.functions import no_nan
 
 KEYS = ["date", "ticker"]
 FAMILIES = {"alpha101": 101, "alpha191": 191, "alpha158": 158, "alpha360": 360}
+PRICES = ("open", "high", "low", "close", "vwap")
 FIELDS = ("open", "high", "low", "close", "vwap", "volume", "amount", "turnover_rate")
 
 
@@ -21,15 +21,17 @@ def expected_columns(family: str) -> list[str]:
     if family in ("alpha101", "alpha191"):
         return [f"{family}_{i:03d}" for i in range(1, FAMILIES[family] + 1)]
     if family == "alpha360":
-        return [f"alpha360_{f}_lag{k:02d}" for f in ("open", "high", "low", "close", "vwap", "volume") for k in range(60)]
+        return list(alpha360_formulas())
     if family == "alpha158":
-        return list(alpha158_columns(TickerWindow()))
+        return list(alpha158_formulas())
     raise ValueError(f"no factor family {family!r}; there are {sorted(FAMILIES)}")
 
 
 def formulas(family: str) -> dict[str, Expr]:
-    """The expressions of a classic family by column name."""
-    names = vocabulary() | {f: field(f) for f in ("open", "high", "low", "close", "vwap", "volume", "returns", "turnover", "turnover_rate")}
+    """The expressions of a family by column name."""
+    if family in ("alpha158", "alpha360"):
+        return {"alpha158": alpha158_formulas, "alpha360": alpha360_formulas}[family]()
+    names = vocabulary() | {f: field(f) for f in ("open", "high", "low", "close", "vwap", "volume", "turnover", "turnover_rate")} | {"returns": change(field("close"))}
     text = {"alpha101": ALPHA101, "alpha191": ALPHA191}[family]
     out = {}
     for line in text.strip().splitlines():
@@ -38,96 +40,98 @@ def formulas(family: str) -> dict[str, Expr]:
     return out
 
 
-def classic_inputs(panel: DataFrame, adjusted: bool = True) -> DataFrame:
-    """Keys and the fields of formulas: adjusted prices preferred, volume 0 as 1, gaps NULL; absent fields NULL throughout."""
-    w = TickerWindow()
+def inputs(panel: DataFrame, fields: Iterable[str], adjusted: bool = True) -> DataFrame:
+    """Keys and fields as doubles, gaps NULL: adjusted prices where the panel has them, unless ``adjusted`` is off; absent fields NULL throughout."""
 
     def pick(name: str) -> Column:
-        for c in ([f"{name}_adj"] if adjusted else []) + [name]:
+        for c in ([f"{name}_adj"] if adjusted and name in PRICES else []) + [name]:
             if c in panel.columns:
                 return no_nan(F.col(c).cast("double"))
         return F.lit(None).cast("double")
 
-    rows = panel.select(*KEYS, *[pick(f).alias(f) for f in FIELDS])
-    rows = rows.withColumn("volume", F.when(F.col("volume") == 0, 1.0).otherwise(F.col("volume")))
-    rows = rows.withColumn("_close", w.forward_fill(F.col("close")))
-    return rows.select(*KEYS, "open", "high", "low", "close", "vwap", "volume", F.col("amount").alias("turnover"), "turnover_rate", w.pct_change(F.col("_close")).alias("returns"))
+    return panel.select(*KEYS, *[pick(f).alias(f) for f in fields])
 
 
-def classic_factors(panel: DataFrame, families: Iterable[str] = ("alpha191", "alpha101"), *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Keys and the columns of the classic families, or those in ``only``."""
+def classic_factors(panel: DataFrame, families: Iterable[str] = ("alpha191", "alpha101"), *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float") -> DataFrame:
+    """Keys and the columns of the classic families, or those in ``only``; volume 0 counts as 1."""
     every: dict[str, Expr] = {}
     for f in dict.fromkeys(families):
         every |= formulas(f)
     chosen = {k: every[k] for k in (only if only is not None else every)}
-    out = with_factors(classic_inputs(panel, adjusted), chosen, KEYS, settle)
-    return out.select(*KEYS, *[(to_float(F.col(c)) if dtype == "float" else F.col(c)).alias(c) for c in chosen])
+    rows = inputs(panel, FIELDS, adjusted).withColumnRenamed("amount", "turnover")
+    return with_factors(rows.withColumn("volume", F.when(F.col("volume") == 0, 1.0).otherwise(F.col("volume"))), chosen, KEYS, dtype)
 
 
 SPANS = (5, 10, 20, 30, 60)
+BARS = ("open", "high", "low", "close", "vwap", "volume")
 
 
-def alpha158_columns(w: TickerWindow) -> dict[str, Column]:
-    o, h, lo, c, v, vol, amt = (F.col(x) for x in ("open", "high", "low", "close", "vwap", "volume", "amount"))
-    rng, top, bottom = F.when(h != lo, h - lo), F.greatest(o, c), F.least(o, c)
+def change(x: Expr) -> Expr:
+    """Relative change of the last known values."""
+    filled = Expr("fill", (x,))
+    return Expr("sdiv", (filled, Expr("delay", (filled, 1)))) - 1
+
+
+def alpha158_formulas() -> dict[str, Expr]:
+    w = vocabulary()
+    div, delay, low_of, high_of = w["sdiv"], w["delay"], w["ts_min"], w["ts_max"]
+    o, h, lo, c, v, vol, amt = (field(x) for x in ("open", "high", "low", "close", "vwap", "volume", "amount"))
+    rng, top, bottom = h - lo, w["greatest"](o, c), w["least"](o, c)
     out = {
-        "kmid": safe_div(c - o, o), "klen": safe_div(h - lo, o), "kmid2": safe_div(c - o, rng), "kup": safe_div(h - top, o), "kup2": safe_div(h - top, rng),
-        "klow": safe_div(bottom - lo, o), "klow2": safe_div(bottom - lo, rng), "ksft": safe_div(2 * c - h - lo, o), "ksft2": safe_div(2 * c - h - lo, rng),
+        "kmid": div(c - o, o), "klen": div(h - lo, o), "kmid2": div(c - o, rng), "kup": div(h - top, o), "kup2": div(h - top, rng),
+        "klow": div(bottom - lo, o), "klow2": div(bottom - lo, rng), "ksft": div(2 * c - h - lo, o), "ksft2": div(2 * c - h - lo, rng),
     }
     for name, x in (("open", o), ("high", h), ("low", lo), ("vwap", v)):
         for k in range(20):
-            out[f"{name}_lag{k:02d}_rel_close"] = safe_div(w.delay(x, k) if k else x, c) - 1
+            out[f"{name}_lag{k:02d}_rel_close"] = div(delay(x, k) if k else x, c) - 1
+    ret, vret = change(c), change(w["where"](vol.same(0), float("nan"), vol))
     for n in SPANS:
-        hi, low = w.max(h, n, 1), w.min(lo, n, 1)
+        hi, low = high_of(h, n, 1), low_of(lo, n, 1)
         out |= {
-            f"roc_{n}": safe_div(c, w.delay(c, n)) - 1,
-            f"ma_{n}": safe_div(w.mean(c, n, 1), c) - 1,
-            f"std_{n}": w.std(F.col("_ret"), n, 2),
-            f"max_{n}": safe_div(hi, c) - 1,
-            f"min_{n}": safe_div(low, c) - 1,
-            f"q80_{n}": safe_div(w.quantile(c, n, 0.8, 1), c) - 1,
-            f"q20_{n}": safe_div(w.quantile(c, n, 0.2, 1), c) - 1,
-            f"rank_{n}": w.rank(c, n, 1),
-            f"rsv_{n}": safe_div(c - low, hi - low),
-            f"ret_mean_{n}": w.mean(F.col("_ret"), n, 1),
-            f"vma_{n}": safe_div(vol, w.mean(vol, n, 1)) - 1,
-            f"vstd_{n}": w.std(F.col("_vret"), n, 2),
-            f"amount_ma_{n}": safe_div(amt, w.mean(amt, n, 1)) - 1,
+            f"roc_{n}": div(c, delay(c, n)) - 1,
+            f"ma_{n}": div(w["mean"](c, n, 1), c) - 1,
+            f"std_{n}": w["std"](ret, n, 2),
+            f"max_{n}": div(hi, c) - 1,
+            f"min_{n}": div(low, c) - 1,
+            f"q80_{n}": div(w["quantile"](c, n, 0.8, 1), c) - 1,
+            f"q20_{n}": div(w["quantile"](c, n, 0.2, 1), c) - 1,
+            f"rank_{n}": w["ts_rank"](c, n, 1),
+            f"rsv_{n}": div(c - low, hi - low),
+            f"ret_mean_{n}": w["mean"](ret, n, 1),
+            f"vma_{n}": div(vol, w["mean"](vol, n, 1)) - 1,
+            f"vstd_{n}": w["std"](vret, n, 2),
+            f"amount_ma_{n}": div(amt, w["mean"](amt, n, 1)) - 1,
         }
-    out |= {"vwap_rel_close": safe_div(v, c) - 1, "high_low_spread": safe_div(h - lo, c), "close_to_high": safe_div(c, h) - 1, "close_to_low": safe_div(c, lo) - 1}
+    out |= {"vwap_rel_close": div(v, c) - 1, "high_low_spread": div(h - lo, c), "close_to_high": div(c, h) - 1, "close_to_low": div(c, lo) - 1}
     return {f"alpha158_{k}": x for k, x in out.items()}
 
 
+def alpha360_formulas() -> dict[str, Expr]:
+    w = vocabulary()
+    base = {f: field("volume" if f == "volume" else "close") for f in BARS}
+    return {f"alpha360_{f}_lag{k:02d}": w["sdiv"](w["delay"](field(f), k) if k else field(f), base[f]) - 1 for f in BARS for k in range(60)}
+
+
 def require(panel: DataFrame, names: Iterable[str]) -> None:
     if missing := [n for n in names if n not in panel.columns]:
         raise KeyError(f"the panel lacks {missing}")
 
 
-def alpha158(panel: DataFrame, *, only: Iterable[str] | None = None, dtype: str = "float") -> DataFrame:
-    """Keys and 158 candlestick, lag and rolling columns; windows need one value (deviations two)."""
-    require(panel, ["open", "high", "low", "close", "vwap", "volume"])
-    w = TickerWindow()
-    amount = F.col("amount") if "amount" in panel.columns else F.col("close") * F.col("volume")
-    rows = panel.select(*KEYS, *[no_nan(F.col(x).cast("double")).alias(x) for x in ("open", "high", "low", "close", "vwap", "volume")], no_nan(amount.cast("double")).alias("amount"))
-    traded = F.when(F.col("volume") != 0, F.col("volume"))
-    rows = rows.withColumns({"_c": w.forward_fill(F.col("close")), "_v": w.forward_fill(traded)})
-    rows = rows.withColumns({"_ret": w.pct_change(F.col("_c")), "_vret": w.pct_change(F.col("_v"))})
-    every = alpha158_columns(w)
-    return rows.select(*KEYS, *[(to_float(every[k]) if dtype == "float" else every[k]).alias(k) for k in (only if only is not None else every)])
-
-
-def alpha360(panel: DataFrame, *, only: Iterable[str] | None = None, dtype: str = "float") -> DataFrame:
-    """Keys and 60 lags of six fields over the current close (volume over the current volume), less 1: one window."""
-    fields = ("open", "high", "low", "close", "vwap", "volume")
-    require(panel, fields)
-    w = TickerWindow()
-    rows = panel.select(*KEYS, *[no_nan(F.col(x).cast("double")).alias(x) for x in fields])
-    every = {}
-    for f in fields:
-        base = F.col("volume" if f == "volume" else "close")
-        for k in range(60):
-            every[f"alpha360_{f}_lag{k:02d}"] = safe_div(w.delay(F.col(f), k) if k else F.col(f), base) - 1
-    return rows.select(*KEYS, *[(to_float(every[k]) if dtype == "float" else every[k]).alias(k) for k in (only if only is not None else every)])
+def alpha158(panel: DataFrame, *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float") -> DataFrame:
+    """Keys and 158 candlestick, lag and rolling columns; windows need one value (deviations two). One shuffle."""
+    require(panel, BARS)
+    rows = inputs(panel, [*BARS, "amount"], adjusted)
+    if "amount" not in panel.columns:
+        rows = rows.withColumn("amount", F.col("close") * F.col("volume"))
+    every = alpha158_formulas()
+    return with_factors(rows, {k: every[k] for k in (only if only is not None else every)}, KEYS, dtype)
+
+
+def alpha360(panel: DataFrame, *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float") -> DataFrame:
+    """Keys and 60 lags of six fields over the current close (volume over the current volume), less 1. One shuffle."""
+    require(panel, BARS)
+    every = alpha360_formulas()
+    return with_factors(inputs(panel, BARS, adjusted), {k: every[k] for k in (only if only is not None else every)}, KEYS, dtype)
 
 
 def family_of(column: str) -> str | None:

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.analytics.evidence import daily_ic, long_factors
-from factorloom.expressions import ROW, Expr, W, field, with_factors
+from factorloom.expressions import Expr, field, with_factors
 from factorloom.functions import finite, safe_div
+from factorloom.operators.timeseries import TickerWindow
 
 #: Windows that trees may use; fixed values.
 WINDOWS = (3, 5, 10, 20, 60)
 SERIES1, SERIES2, TIMED = ("neg", "safe_log", "safe_sqrt", "rank"), ("+", "-", "*", "safe_div"), ("delay", "mean", "std", "ts_min", "ts_max", "delta", "corr")
 
-ROW.update({"neg": lambda a: -a, "safe_log": lambda a: F.ln(F.abs(a) + 1e-6), "safe_sqrt": lambda a: F.sqrt(F.abs(a)), "safe_div": lambda a, b: finite(safe_div(a, b))})
+W = TickerWindow()
 
 
 def depth(e) -> int:

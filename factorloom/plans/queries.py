@@ -20,6 +20,7 @@ from factorloom.operators import crosssection as cs
 from factorloom.operators import standardise as std
 from factorloom.operators.timeseries import TickerWindow
 from factorloom.panel import daily_by_region, monthly
+from factorloom.plans.factor_sql import digits, family_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,11 +55,11 @@ def rounding(sql: str) -> str:
     return sql
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = rounding(sql)
+            SQL[f.__name__] = rounding(sql if isinstance(sql, str) else sql())
         return f
 
     return add
@@ -276,28 +277,31 @@ def alpha101_subset(spark, d):
     return f.select(*key(), *[r(c(n), 6 if n.endswith("91") else 5).alias(n) for n in names])
 
 
-@query()
-def alpha101_all(spark, d):
-    from factorloom.sources.tables import settled
+def whole_family(rows: DataFrame, family: str) -> DataFrame:
+    return rows.select(*key(), *[r(c(n), digits(e)).alias(n) for n, e in fam.formulas(family).items()])
 
-    return fam.classic_factors(monthly(spark, d), ["alpha101"], settle=settled)
 
+CLASSIC_BARS = f"SELECT * EXCLUDE (amount) REPLACE (CASE WHEN volume = 0 THEN 1 ELSE volume END AS volume), amount AS turnover, NULL::DOUBLE AS turnover_rate FROM ({MONTH})"
+
+
+@query(lambda: family_sql(fam.formulas("alpha101"), CLASSIC_BARS))
+def alpha101_all(spark, d):
+    return whole_family(fam.classic_factors(monthly(spark, d), ["alpha101"], dtype="double"), "alpha101")
 
-@query()
-def alpha191_all(spark, d):
-    from factorloom.sources.tables import settled
 
-    return fam.classic_factors(monthly(spark, d), ["alpha191"], settle=settled)
+@query(lambda: family_sql(fam.formulas("alpha191"), CLASSIC_BARS))
+def alpha191_all(spark, d):
+    return whole_family(fam.classic_factors(monthly(spark, d), ["alpha191"], dtype="double"), "alpha191")
 
 
-@query()
+@query(lambda: family_sql(fam.formulas("alpha158"), MONTH))
 def alpha158_all(spark, d):
-    return fam.alpha158(monthly(spark, d))
+    return whole_family(fam.alpha158(monthly(spark, d), dtype="double"), "alpha158")
 
 
-@query()
+@query(lambda: family_sql(fam.formulas("alpha360"), MONTH))
 def alpha360_all(spark, d):
-    return fam.alpha360(monthly(spark, d))
+    return whole_family(fam.alpha360(monthly(spark, d), dtype="double"), "alpha360")
 
 
 @query(f"WITH p AS ({MONTH}), g AS (SELECT * FROM (SELECT DISTINCT date FROM p), (SELECT DISTINCT ticker FROM p)) SELECT {DATED}, ticker, round(close, 6) AS close, close IS NULL AS is_suspended FROM g LEFT JOIN p USING (date, ticker)")
