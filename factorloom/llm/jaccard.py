@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix blocks, signature trees inside them, exact verification, components."""
+"""N-gram Jaccard join: signature trees over the sets of a token, exact verification, components."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, delete, i64, new_path, rolling, saved, slices
+from factorloom.llm.common import WordHashes, delete, i64, join_by_frequency, new_path, rolling, saved, slices
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 HEAVY_BITS = 23
 BLOCK, LEAF, FOLD = 512, 16, 4096
+#: Sets in more than one of so many pairs, of at most so many tokens, are broadcast: 64 x 0.4 MB at most.
+SENT, MOST_SENT = 64, 50_000
 
 
 class Shingles:
@@ -43,6 +46,11 @@ def set_key(s: np.ndarray) -> int:
     return one - (1 << 64) if one >> 63 else one
 
 
+def set_check(s: np.ndarray) -> int:
+    """Another 64-bit hash of the set, signed: with the key it tells sets apart by 128 bits."""
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(s).tobytes(), 5) - (1 << 63)
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """One bit for each token's low bits, in the power of two from 4 times as many bits."""
     m = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
@@ -149,7 +157,7 @@ def cell_pairs(key: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarr
 
 
 def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """``(id, row, n, key, bits, prefix)`` of every document: set size, hash of the set, packed bitmap, and its prefix tokens.
+    """``(id, row, n, key, check, bits, prefix)`` of every document: set size, two hashes of the set, packed bitmap, and its prefix tokens.
 
     Two sets that link share a token of their prefixes, the first ``n - ceil(percent n) + 1`` in one global
     order: tokens whose bit in ``heavy`` is unset first, then by hash.
@@ -161,17 +169,19 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
         late = np.unpackbits(heavy).view(bool)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
-                n, key, bits, prefix = [], [], [], []
+                n, key, check, bits, prefix = [], [], [], [], []
                 nulls = batch.column("id").is_null().to_pylist()
                 for s, null in zip(shingles.sets(batch.column("text").to_pylist()), nulls, strict=True):
                     n.append(len(s))
                     if not len(s):
                         key.append(None)
+                        check.append(None)
                         bits.append(None)
                         prefix.append(None)
                         continue
-                    one = set_key(s)
-                    key.append(one)
+                    key.append(set_key(s))
+                    check.append(set_check(s))
+                    one = (key[-1], check[-1])
                     if null or one in seen:  # links nothing, or sent already from this task
                         bits.append(None)
                         prefix.append(None)
@@ -184,9 +194,9 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
                     order = np.lexsort((s, spot))[:most]
                     prefix.append((s[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 lists = pa.array(prefix, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), lists], names=["id", "row", "n", "key", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.binary()), lists], names=["id", "row", "n", "key", "check", "bits", "prefix"])
 
-    return docs.mapInArrow(cut, f"id {kind}, row long, n long, key long, bits binary, prefix array<int>")
+    return docs.mapInArrow(cut, f"id {kind}, row long, n long, key long, check long, bits binary, prefix array<int>")
 
 
 def heavy_tokens(docs: DataFrame, k: int, least: int = 32, most: int = 1 << 20) -> np.ndarray:
@@ -244,10 +254,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     """The pairs whose sets, made again from the texts, have the similarity."""
     pairs = saved(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = saved(needed.join(reps, "key"), "needed")
+    ids = saved(needed.join(reps.select("key", "id", "check"), "key"), "needed")
     small = ids.limit(most_rows + 1).count() <= most_rows
-    side = ids.select("id", F.col("key").alias("want"))
-    rows = docs.join(F.broadcast(side) if small else side, "id").select("want", "text")
+    side = ids.select("id", F.col("key").alias("want"), "check")
+    rows = docs.join(F.broadcast(side) if small else side, "id").select("want", "check", "text")
 
     def sets(batches):
         shingles = Shingles(k)
@@ -255,12 +265,16 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
             for batch in slices(whole, "text", 4 << 20):
                 found = shingles.sets(batch.column("text").to_pylist())
                 # rows of one id but other texts: the set of the wanted hash is the one that was sketched
-                at = [i for i, (s, want) in enumerate(zip(found, batch.column("want").to_pylist(), strict=True)) if len(s) and set_key(s) == want]
+                at = [i for i, (s, check) in enumerate(zip(found, batch.column("check").to_pylist(), strict=True)) if len(s) and set_check(s) == check]
                 yield pa.RecordBatch.from_arrays([batch.column("want").take(pa.array(at, pa.int64())), pa.array([found[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    tokens = saved(rows.mapInArrow(sets, "key long, tokens array<long>"), "token-sets").dropDuplicates(["key"])
-    one, two = tokens.select(F.col("key").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    tokens = saved(rows.mapInArrow(sets, "key long, tokens array<long>").dropDuplicates(["key"]), "token-sets")
+    # the smallest set of many copies is in very many pairs: the few most frequent ones, of a bounded size, are sent to these
+    times = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    one = saved(times.join(tokens, "key").select(F.col("key").alias("a"), F.col("tokens").alias("x"), F.when(F.size("tokens") <= MOST_SENT, F.col("n")).otherwise(0).alias("n")), "first-sets")
+    times = pairs.groupBy(F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    two = saved(times.join(tokens, "key").select(F.col("key").alias("b"), F.col("tokens").alias("y"), F.when(F.size("tokens") <= MOST_SENT, F.col("n")).otherwise(0).alias("n")), "second-sets")
+    both = join_by_frequency(join_by_frequency(pairs, one, ["a"], share=SENT).drop("n"), two, ["b"], share=SENT).withColumn("common", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("common")
     return saved(both.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b"), "links")
 
@@ -278,7 +292,8 @@ def components(edges: DataFrame) -> DataFrame:
             e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = e.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # a table of its own, so that Spark splits the edges of a hub in the join
+        low = saved(e.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lows")
         out = e.join(low, "a")
         if large:
             out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -303,11 +318,13 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)``: connected components of documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
-    1. Documents with equal sets are one from here on.  Every set sends its prefix tokens.
-    2. Within a token and size band all sets are compared with the one of the smallest id: whole-text bitmaps first, then
-       the sets themselves.  This joins most copies of one text by a star, not by all pairs.
-    3. What is left in tokens that still hold several components is dealt into cells of at most two blocks of about
-       512 sets.  A signature tree in each finds pairs across components that may link; these are verified likewise.
+    1. Documents with equal sets are one from here on, by 128 bits of hashes.  Every set sends its prefix tokens; the sets of a token
+       are dealt into cells of about 512, and each cell makes a signature tree.
+    2. Hubs, the smallest id of each size band of a token, are taken down the trees; what may link with them is verified by the
+       sets themselves.  This joins most copies of one text by stars, not by all pairs.
+    3. Tokens that still hold several components are dealt again, two blocks to a cell, and their trees are traversed against each other
+       for pairs across components that may link; these are verified likewise.
+    So tokens only place sets, and all candidates come from trees.
     No link is lost: each linking pair shares a prefix token, and is in one component after (2) or a candidate in (3).
 
     A null text, or one without words, has an empty set and is linked with nothing.  A null id is kept,
@@ -328,21 +345,23 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     heavy = heavy_tokens(docs, k)
     all_rows = saved(sketches(docs, k, percent, heavy), "sketches")
+    # sets of one key but another check, which 64 bits let through now and then, take a key of their own
+    alike = all_rows.where("key is not null").groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("key", "low")
+    alike = saved(alike, "alike")
+    if not alike.isEmpty():
+        new = F.when(F.col("low").isNotNull() & (F.col("check") != F.col("low")), F.xxhash64("key", "check")).otherwise(F.col("key"))
+        all_rows = saved(all_rows.join(alike, "key", "left").withColumn("key", new).drop("low"), "sketches")
     rows = all_rows.where("id is not null and key is not null")
-    reps = saved(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "reps")
+    reps = saved(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("check").alias("check")), "reps")
     bits = rows.where("bits is not null").select("key", "n", "bits")
     # tokens of two sets or more
     tokens = rows.where("prefix is not null").select("key", F.explode("prefix").alias("token"))
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     members = tokens.join(twice, "token", "left_semi").distinct()
-    members = saved(members.join(reps, "key").withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(percent / 100)))).cast("int")), "members")
-    # stars around the smallest id of each token and band, also from the next band
-    hub = members.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub"))
-    hubs = hub.select("token", "band", F.col("hub.key").alias("b")).union(hub.select("token", F.col("band") + 1, F.col("hub.key")))
-    stars = ordered_pairs(members.select("token", "band", F.col("key").alias("a")).join(hubs, ["token", "band"]))
+    members = saved(members.join(reps.select("key", "id", "n"), "key").withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(percent / 100)))).cast("int")), "members")
     used = lambda pairs: bits.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    stars = saved(stars, "stars")
-    links = verified(plausible(stars, used(stars), percent), docs, reps, k, percent)
+    stars = saved(hub_cells(members, used(members.select(F.col("key").alias("a"), F.col("key").alias("b"))), percent).distinct(), "stars")
+    links = verified(stars, docs, reps, k, percent)
     roots = saved(components(links), "roots")
     # tokens that still hold several components
     placed = members.join(roots, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
@@ -352,7 +371,7 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     more = saved(cells(rest, small, percent).distinct(), "candidates")
     links = links.union(verified(plausible(more.join(stars, ["a", "b"], "left_anti"), used(more), percent), docs, reps, k, percent))
     roots = saved(components(links), "roots")
-    named = reps.join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    named = reps.select("key", "id").join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_key = named.join(names, "root").select("key", "component_id")
     out = all_rows.select("id", "row", "n", "key").join(of_key, "key", "left")
@@ -360,8 +379,15 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     return out.select("id", "row", "n", component.alias("component_id"))
 
 
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def hub_cells(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of the sets of each token with its hubs: cells of one block of sets and the token's hubs, one for each size band."""
+    size = saved(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token-sizes")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = join_by_frequency(members.select("token", "key"), size, ["token"], count="m").select("token", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("i"), F.lit(0).alias("block"), "key")
+    hubs = members.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub")).join(size, "token")
+    hubs = hubs.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(1).alias("block"), F.col("hub.key").alias("key"))
+    rows = own.union(hubs).join(fold_bits(bits).join(bits.select("key", "n"), "key"), "key")
+    return tree_pairs(rows.select("token", "i", F.col("i").alias("j"), "key", "n", F.col("key").alias("root"), "block", "bits"), percent)
 
 
 def cells(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -370,7 +396,11 @@ def cells(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "root", "block", "bits")
+    return tree_pairs(rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "root", "block", "bits"), percent)
+
+
+def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of different roots that the trees of each cell ``(token, i, j)`` let through: within a block, or across where a cell has two."""
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pair(batches):
