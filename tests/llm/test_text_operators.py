@@ -112,7 +112,54 @@ def test_substring_index_compacts(spark):
         found = index.add(rows.where(F.col("id") == i), rows)
         starts = {s for r in found.collect() for s in range(r["a"], r["b"] + 1)}
         assert len(starts) == (0 if i == 0 else 21)
-    assert len(index.runs) <= 3
+    assert len(index.runs) <= 2
+    # what is left of the compacted runs gives the same as all of them
+    more = with_row(spark.createDataFrame([(9, shared), (10, prose(rng, 60))], "doc_id long, text string"), "doc_id", "text")
+    found = index.add(more, rows.union(more))
+    assert {(r["id"], s) for r in found.collect() for s in range(r["a"], r["b"] + 1)} == {(9, s) for s in range(21)}
+
+
+def test_runs_are_merged_without_an_exchange(spark):
+    from factorloom.llm.substrings import Index, with_row
+
+    rng = random.Random(6)
+    rows = with_row(spark.createDataFrame([(i, prose(rng, 400)) for i in range(40)], "doc_id long, text string"), "doc_id", "text")
+    index = Index(spark, parts=3)
+    index.add(rows.where("id < 20"), rows)
+    index.add(rows.where("id >= 20"), rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old, new = index.runs
+        plan = index.cold(old).join(index.cold(new).select("fp"), "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        merged = index.cold(old).union(index.cold(new)).groupBy("fp", "ctx").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in merged
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_index_is_opened_again(spark):
+    """Another session goes on from the manifest; a version that was never finished does not count."""
+    from factorloom.llm.common import new_path
+    from factorloom.llm.substrings import Index, remove_repeats, with_row
+
+    rng = random.Random(17)
+    shared = prose(rng, 80)
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    folder = new_path(spark, "lasting-index")
+    first = Index(spark, folder=folder)
+    assert {r["n_removed"] for r in remove_repeats(table([(5, f"{prose(rng, 50)} {shared}")]), index=first, batches=1).collect()} == {0}
+    first.close()
+    unfinished = Index(spark, folder=folder)
+    batch = with_row(table([(6, prose(rng, 90))]), "doc_id", "text")
+    unfinished.add(batch, batch)  # never committed
+    unfinished.close()
+    again = Index(spark, folder=folder)
+    assert again.version == 1 and len(again.runs) == 1
+    got = remove_repeats(table([(1, f"{shared} {prose(rng, 50)}"), (2, prose(rng, 100))]), index=again, batches=1)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 80, 2: 0}
+    with pytest.raises(ValueError, match="50 words"):
+        Index(spark, width=40, folder=folder)
 
 
 def test_line_dedup(spark, texts, docs):
