@@ -63,7 +63,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*saved_ones: DataFrame) -> None:
+    """Deletes tables that ``saved`` has written and that nothing reads any more."""
+    for df in saved_ones:
+        delete(df.sparkSession, df._saved_at)
 
 
 def join_by_frequency(rows: DataFrame, keyed: DataFrame, on: list[str], count: str = "n", share: int = 2000) -> DataFrame:

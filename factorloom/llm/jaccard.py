@@ -10,13 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, delete, i64, join_by_frequency, new_path, rolling, saved, slices
+from factorloom.llm.common import WordHashes, delete, discard, i64, join_by_frequency, new_path, rolling, saved, slices
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 HEAVY_BITS = 23
-BLOCK, LEAF, FOLD = 512, 16, 4096
-#: Sets in more than one of so many pairs, of at most so many tokens, are broadcast: 64 x 0.4 MB at most.
-SENT, MOST_SENT = 64, 50_000
+BLOCK, LEAF, FOLD, HUB_FOLD = 512, 16, 4096, 1024
 
 
 class Shingles:
@@ -168,7 +166,7 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
         shingles, seen = Shingles(k), set()
         late = np.unpackbits(heavy).view(bool)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 n, key, check, bits, prefix = [], [], [], [], []
                 nulls = batch.column("id").is_null().to_pylist()
                 for s, null in zip(shingles.sets(batch.column("text").to_pylist()), nulls, strict=True):
@@ -181,7 +179,7 @@ def sketches(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFr
                         continue
                     key.append(set_key(s))
                     check.append(set_check(s))
-                    one = (key[-1], check[-1])
+                    one = key[-1] << 64 | check[-1] + (1 << 63)
                     if null or one in seen:  # links nothing, or sent already from this task
                         bits.append(None)
                         prefix.append(None)
@@ -211,18 +209,22 @@ def heavy_tokens(docs: DataFrame, k: int, least: int = 32, most: int = 1 << 20)
         held, size = [], 0
 
         def tell():
-            t, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            t = np.concatenate([*held, np.empty(0, np.uint64)])
+            held.clear()
+            t.sort()
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
+            t, c = t[first], np.diff(np.append(first, len(t)))
             keep = c >= 4
             return pa.RecordBatch.from_arrays([i64(t[keep]), pa.array(c[keep].astype(np.int64))], names=["token", "n"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 for s in shingles.sets(batch.column("text").to_pylist()):
                     held.append(s)
                     size += len(s)
                 if size > 6_000_000:
                     yield tell()
-                    held, size = [], 0
+                    size = 0
         yield tell()
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -232,8 +234,9 @@ def heavy_tokens(docs: DataFrame, k: int, least: int = 32, most: int = 1 << 20)
     return np.packbits(bits)
 
 
-def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The ``(a, b)`` pairs whose whole bitmaps allow the similarity."""
+def plausible(pairs: DataFrame, used, percent: int) -> DataFrame:
+    """The ``(a, b)`` pairs whose whole bitmaps, ``used(pairs)``, allow the similarity."""
+    bits = used(pairs)
     one, two = bits.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), bits.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     rows = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
 
@@ -268,15 +271,14 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
                 at = [i for i, (s, check) in enumerate(zip(found, batch.column("check").to_pylist(), strict=True)) if len(s) and set_check(s) == check]
                 yield pa.RecordBatch.from_arrays([batch.column("want").take(pa.array(at, pa.int64())), pa.array([found[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["key", "tokens"])
 
+    # tables of their own on both sides of each join, so that Spark splits the pairs of a set that is in very many
     tokens = saved(rows.mapInArrow(sets, "key long, tokens array<long>").dropDuplicates(["key"]), "token-sets")
-    # the smallest set of many copies is in very many pairs: the few most frequent ones, of a bounded size, are sent to these
-    times = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    one = saved(times.join(tokens, "key").select(F.col("key").alias("a"), F.col("tokens").alias("x"), F.when(F.size("tokens") <= MOST_SENT, F.col("n")).otherwise(0).alias("n")), "first-sets")
-    times = pairs.groupBy(F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    two = saved(times.join(tokens, "key").select(F.col("key").alias("b"), F.col("tokens").alias("y"), F.when(F.size("tokens") <= MOST_SENT, F.col("n")).otherwise(0).alias("n")), "second-sets")
-    both = join_by_frequency(join_by_frequency(pairs, one, ["a"], share=SENT).drop("n"), two, ["b"], share=SENT).withColumn("common", F.size(F.array_intersect("x", "y")))
+    one, two = tokens.select(F.col("key").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("common")
-    return saved(both.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b"), "links")
+    links = saved(both.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b"), "links")
+    discard(pairs, ids, tokens)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,16 +362,16 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     members = tokens.join(twice, "token", "left_semi").distinct()
     members = saved(members.join(reps.select("key", "id", "n"), "key").withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(percent / 100)))).cast("int")), "members")
     used = lambda pairs: bits.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    stars = saved(hub_cells(members, used(members.select(F.col("key").alias("a"), F.col("key").alias("b"))), percent).distinct(), "stars")
+    stars = hub_pairs(members, used, percent)
     links = verified(stars, docs, reps, k, percent)
     roots = saved(components(links), "roots")
     # tokens that still hold several components
     placed = members.join(roots, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
     open_tokens = placed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and m > 2").select("token", "m")
     rest = saved(placed.join(open_tokens, "token"), "rest")
-    small = used(rest.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    small = used(rest.select(F.col("key").alias("a")).distinct().select("a", F.col("a").alias("b")))
     more = saved(cells(rest, small, percent).distinct(), "candidates")
-    links = links.union(verified(plausible(more.join(stars, ["a", "b"], "left_anti"), used(more), percent), docs, reps, k, percent))
+    links = links.union(verified(plausible(more.join(stars, ["a", "b"], "left_anti"), used, percent), docs, reps, k, percent))
     roots = saved(components(links), "roots")
     named = reps.select("key", "id").join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -379,20 +381,29 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     return out.select("id", "row", "n", component.alias("component_id"))
 
 
-def hub_cells(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of the sets of each token with its hubs: cells of one block of sets and the token's hubs, one for each size band."""
-    size = saved(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token-sizes")
+def hub_pairs(members: DataFrame, used, percent: int) -> DataFrame:
+    """Saved candidate pairs ``(a, b)`` of the sets of each token with its hubs, one for each size band.
+
+    Tokens of two sets are trees of one leaf each: the pair's whole bitmaps tell.  Those of more are cells of one block of sets and the token's hubs.
+    """
+    size = saved(members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("a"), F.max("key").alias("b")).where("m > 1"), "token-sizes")
+    two = saved(plausible(saved(size.where("m = 2 and a <> b").select("a", "b").distinct(), "twos"), used, percent), "leaves")
+    more = size.where("m > 2").select("token", "m")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = join_by_frequency(members.select("token", "key"), size, ["token"], count="m").select("token", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("i"), F.lit(0).alias("block"), "key")
-    hubs = members.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub")).join(size, "token")
+    inside = saved(join_by_frequency(members.select("token", "key", "id", "band"), more, ["token"], count="m"), "grouped")
+    own = inside.select("token", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("i"), F.lit(0).alias("block"), "key")
+    hubs = inside.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub"), F.first("m").alias("m"))
     hubs = hubs.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(1).alias("block"), F.col("hub.key").alias("key"))
-    rows = own.union(hubs).join(fold_bits(bits).join(bits.select("key", "n"), "key"), "key")
-    return tree_pairs(rows.select("token", "i", F.col("i").alias("j"), "key", "n", F.col("key").alias("root"), "block", "bits"), percent)
+    bits = saved(fold_bits(used(inside.select(F.col("key").alias("a")).distinct().select("a", F.col("a").alias("b"))), HUB_FOLD), "hub-bits")
+    found = tree_pairs(own.union(hubs).join(bits, "key").select("token", "i", F.col("i").alias("j"), "key", "n", F.col("key").alias("root"), "block", "bits"), percent)
+    stars = saved(found.union(two).distinct(), "stars")
+    discard(size, two, inside, bits)
+    return stars
 
 
 def cells(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs ``(a, b)`` across components from ``(token, key, n, root, m)``; cells of two blocks at most, whatever a token's group."""
-    rows = rest.join(fold_bits(bits), "key")
+    rows = rest.join(fold_bits(bits, FOLD).drop("n"), "key")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -441,15 +452,15 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(pair, "a long, b long")
 
 
-def fold_bits(bits: DataFrame) -> DataFrame:
-    """Bitmaps of at most FOLD bits, for the rows of cells."""
+def fold_bits(bits: DataFrame, most: int) -> DataFrame:
+    """``(key, n, bits)`` with bitmaps of at most ``most`` bits, for the rows of cells."""
 
     def fold(batches):
         for batch in batches:
-            packed = [np.packbits(folded(np.unpackbits(np.frombuffer(b, np.uint8)).view(bool), FOLD)).tobytes() if len(b) > FOLD // 8 else b for b in batch.column("bits").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], names=["key", "bits"])
+            packed = [np.packbits(folded(np.unpackbits(np.frombuffer(b, np.uint8)).view(bool), most)).tobytes() if len(b) > most // 8 else b for b in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(packed, pa.binary())], names=["key", "n", "bits"])
 
-    return bits.select("key", "bits").mapInArrow(fold, "key long, bits binary")
+    return bits.select("key", "n", "bits").mapInArrow(fold, "key long, n long, bits binary")
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
