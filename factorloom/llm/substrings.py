@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     def cut(batches):
         hashes = WordHashes()
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 parts = [words(t) for t in batch.column("text").to_pylist()]
                 s = stretches(*hashed(parts, hashes), width)
                 at, ctx = pa.array(s["doc"]), []
@@ -101,7 +101,7 @@ def exact_windows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def cut(batches):
         hashes = WordHashes()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 parts = [words(t) for t in batch.column("text").to_pylist()]
                 h, sizes = hashed(parts, hashes)
                 base = np.cumsum(sizes) - sizes
@@ -333,7 +333,7 @@ def kept_words(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 n, gone, kept = [], [], []
                 for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                     parts = words(text)
