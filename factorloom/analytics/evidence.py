@@ -105,12 +105,20 @@ def checked_benchmark(rows: DataFrame) -> DataFrame:
     return per.drop("high")
 
 
-def slices(ic: DataFrame, daily: DataFrame, regime: DataFrame | None = None) -> DataFrame:
+def sliced(rows: DataFrame, regime: DataFrame | None) -> DataFrame:
+    """Rows of dates with their calendar year as ``slice``, and again with their market regime."""
+    out = rows.withColumn("slice", F.date_format("date", "yyyy"))
+    return out if regime is None else out.unionByName(rows.join(F.broadcast(regime), "date").withColumnRenamed("regime", "slice"))  # one row a date
+
+
+def slice_groups(daily: DataFrame, regime: DataFrame | None = None) -> DataFrame:
+    """Mean return of each factor's groups, and dates, by slice, of ``daily_group_returns`` rows."""
+    return sliced(daily, regime).groupBy("factor", "slice", "group").agg(F.avg("group_return").alias("mean_return"), F.count_distinct("date").alias("periods"))
+
+
+def slices(ic: DataFrame, regime: DataFrame | None = None) -> DataFrame:
     """By factor and slice (calendar year, market regime): valid dates, mean RankIC, share of positive ones."""
-    year = F.date_format("date", "yyyy")
-    rows = ic.where("rank_ic is not null").withColumn("slice", year)
-    if regime is not None:
-        rows = rows.unionByName(ic.where("rank_ic is not null").join(regime, "date").withColumn("slice", F.col("regime")).drop("regime"))
+    rows = sliced(ic.where("rank_ic is not null"), regime)
     return rows.groupBy("factor", "slice").agg(F.count("rank_ic").alias("valid_dates"), F.avg("rank_ic").alias("mean_rank_ic"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_rate"))
 
 

@@ -24,17 +24,29 @@ def _boosted(p: dict):
     return OneVsRest(featuresCol="_x", labelCol="_y", classifier=GBTClassifier(maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)))
 
 
-def _linear(mix: float):
-    return lambda p: LinearRegression(featuresCol="_x", labelCol="_y", regParam=p.get("alpha", 1.0), elasticNetParam=p.get("l1_ratio", mix), standardization=False)
+def _linear(mix: float, alpha: float, summed: bool = False):
+    """Least squares with penalty ``alpha * (mix * sum |w| + (1 - mix) / 2 * sum w^2)``; ``summed``: against the sum of squared errors, not their mean.
+
+    Spark divides the squared part by the target's deviation, so both parameters are set against that; ``n`` and ``spread`` are those of the target.
+    """
+
+    def build(p: dict):
+        weight = p.get("alpha", alpha) / (p["n"] if summed else 1)
+        part = p.get("l1_ratio", mix)
+        first, second = weight * part, weight * (1 - part) * p["spread"]
+        return LinearRegression(featuresCol="_x", labelCol="_y", regParam=first + second, elasticNetParam=first / (first + second) if first + second else 0.0, standardization=False, maxIter=p.get("max_iter", 5000), tol=1e-9)
+
+    build.moments = True
+    return build
 
 
 MODELS: dict[str, tuple[str, Callable[[dict], object]]] = {
     "random_forest": ("class", _forest),
     "gradient_boosting": ("class", _boosted),
     "hist_gradient_boosting": ("class", _boosted),
-    "ridge": ("value", _linear(0.0)),
-    "lasso": ("value", _linear(1.0)),
-    "elasticnet": ("value", _linear(0.5)),
+    "ridge": ("value", _linear(0.0, 1.0, summed=True)),
+    "lasso": ("value", _linear(1.0, 0.001)),
+    "elasticnet": ("value", _linear(0.5, 0.001)),
 }
 #: Named by users of other engines, but without a counterpart here.
 ABSENT = ("extra_trees", "xgboost", "xgboost_regressor", "xgb_ranker")
@@ -53,6 +65,9 @@ def fit(rows: DataFrame, features: Sequence[str], name: str, **params):
     kind, build = MODELS[name]
     target = (F.col("label") + 1).cast("double") if kind == "class" else F.col("rel_return").cast("double")
     rows = rows.withColumn("_y", target).where("_y is not null")
+    if getattr(build, "moments", False):
+        n, spread = rows.dropna(subset=list(features)).agg(F.count("_y"), F.coalesce(F.stddev_pop("_y"), F.lit(0.0))).first()
+        params = params | {"n": max(1, n), "spread": spread}
     model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), build(params)]).fit(rows)
     return kind, model
 

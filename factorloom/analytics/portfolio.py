@@ -41,11 +41,12 @@ def volatility(train: DataFrame, *, least: int = 8, last_resort: float = 0.20) -
     return per.select("ticker", F.coalesce("vol", median, F.lit(last_resort)).alias("vol"))
 
 
-def heuristic_weights(scores: DataFrame, *, gross: float = 1.0, net: float = 0.0, cap: float = 0.25, clip_at: float = 3.0, vol_power: float = 0.0, min_score: float = 0.0, sector: str | None = None) -> DataFrame:
+def heuristic_weights(scores: DataFrame, *, gross: float = 1.0, net: float = 0.0, cap: float = 0.25, clip_at: float = 3.0, vol_power: float = 0.0, min_score: float = 0.0, min_names: int = 1, sector: str | None = None) -> DataFrame:
     """``(period, ticker, weight)`` from ``(period, ticker, score[, vol][, sector])``.
 
     Scores pass a gate, are standardised and clipped, scaled by ``vol ** -vol_power``, optionally freed of their sector's mean, and
-    split into sides with budgets ``(gross +- net) / 2``, each capped by name.
+    split into sides with budgets ``(gross +- net) / 2``, each capped by name.  A side of fewer than ``min_names`` has no weights, and its budget goes
+    to the other.
     """
     rows = scores.where(F.col("score").isNotNull() & (F.abs("score") >= min_score))
     rows = rows.withColumn("z", cs.zscore_clip(F.col("score"), clip_at, "period"))
@@ -54,7 +55,13 @@ def heuristic_weights(scores: DataFrame, *, gross: float = 1.0, net: float = 0.0
     if sector:
         rows = rows.withColumn("z", cs.demean(F.col("z"), "period", sector))
     rows = rows.withColumns({"side": F.signum("z").cast("int"), "size": F.abs("z")}).where("side <> 0")
-    rows = rows.withColumn("budget", F.when(F.col("side") > 0, F.lit((gross + net) / 2)).otherwise(F.lit((gross - net) / 2)))
+    gross = max(0.0, gross)
+    net = min(gross, max(-gross, net))
+    names = F.count(F.lit(1)).over(Window.partitionBy("period", "side"))
+    rows = rows.withColumn("_names", names).where(F.col("_names") >= min_names).drop("_names")
+    every = Window.partitionBy("period")
+    alone = F.min("side").over(every) == F.max("side").over(every)
+    rows = rows.withColumn("budget", F.when(alone, F.lit(gross)).when(F.col("side") > 0, F.lit((gross + net) / 2)).otherwise(F.lit((gross - net) / 2)))
     rows = capped(rows, "budget", cap, ["period", "side"])
     return rows.select("period", "ticker", (F.col("side") * F.col("weight")).alias("weight"))
 

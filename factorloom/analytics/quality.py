@@ -101,3 +101,10 @@ def enforce(ok: bool, message: str, mode: str = "warn") -> None:
         import warnings
 
         warnings.warn(message, stacklevel=2)
+
+
+def wanted_dates(days: DataFrame, catalog: DataFrame, api: str, refresh: int = 0) -> DataFrame:
+    """The ``trade_date`` of ``days`` that have to be fetched for an api: those without rows in the catalogue, and the last ``refresh`` ones anyway."""
+    have = catalog.where(F.col("api_name") == F.lit(api)).select("trade_date").distinct()
+    missing = days.select("trade_date").distinct().join(have, "trade_date", "left_anti")
+    return missing.union(days.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(refresh)).distinct() if refresh else missing

@@ -64,7 +64,7 @@ def evidence(panel: DataFrame, factors: Sequence[str], target: str, *, groups: i
         out[r.pop("factor")]["inference"] = r
     for r in of(ev.group_returns(daily).orderBy("factor", "group")):
         out[r.pop("factor")]["groups"].append(r)
-    for r in of(ev.slices(ic, daily, regime).orderBy("factor", "slice")):
+    for r in of(ev.slices(ic, regime).orderBy("factor", "slice")):
         out[r.pop("factor")]["slices"].append(r)
     statuses = {v["inference"]["status"] for v in out.values()}
     document = json_safe({"kind": "factor_evidence", "version": 1, "dataset": head, "inference": "complete" if statuses == {"complete"} else "partial" if "complete" in statuses else "not_provided", "factors": out})

@@ -88,6 +88,49 @@ def benchmark_series(raw: DataFrame) -> DataFrame:
     })
 
 
+def standard_panel(daily: DataFrame, *, factors: DataFrame | None = None, adjustment: DataFrame | None = None, limits: DataFrame | None = None, halts: DataFrame | None = None, stocks: DataFrame | None = None, benchmark: DataFrame | None = None, tickers: Sequence[str] | None = None, complete: bool = True) -> DataFrame:
+    """The canonical panel from vendor tables: bars, adjusted prices, limit and suspend flags, stock names, every date for every ticker, returns, benchmark.
+
+    Tables on ``(date, ticker)`` are joined to the bars; what isn't given is left out.  A panel without bars is an error.
+    """
+    panel = daily_bars(daily)
+    if tickers is not None:
+        panel = panel.where(F.col("ticker").isin(*tickers))
+    if panel.isEmpty():
+        raise ValueError("there are no daily bars")
+    for table in (factors, adjustment, limits):
+        if table is not None:
+            panel = panel.join(table, KEYS, "left")
+    if adjustment is not None:
+        panel = adjusted_prices(panel)
+    if limits is not None:
+        panel = limit_flags(panel)
+    if halts is not None:
+        panel = suspended(panel, halts)
+    if complete:
+        panel = complete_calendar(panel)
+    if stocks is not None:
+        panel = basics(panel, stocks)
+    panel = returns(panel)
+    return panel if benchmark is None else panel.join(F.broadcast(benchmark_series(benchmark)), "date", "left")  # a row a date
+
+
+#: Columns that a market's panel must have, by where labels come from.
+LABELS = {"actual": ("benchmark_next_period_return",), "pred_rel_return": ("pred_rel_return",)}
+
+
+def market_panel(panel: DataFrame, *, label_source: str = "actual", benchmark_return: str = "benchmark_next_period_return", benchmark_growth: str = "benchmark_cum_ret", filters: Sequence[str] = ()) -> DataFrame:
+    """The panel with benchmark columns under their own names; an error names columns that labels, returns or tradability ``filters`` need and it lacks."""
+    if label_source not in LABELS:
+        raise ValueError(f"no label source {label_source!r}; there are {sorted(LABELS)}")
+    for name, own in (("benchmark_next_period_return", benchmark_return), ("benchmark_cum_ret", benchmark_growth)):
+        if name not in panel.columns and own in panel.columns:
+            panel = panel.withColumn(name, F.col(own))
+    if absent := sorted({"next_period_return", "benchmark_cum_ret", *LABELS[label_source], *filters} - set(panel.columns)):
+        raise ValueError(f"the panel lacks {absent}")
+    return panel
+
+
 def tradable(panel: DataFrame, *, suspend: bool = True, st: bool = True, up_limit: bool = True, down_limit: bool = True) -> DataFrame:
     for c in ("is_tradable", "tradeable"):
         if c in panel.columns:
@@ -158,8 +201,10 @@ def feature_lag(panel: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return out.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()) if columns else out
 
 
-def preprocess(panel: DataFrame, threshold: float, *, reference: DataFrame | None = None) -> DataFrame:
-    """Infinities, forward fill, fill from reference rows, relative return and label."""
+def preprocess(panel: DataFrame, threshold: float, *, reference: DataFrame | None = None, profile: Mapping[str, object] | None = None) -> DataFrame:
+    """Market profile (options of ``market_panel``), infinities, forward fill, fill from reference rows, relative return and label."""
+    if profile is not None:
+        panel = market_panel(panel, **profile)
     names = feature_columns(panel)
     numbers = [c for c in names if dict(panel.dtypes)[c] in ("float", "double")]
     out = forward_filled(without_infinities(panel, numbers), names)
@@ -192,7 +237,12 @@ def between(panel: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Each left row with the last right value at or before its date: union and one window, no range join."""
+    """Each left row with the last right value at or before its date: union and one window, no range join.
+
+    Without ``by`` both are in one task, so the left table may then have one row a date at most, as calendars and benchmarks do.
+    """
+    if not by and left.groupBy("date").count().where("count > 1").limit(1).count():
+        raise ValueError("an as-of join of several rows a date needs a key")
     rows = left.withColumns({"_v": F.lit(None).cast(dict(right.dtypes)[value]), "_left": F.lit(1)})
     marks = right.select("date", *by, F.col(value).alias("_v"), F.lit(0).alias("_left"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("date", "_left").rowsBetween(Window.unboundedPreceding, 0)

@@ -359,7 +359,7 @@ def group_returns_panel(spark, d):
 
 @query(f"WITH {MOMENTUM} SELECT strftime(date, '%Y') AS slice, count(rank_ic) AS valid_dates, round(avg(rank_ic), 6) AS mean_rank_ic, round(avg((rank_ic > 0)::INT), 6) AS positive_rate FROM i WHERE rank_ic IS NOT NULL GROUP BY 1")
 def annual_slices(spark, d):
-    return ev.slices(momentum_ic(spark, d), None).select("slice", "valid_dates", r(c("mean_rank_ic")).alias("mean_rank_ic"), r(c("positive_rate")).alias("positive_rate"))
+    return ev.slices(momentum_ic(spark, d)).select("slice", "valid_dates", r(c("mean_rank_ic")).alias("mean_rank_ic"), r(c("positive_rate")).alias("positive_rate"))
 
 
 BENCH = f"b AS (SELECT date, avg(close) AS benchmark_close FROM ({MONTH}) GROUP BY 1), br AS (SELECT *, benchmark_close / lag(benchmark_close) OVER (ORDER BY date) - 1 AS ret FROM b)"

@@ -16,9 +16,11 @@ _base: dict[str, str] = {}
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; below a temporary folder only where that is unset, as in tests."""
+    """A fresh path in ``spark.checkpoint.dir``; below a temporary folder only where that is unset and all tasks run on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _base.setdefault(app, "") or _base.update({app: "file://" + tempfile.mkdtemp(prefix="factorloom-")}) or _base[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -55,6 +55,68 @@ def test_store_round_trip_and_reuse(spark, bars):
     assert "mine_one" in store.load().columns
 
 
+@pytest.mark.parametrize("family", ["alpha101", "alpha191", "alpha158", "alpha360"])
+def test_incremental_families_equal_full_ones(spark, bars, family):
+    """New dates and a changed bar leave the store as a full build would, running products and gaps at chunk ends too."""
+    from factorloom.factors.families import add_family, expected_columns
+
+    gaps = bars.where("ticker in ('A', 'B', 'C')").withColumn("close", F.when(~((F.col("ticker") == "B") & F.dayofyear("date").between(38, 44)), F.col("close")))
+    store = Store(spark, shared(spark, "store"))
+    store.write_base(gaps.where(F.col("date") < datetime(2023, 3, 1)), 20)
+    store.write_family(family)
+    store.write_base(gaps, 20, updating=[family])
+    done = store.write_family(family)
+    assert done["written"] == [2, 3, 4] and done["reused"] == [0, 1]
+    names = expected_columns(family)
+    assert rows_of(store.load([family]).select("date", "ticker", *names)) == rows_of(add_family(gaps, family).select("date", "ticker", *names))
+
+
+def test_store_keeps_bases_and_families_together(spark, bars):
+    from factorloom.factors.families import alpha360
+    from factorloom.sources.store import looks_back
+
+    assert looks_back("alpha360") == 59 and looks_back("alpha101") is None
+    store = Store(spark, shared(spark, "store"))
+    some = bars.where("ticker in ('A', 'B')")
+    wide = some.join(alpha360(some), ["date", "ticker"])
+    assert store.write_panel(wide, 30)["alpha360"]["written"] == [0, 1, 2]
+    assert set(store.load().columns) == set(wide.columns)
+    assert rows_of(store.load().select("date", "ticker", "alpha360_vwap_lag07", "close")) == rows_of(wide.select("date", "ticker", "alpha360_vwap_lag07", "close"))
+    assert store.load(dates=[datetime(2023, 1, 5), datetime(2023, 3, 2)]).count() == 4
+    # fewer dates under a family that isn't brought up to date
+    with pytest.raises(ValueError, match="alpha360"):
+        store.write_base(some.where(F.col("date") < datetime(2023, 2, 1)), 30, updating=["alpha158"])
+    with pytest.raises(ValueError, match="repeated"):
+        store.write_base(some.union(some.limit(1)), 30)
+    store.write_base(some.where(F.col("date") < datetime(2023, 2, 15)), 30)
+    assert store.base().count() == 2 * 45 and store.stale() == ["alpha360"]
+    with pytest.raises(ValueError, match="older base"):
+        store.load()
+    store.write_family("alpha360", overwrite=True)
+    assert store.load().count() == 2 * 45
+    with pytest.raises(ValueError, match="dates back"):
+        store.write_family("alpha101", look_back=60)
+    # a version that a dying run never finished is not read
+    number = store.manifest()["number"]
+    store._write(some.withColumn("chunk", F.lit(0)), "base", [0])
+    assert store.manifest()["number"] == number and store.base().count() == 2 * 45
+
+
+def test_ridge_is_the_closed_form(spark):
+    from factorloom.analytics import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = x @ [0.02, -0.01, 0.0] + 0.003 + rng.normal(size=300) * 0.01
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "rel_return": y, "label": 0}))
+    for alpha in (1.0, 50.0):
+        fitted = models.fit(rows, ["a", "b", "c"], "ridge", alpha=alpha)
+        centred, target = x - x.mean(0), y - y.mean()
+        want = np.linalg.solve(centred.T @ centred + alpha * np.eye(3), centred.T @ target)
+        assert np.allclose(fitted[1].stages[-1].coefficients.toArray(), want, atol=1e-8)
+    assert any(v for _, v in models.importances(models.fit(rows, ["a", "b", "c"], "lasso"), ["a", "b", "c"]))
+
+
 def test_stream_into_store(spark, bars):
     from factorloom.streaming.incremental import follow
 
