@@ -53,6 +53,54 @@ def against_benchmark(series: DataFrame, benchmark: DataFrame, per_year: float =
     return out.select("series", "n", (F.col("active") * year).alias("active_return"), (F.col("_te") * F.sqrt(year)).alias("tracking_error"), safe_div(F.col("active") * F.sqrt(year), F.col("_te")).alias("information_ratio"), "beta", ((F.col("_r") - F.col("beta") * F.col("_b")) * year).alias("alpha"))
 
 
+def hedged(series: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(series, date, ret, b, hedged, residual, hedged_nav)``: each series less beta times the benchmark, and what a straight line leaves."""
+    w = Window.partitionBy("series")
+    rows = series.join(benchmark.select("date", F.col("ret").alias("b")), "date").where("ret is not null and b is not null")
+    beta = safe_div(F.covar_samp("ret", "b").over(w), F.var_samp("b").over(w))
+    alpha = F.avg("ret").over(w) - beta * F.avg("b").over(w)
+    rows = rows.select("series", "date", "ret", "b", (F.col("ret") - beta * F.col("b")).alias("hedged"), (F.col("ret") - alpha - beta * F.col("b")).alias("residual"))
+    return rows.withColumn("hedged_nav", F.product(1 + F.col("hedged")).over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def comparison(series: DataFrame, benchmark: DataFrame, per_year: float = 12.0) -> DataFrame:
+    """By series, against the benchmark on the dates that both have: excess return, win rate, tracking error, information ratio, alpha and beta of a period, hedged Sharpe of a period."""
+    year, excess = F.lit(per_year), F.col("ret") - F.col("b")
+    out = hedged(series, benchmark).groupBy("series").agg(
+        F.avg((excess > 0).cast("double")).alias("win_rate_vs_benchmark"), F.avg(excess).alias("avg_excess_return"), (F.stddev_samp(excess) * F.sqrt(year)).alias("tracking_error"),
+        safe_div(F.covar_samp("ret", "b"), F.var_samp("b")).alias("beta"), F.avg("ret").alias("_r"), F.avg("b").alias("_b"), safe_div(F.avg("hedged"), F.stddev_samp("hedged")).alias("hedged_sharpe"),
+    )
+    return out.withColumns({"alpha": F.col("_r") - F.col("beta") * F.col("_b"), "information_ratio": safe_div(F.col("avg_excess_return") * year, F.col("tracking_error"))}).drop("_r", "_b")
+
+
+def spread_of(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Mean, median, smallest and largest value of a column, such as turnover or active names by period."""
+    return rows.groupBy(*by).agg(F.avg(column).alias(f"avg_{column}"), F.percentile(column, F.lit(0.5)).alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
+
+
+def ratio_of(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Mean, sample deviation, their ratio and the share of positive values of a column, such as a period's IC."""
+    return rows.groupBy(*by).agg(F.avg(column).alias(f"{column}_mean"), F.stddev_samp(column).alias(f"{column}_std"), safe_div(F.avg(column), F.stddev_samp(column)).alias(f"{column}_ir"), F.avg((F.col(column) > 0).cast("double")).alias(f"{column}_positive"))
+
+
+def report(results: dict[str, DataFrame], benchmark: DataFrame | None = None, per_year: float = 12.0) -> DataFrame:
+    """``(metric, value)`` of a backtest's tables (``returns``, ``exposures``, ``ic``): strategy, benchmark, comparison, turnover, active names and ICs."""
+    returns = results["returns"].select(F.lit("strategy").alias("series"), F.col("period").alias("date"), F.col("net_return").alias("ret"))
+    parts = [("strategy_", metrics(returns, per_year).drop("series", "n")), ("", spread_of(results["returns"].withColumn("one", F.lit(1)), "turnover", ["one"]).withColumn("annual_turnover", F.col("avg_turnover") * per_year).drop("one"))]
+    if benchmark is not None:
+        parts += [("benchmark_", metrics(benchmark.withColumn("series", F.lit("benchmark")).join(returns.select("date"), "date", "left_semi"), per_year).drop("series", "n")), ("", comparison(returns, benchmark, per_year).drop("series"))]
+    if "exposures" in results:
+        parts.append(("", spread_of(results["exposures"].select(F.lit(1).alias("one"), (F.col("longs") + F.col("shorts")).alias("active_names")), "active_names", ["one"]).drop("one")))
+    if "ic" in results:
+        parts += [("", ratio_of(results["ic"].withColumn("one", F.lit(1)), c, ["one"]).drop("one")) for c in ("ic", "rank_ic")]
+    out = None
+    for prefix, one in parts:
+        long = one.select(*[F.col(c).cast("double").alias(prefix + c) for c in one.columns]).withColumn("_", F.lit(0))
+        long = long.unpivot(["_"], [c for c in long.columns if c != "_"], "metric", "value").drop("_")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def histogram(values: DataFrame, column: str, most: int = 10) -> DataFrame:
     """Equal-width bins, ``min(most, floor(sqrt n))`` of them, the last closed on the right."""
     span = values.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.analytics import backtest as bt
 from factorloom.analytics import evidence as ev
 from factorloom.analytics import models
+from factorloom.analytics import performance as perf
 from factorloom.analytics import portfolio as pf
 from factorloom.analytics import quality as qa
 from factorloom.expressions import Expr, field
@@ -19,7 +20,7 @@ from factorloom.functions import safe_div, to_float
 from factorloom.operators import standardise as std
 from factorloom.panel import monthly
 from factorloom.plans.factor_sql import digits, family_sql
-from factorloom.plans.queries import BENCH, CATALOG, CLASSIC_BARS, DATED, GROUPED, MOMENTUM, MONTH, RAW_WEIGHTS, SQL_RANK, W, benchmark, catalog, day, key, momentum, query, r, raw_weights, sql_window, whole_family
+from factorloom.plans.queries import BENCH, CATALOG, CLASSIC_BARS, DATED, GROUPED, MOMENTUM, MONTH, RAW_WEIGHTS, SQL_RANK, W, benchmark, catalog, day, key, momentum, momentum_ic, query, r, raw_weights, series, SERIES, sql_window, whole_family
 from factorloom.sources import tables
 from factorloom.sources.store import Store, snapshot
 from factorloom.streaming.incremental import merge_batch, windowed_bars
@@ -312,3 +313,24 @@ def halts_and_names(spark, d):
     # every name has letters of Supplier, so only the digit that is replaced tells
     out = std.basics(std.suspended(p, h.union(h)), stocks)
     return out.select(*key(), "is_suspended", c("is_st").alias("marked"), "listed_days")
+
+
+@query(f"""{SERIES}, m AS (SELECT date, avg(ret) AS b FROM q GROUP BY 1), j AS (SELECT q.series, ret, b, regr_slope(ret, b) OVER s AS beta, regr_intercept(ret, b) OVER s AS alpha FROM q JOIN m USING (date) WINDOW s AS (PARTITION BY series))
+  SELECT series, round(avg((ret > b)::INT), 6) AS win_rate, round(avg(ret - b), 7) AS excess, round(max(alpha), 7) AS alpha, round(max(beta), 5) AS beta, round(avg(ret - b) * 12 / (stddev_samp(ret - b) * sqrt(12)), 5) AS information_ratio,
+         round(avg(ret - beta * b) / stddev_samp(ret - beta * b), 5) AS hedged_sharpe, round(product(1 + ret - beta * b), 5) AS hedged_nav FROM j GROUP BY 1""")
+def hedged_comparison(spark, d):
+    s = series(spark, d)
+    m = s.groupBy("date").agg(F.avg("ret").alias("ret"))
+    end = perf.hedged(s, m).groupBy("series").agg(F.max_by("hedged_nav", "date").alias("hedged_nav"))
+    x = perf.comparison(s, m).join(end, "series")
+    names = {"win_rate_vs_benchmark": ("win_rate", 6), "avg_excess_return": ("excess", 7), "alpha": ("alpha", 7), "beta": ("beta", 5), "information_ratio": ("information_ratio", 5), "hedged_sharpe": ("hedged_sharpe", 5), "hedged_nav": ("hedged_nav", 5)}
+    return x.select("series", *[r(c(k), n).alias(a) for k, (a, n) in names.items()])
+
+
+@query(f"""WITH {MOMENTUM}, t AS (SELECT rank_ic AS v FROM i) SELECT round(avg(v), 6) AS rank_ic_mean, round(stddev_samp(v), 6) AS rank_ic_std, round(avg(v) / stddev_samp(v), 6) AS rank_ic_ir, round(avg((v > 0)::INT), 6) AS rank_ic_positive,
+  round(quantile_cont(v, 0.5), 6) AS median_rank_ic, round(max(v), 6) AS max_rank_ic FROM t""")
+def metric_blocks(spark, d):
+    """The blocks of a run's figures by period: spread, and mean over deviation."""
+    i = momentum_ic(spark, d)
+    out = perf.ratio_of(i, "rank_ic", ["factor"]).join(perf.spread_of(i, "rank_ic", ["factor"]), "factor")
+    return out.select(*[r(c(n)).alias(n) for n in ("rank_ic_mean", "rank_ic_std", "rank_ic_ir", "rank_ic_positive", "median_rank_ic", "max_rank_ic")])

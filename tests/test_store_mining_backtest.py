@@ -188,3 +188,26 @@ def test_walk_forward(spark, bars):
     assert got > 0.7
     with pytest.raises(ValueError):
         models.fit(train, ["f1"], "xgboost")
+
+
+def test_what_a_run_leaves(spark, tmp_path):
+    import json
+
+    from factorloom.analytics.outputs import write_run
+
+    rows = [(date(2023, i, 1), 0.01 * i, 0.01 * i - 0.002, 0.3 + 0.01 * i) for i in range(1, 7)]
+    returns = spark.createDataFrame(rows, "period date, gross_return double, net_return double, turnover double")
+    exposures = spark.createDataFrame([(r[0], 1.0, 0.0, 0.2, 5, 4 + i) for i, r in enumerate(rows)], "period date, gross double, net double, largest double, longs long, shorts long")
+    ic = spark.createDataFrame([(r[0], 0.1 - 0.05 * i, 0.2) for i, r in enumerate(rows)], "period date, ic double, rank_ic double")
+    benchmark = spark.createDataFrame([(r[0], 0.005 * (-1) ** i) for i, r in enumerate(rows)], "date date, ret double")
+    where = str(tmp_path / "run")
+    figures = write_run({"returns": returns, "exposures": exposures, "ic": ic}, where, benchmark=benchmark, settings={"model": "ridge", "api_token": "x"})
+    net = np.array([r[2] for r in rows])
+    assert abs(figures["strategy_total_return"] - (np.prod(1 + net) - 1)) < 1e-12
+    assert abs(figures["avg_turnover"] - 0.335) < 1e-12 and abs(figures["annual_turnover"] - 12 * 0.335) < 1e-12
+    assert figures["median_active_names"] == 11.5 and figures["rank_ic_ir"] is None
+    assert abs(figures["beta"] - np.polyfit([0.005 * (-1) ** i for i in range(6)], net, 1)[0]) < 1e-9
+    text = lambda n: "\n".join(r[0] for r in spark.read.text(f"{where}/{n}").collect())
+    assert json.loads(text("settings_json")) == {"api_token": "***", "model": "ridge"}
+    assert json.loads(text("metrics_json"))["beta"] == figures["beta"]
+    assert spark.read.option("header", True).csv(f"{where}/hedged").count() == 6
