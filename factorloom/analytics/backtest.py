@@ -44,6 +44,14 @@ def spans(start: date, windows: int, train_months: int, test_months: int) -> Ite
         yield Span(a, b, b, add_months(b, test_months))
 
 
+def segments(parts: Sequence[tuple[date, int, int, int]]) -> list[Span]:
+    """Spans of several segments ``(start, windows, train_months, test_months)`` one after another; a later one goes on where the tests before it end."""
+    out: list[Span] = []
+    for part in parts:
+        out += [s for s in spans(*part) if not out or s.test_start >= out[-1].test_end]
+    return out
+
+
 def walk_forward(panel: DataFrame, features: Sequence[str], steps: Sequence[Span], *, model: str = "ridge", threshold: float = 0.0, cost_bps: float = 0.0, cap: float = 0.25, vol_power: float = 0.0, settle=None, **params) -> dict[str, DataFrame]:
     """Weights, period returns, exposures and period ICs of a walk-forward run.
 

@@ -85,16 +85,26 @@ def factor_mining(a) -> None:
 def backtest(a) -> None:
     from datetime import date
 
-    from factorloom.analytics.backtest import holdout, spans, walk_forward
-    from factorloom.analytics.outputs import summary, write_csv
+    from factorloom.analytics.backtest import holdout, segments, walk_forward
+    from factorloom.analytics.outputs import summary, write_run
     from factorloom.analytics.performance import metrics
     from factorloom.config import resolve
     from factorloom.sources.tables import scan_panel, settled
     from pyspark.sql import functions as F
 
     s = resolve(a.config, a.set, {"model": "ridge", "train_months": 60, "test_months": 3, "windows": 20, "cost_bps": 0.0, "cap": 0.25})
-    panel, options = scan_panel(_spark(), a.panel), {"model": s["model"], "cost_bps": s["cost_bps"], "cap": s["cap"], "settle": settled}
-    steps = list(spans(date.fromisoformat(s["start"]), s["windows"], s["train_months"], s["test_months"]))
+    parts = [(date.fromisoformat(x["start"]), x["windows"], x["train_months"], x["test_months"]) for x in [s, *[s | more for more in s.get("then", [])]]]
+    steps = segments(parts)
+    if a.store:  # only the chunks of the run's dates
+        from factorloom.sources.store import Store
+
+        end = s.get("holdout_end") or str(max(x.test_end for x in steps))
+        panel = Store(_spark(), a.store).load(a.family or None, start=str(min(x.train_start for x in steps)), end=end)
+    elif a.panel:
+        panel = scan_panel(_spark(), a.panel)
+    else:
+        raise SystemExit("a backtest needs --panel or --store")
+    options = {"model": s["model"], "cost_bps": s["cost_bps"], "cap": s["cap"], "settle": settled} | s.get("params", {})
     runs = {"rolling": walk_forward(panel, s["features"], steps, **options)}
     if "holdout_start" in s:
         runs["holdout"] = holdout(panel, s["features"], date.fromisoformat(s["holdout_start"]), date.fromisoformat(s["holdout_end"]), months=s["test_months"], **options)
@@ -103,7 +113,7 @@ def backtest(a) -> None:
         series = out["returns"].select(F.lit("strategy").alias("series"), F.col("period").alias("date"), F.col("net_return").alias("ret"))
         figures[name] = metrics(series, per_year=4.0 if name == "rolling" else 12 / s["test_months"]).first().asDict()
         if a.output:
-            write_csv(out, f"{a.output}/{name}")
+            write_run(out, f"{a.output}/{name}", settings=s, title=name, per_year=4.0 if name == "rolling" else 12 / s["test_months"])
         if a.text:
             print(summary(name, figures[name], s))
     if not a.text:
@@ -129,7 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     command("parquet-rewrite", parquet_rewrite, ("source", {}), ("target", {}), ("--codec", {"default": "zstd"}), ("--level", {"type": int}))
     command("classic-factors", classic_factors, panel, ("--target", {"required": True}), family, dtype)
     command("factor-mining", factor_mining, panel, ("--field", {"action": "append", "required": True}), ("--horizon", {"type": int, "default": 1}), ("--population", {"type": int, "default": 100}), ("--generations", {"type": int, "default": 20}), ("--depth", {"type": int, "default": 4}), ("--seed", {"type": int, "default": 42}))
-    command("backtest", backtest, panel, ("--output", {}), ("--text", {"action": "store_true"}), ("--config", {"action": "append", "default": []}), ("--set", {"action": "append", "default": []}))
+    command("backtest", backtest, ("--panel", {}), store, family, ("--output", {}), ("--text", {"action": "store_true"}), ("--config", {"action": "append", "default": []}), ("--set", {"action": "append", "default": []}))
     a = top.parse_args(argv)
     a.run(a)
     return 0

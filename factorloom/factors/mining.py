@@ -9,13 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.analytics.evidence import daily_ic, long_factors
+from factorloom.analytics.evidence import daily_ic, long_factors, mining_groups
 from factorloom.expressions import Expr, field, with_factors
 from factorloom.functions import finite, safe_div
+from factorloom.operators.crosssection import residual
 from factorloom.operators.timeseries import TickerWindow
 
 #: Windows that trees may use; fixed values.
 WINDOWS = (3, 5, 10, 20, 60)
+#: Columns that may hold a market value, the first that a panel has.
+SIZES = ("total_mv", "circ_mv", "market_cap")
 SERIES1, SERIES2, TIMED = ("neg", "safe_log", "safe_sqrt", "rank"), ("+", "-", "*", "safe_div"), ("delay", "mean", "std", "ts_min", "ts_max", "delta", "corr")
 
 W = TickerWindow()
@@ -59,8 +62,8 @@ class Grower:
         sub = lambda: self.tree(most - 1, whole)
         if op in SERIES1:
             return Expr(op, (sub(),))
-        if op in SERIES2:
-            return Expr(op, (sub(), sub()))
+        if op in SERIES2:  # one in eight has a plain number on the right
+            return Expr(op, (sub(), round(self.rng.uniform(-1, 1), 3) if self.rng.random() < 0.125 else sub()))
         return Expr(op, (*([sub(), sub()] if op == "corr" else [sub()]), self.rng.choice(WINDOWS)))
 
     def population(self, n: int, most: int) -> list[Expr]:
@@ -85,9 +88,11 @@ class Grower:
 
 
 def inputs(panel: DataFrame, fields: Sequence[str], horizon: int = 1) -> DataFrame:
-    """Fields, the forward return over ``horizon`` bars, and size where the panel has one."""
+    """Fields, the forward return over ``horizon`` bars, and ``_size``, the logarithm of the market value, where the panel has one (of SIZES)."""
     close = "close_adj" if "close_adj" in panel.columns else "close"
-    return panel.select("date", "ticker", *fields, W.forward_return(F.col(close), horizon).alias("_future"))
+    size = next((c for c in SIZES if c in panel.columns), None)
+    more = [F.when(F.col(size) > 0, F.ln(F.col(size))).alias("_size")] if size else []
+    return panel.select("date", "ticker", *fields, W.forward_return(F.col(close), horizon).alias("_future"), *more)
 
 
 def fitness(rows: DataFrame, trees: Sequence[Expr], penalty: float, least: int = 100) -> list[float]:
@@ -154,3 +159,11 @@ def out_of_sample(rows: DataFrame, tree: Expr) -> DataFrame:
     ic = daily_ic(long_factors(made, ["mined"], "_future", finite_only=True))
     return ic.agg(F.avg("rank_ic").alias("rank_ic_mean"), safe_div(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("icir"), F.count("rank_ic").alias("dates"))
 
+
+def neutral_quintiles(rows: DataFrame, tree: Expr) -> DataFrame:
+    """``(group, mean_return, periods)`` of a mined factor's quintiles, freed of size by a line in each date's cross-section where ``inputs`` found one."""
+    sized = "_size" in rows.columns
+    made = with_factors(rows, {"mined": tree}, ["date", "ticker", "_future", *(["_size"] if sized else [])])
+    if sized:
+        made = made.withColumn("mined", residual(finite(F.col("mined")), F.col("_size")))
+    return mining_groups(long_factors(made, ["mined"], "_future", finite_only=True)).select("group", "mean_return", "periods")

@@ -146,7 +146,7 @@ def test_tables(spark, bars):
 
 
 def test_mining(spark, bars):
-    from factorloom.factors.mining import Grower, depth, fitness, formula, inputs, mine, nodes, out_of_sample
+    from factorloom.factors.mining import Grower, depth, fitness, formula, inputs, mine, neutral_quintiles, nodes, out_of_sample
     from factorloom.expressions import Expr, field
     from factorloom.sources.tables import settled
 
@@ -164,6 +164,13 @@ def test_mining(spark, bars):
     found = mine(rows, ["close", "volume"], population=6, generations=2, most_depth=3, seed=1, settle=settled)
     assert found.score >= 0 and len(found.history) <= 3 and found.history == sorted(found.history)
     assert out_of_sample(rows, found.best).count() == 1
+    # plain numbers stand in trees, and size takes no part in neutral quintiles
+    trees = [t for seed in range(8) for t in Grower(["close", "volume"], seed).population(20, 4)]
+    numbered = [t for t in trees if any(isinstance(a, float) for _, e in nodes(t) for a in e.args)]
+    assert numbered and all(0 <= s <= 1 for s in fitness(rows, numbered[:4], 0.0, least=10))
+    sized = inputs(bars.withColumn("total_mv", F.exp(F.ascii("ticker") / 10.0)), ["close", "volume"])
+    assert "_size" in sized.columns
+    assert neutral_quintiles(sized, found.best).columns == ["group", "mean_return", "periods"]
 
 
 def test_walk_forward(spark, bars):
@@ -190,6 +197,14 @@ def test_walk_forward(spark, bars):
         models.fit(train, ["f1"], "xgboost")
 
 
+def test_segments_follow_each_other():
+    from factorloom.analytics.backtest import segments
+
+    steps = segments([(date(2020, 1, 1), 3, 12, 3), (date(2020, 1, 1), 8, 24, 3), (date(2019, 1, 1), 40, 36, 3)])
+    assert len(steps) == 3 + 8 + 32
+    assert all(a.test_end <= b.test_start for a, b in zip(steps, steps[1:]))
+
+
 def test_what_a_run_leaves(spark, tmp_path):
     import json
 
