@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: signature trees over the sets of a token, exact verification, components."""
+"""N-gram Jaccard join: prefix blocks, signature trees inside them, exact verification, components."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, delete, discard, i64, join_by_frequency, new_path, rolling, saved, slices
+from factorloom.llm.common import WordHashes, delete, discard, i64, new_path, rolling, saved, slices
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 HEAVY_BITS = 23
-BLOCK, LEAF, FOLD, HUB_FOLD = 512, 16, 4096, 1024
+BLOCK, LEAF, FOLD = 512, 16, 4096
 
 
 class Shingles:
@@ -320,13 +320,11 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)``: connected components of documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
-    1. Documents with equal sets are one from here on, by 128 bits of hashes.  Every set sends its prefix tokens; the sets of a token
-       are dealt into cells of about 512, and each cell makes a signature tree.
-    2. Hubs, the smallest id of each size band of a token, are taken down the trees; what may link with them is verified by the
-       sets themselves.  This joins most copies of one text by stars, not by all pairs.
-    3. Tokens that still hold several components are dealt again, two blocks to a cell, and their trees are traversed against each other
-       for pairs across components that may link; these are verified likewise.
-    So tokens only place sets, and all candidates come from trees.
+    1. Documents with equal sets are one from here on, by 128 bits of hashes.  Every set sends its prefix tokens.
+    2. Within a token and size band all sets are compared with the one of the smallest id: whole-text bitmaps first, then
+       the sets themselves.  This joins most copies of one text by a star, not by all pairs.
+    3. What is left in tokens that still hold several components is dealt into cells of at most two blocks of about
+       512 sets.  A signature tree in each finds pairs across components that may link; these are verified likewise.
     No link is lost: each linking pair shares a prefix token, and is in one component after (2) or a candidate in (3).
 
     A null text, or one without words, has an empty set and is linked with nothing.  A null id is kept,
@@ -362,8 +360,11 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     members = tokens.join(twice, "token", "left_semi").distinct()
     members = saved(members.join(reps.select("key", "id", "n"), "key").withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(percent / 100)))).cast("int")), "members")
     used = lambda pairs: bits.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    stars = hub_pairs(members, used, percent)
-    links = verified(stars, docs, reps, k, percent)
+    # stars around the smallest id of each token and band, also from the next band
+    hub = members.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub"))
+    hubs = hub.select("token", "band", F.col("hub.key").alias("b")).union(hub.select("token", F.col("band") + 1, F.col("hub.key")))
+    stars = saved(ordered_pairs(members.select("token", "band", F.col("key").alias("a")).join(hubs, ["token", "band"])), "stars")
+    links = verified(plausible(stars, used, percent), docs, reps, k, percent)
     roots = saved(components(links), "roots")
     # tokens that still hold several components
     placed = members.join(roots, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
@@ -381,24 +382,8 @@ def with_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     return out.select("id", "row", "n", component.alias("component_id"))
 
 
-def hub_pairs(members: DataFrame, used, percent: int) -> DataFrame:
-    """Saved candidate pairs ``(a, b)`` of the sets of each token with its hubs, one for each size band.
-
-    Tokens of two sets are trees of one leaf each: the pair's whole bitmaps tell.  Those of more are cells of one block of sets and the token's hubs.
-    """
-    size = saved(members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("a"), F.max("key").alias("b")).where("m > 1"), "token-sizes")
-    two = saved(plausible(saved(size.where("m = 2 and a <> b").select("a", "b").distinct(), "twos"), used, percent), "leaves")
-    more = size.where("m > 2").select("token", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    inside = saved(join_by_frequency(members.select("token", "key", "id", "band"), more, ["token"], count="m"), "grouped")
-    own = inside.select("token", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("i"), F.lit(0).alias("block"), "key")
-    hubs = inside.groupBy("token", "band").agg(F.min(F.struct("id", "key")).alias("hub"), F.first("m").alias("m"))
-    hubs = hubs.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(1).alias("block"), F.col("hub.key").alias("key"))
-    bits = saved(fold_bits(used(inside.select(F.col("key").alias("a")).distinct().select("a", F.col("a").alias("b"))), HUB_FOLD), "hub-bits")
-    found = tree_pairs(own.union(hubs).join(bits, "key").select("token", "i", F.col("i").alias("j"), "key", "n", F.col("key").alias("root"), "block", "bits"), percent)
-    stars = saved(found.union(two).distinct(), "stars")
-    discard(size, two, inside, bits)
-    return stars
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cells(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
