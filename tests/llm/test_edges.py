@@ -37,19 +37,21 @@ def test_stages_take_clashing_columns_nulls_and_empty_tables(spark, docs, rows,
 
     benchmark = spark.createDataFrame([(1, rows[1]), (2, None)], "item_id long, text string").withColumns({"_found": F.lit(1), "id": F.lit(1)})
     labels = spark.createDataFrame([(i, int(i == 3)) for i in range(12)], "doc_id long, toxic int")
-    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
-    for out in (one_of_each(docs), without_contaminated(docs, benchmark), drop_repeated_lines(docs), without_toxic(docs, train(docs, labels, usable=F.lit(True)))):
+    ids = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+    whole, got = ids(docs.collect()), {}
+    stages = {"near": one_of_each, "bench": lambda d: without_contaminated(d, benchmark), "lines": drop_repeated_lines, "toxic": lambda d: without_toxic(d, train(d, labels, usable=F.lit(True)))}
+    for name, stage in stages.items():
+        out = stage(docs)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
-        assert {r[0] for r in out.select("_copy").collect()} == {"clash"}
-    gone = set(ids(docs)) - set(ids(without_contaminated(docs, benchmark)))
-    assert gone == {(False, 22)}
-    assert set(ids(docs)) - set(ids(one_of_each(docs))) == {(False, 21)}
-    assert ids(one_of_each(docs)).count((False, 24)) == 1  # the copy goes, the empty text of the same id stays
-    assert ids(mix(docs)) == ids(docs)
-    none = docs.limit(0)
-    for out in (one_of_each(none), without_contaminated(none, benchmark), drop_repeated_lines(none), without_toxic(none, train(none, labels, usable=F.lit(True))), in_training_order(mix(none))):
-        assert out.count() == 0
-    assert ids(without_contaminated(docs, benchmark.limit(0))) == ids(docs)
+        got[name] = out.collect()
+        assert {r["_copy"] for r in got[name]} == {"clash"}
+        assert stage(docs.limit(0)).count() == 0
+    assert set(whole) - set(ids(got["bench"])) == {(False, 22)}
+    assert set(whole) - set(ids(got["near"])) == {(False, 21)}
+    assert ids(got["near"]).count((False, 24)) == 1  # the copy goes, the empty text of the same id stays
+    assert ids(got["lines"]) == whole == ids(mix(docs).collect())
+    assert in_training_order(mix(docs.limit(0))).count() == 0
+    assert ids(without_contaminated(docs, benchmark.limit(0)).collect()) == whole
 
 
 @pytest.mark.parametrize("min_run", [1, 2, 3, 4])
@@ -124,7 +126,7 @@ def test_toxicity_of_one_kind_in_a_fold_and_of_empty_tables(spark):
     rng = random.Random(3)
     docs = [(i, prose(rng, 20) + (" you stupid idiot" if i % 5 == 0 else "")) for i in range(60)]
     table = spark.createDataFrame(docs + [docs[0], (None, "x")], "doc_id long, text string")
-    for kept in (lambda i: i % 5 == 0, lambda i: i % 5 != 0, lambda i: i < 6, lambda i: i < 25):
+    for kept in (lambda i: i % 5 == 0, lambda i: i < 6, lambda i: i < 25):
         labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs if kept(i)], "doc_id long, toxic int")
         out = held_out_scores(table, labels).collect()
         assert len(out) == 62 and all(0 <= r["score"] <= 1 for r in out)
