@@ -78,6 +78,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.merkle import manifest, stripped_of_newlines
+
+    docs = read(spark, sf_dir, "documents")
+    return manifest(docs, tampered=stripped_of_newlines(docs)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -131,3 +138,40 @@ ORACLE: dict[str, str] = {
                greatest(0, least(size, round(target)::BIGINT - start)) + greatest(0, least(size, round(target)::BIGINT - start - source_size)) AS taken
         FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
 }
+
+#: CRC-32 of a column's text, bit by bit: DuckDB has no such function.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split({text}, '')])::BIGINT[]),
+              lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295)"""
+
+
+
+def field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE octet_length(encode({name}::VARCHAR)) || ':' || {name} END"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+        WITH RECURSIVE c AS (SELECT *, {CRC32.format(text="doc_id::VARCHAR")} AS crc FROM documents),
+             v AS (SELECT doc_id, source, {field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} AS head, {field('text')} AS body,
+                          CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM c),
+             l AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || {field('other')}) AS bad FROM v),
+             b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+             t AS (SELECT source, 0 AS lvl, idx, leaf AS d, count(*) OVER (PARTITION BY source) AS n FROM b
+                   UNION ALL SELECT source, lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), any_value((n + 2) // 3) FROM t WHERE n > 1 GROUP BY source, lvl, idx // 3),
+             s AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM t WHERE n = 1),
+             u AS (SELECT 0 AS lvl, idx, subroot AS d, count(*) OVER () AS n FROM s
+                   UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), any_value((n + 2) // 3) FROM u WHERE n > 1 GROUP BY lvl, idx // 3),
+             a AS (SELECT t.*, s.idx AS place FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source),
+             g AS (SELECT x.source, x.lvl, x.idx, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS lo, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS hi
+                   FROM a x JOIN a y ON x.place = y.place AND x.lvl = y.lvl AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY 1, 2, 3, x.place),
+             h AS (SELECT x.lvl, x.idx, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS lo, coalesce(string_agg(y.d, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS hi
+                   FROM u x JOIN u y ON x.lvl = y.lvl AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY 1, 2),
+             f AS (SELECT b.doc_id, b.source, b.leaf, 0 AS lvl, b.idx, b.bad AS d, '' AS proof FROM b
+                   UNION ALL SELECT f.doc_id, f.source, f.leaf, f.lvl + 1, f.idx // 3, sha256(g.lo || f.d || g.hi), f.proof || g.lo || g.hi
+                   FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source AND f.lvl = g.lvl AND f.idx = g.idx),
+             m AS (SELECT f.doc_id, f.source, f.leaf, s.subroot, s.idx, f.d, f.proof FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
+                   WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source IS NOT DISTINCT FROM f.source AND g.lvl = f.lvl AND g.idx = f.idx)),
+             w AS (SELECT doc_id, leaf, subroot, 0 AS lvl, idx, d, proof FROM m
+                   UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.lvl + 1, w.idx // 3, sha256(h.lo || w.d || h.hi), w.proof || h.lo || h.hi FROM w JOIN h ON w.lvl = h.lvl AND w.idx = h.idx),
+             r AS (SELECT d AS root FROM u WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
+        FROM w, r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lvl = w.lvl AND h.idx = w.idx)"""
