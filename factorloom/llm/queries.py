@@ -91,6 +91,12 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.conversations import damaged, repaired
+
+    return repaired(damaged(read(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -181,3 +187,47 @@ ORACLE["op11_merkle_manifest"] = f"""
              r AS (SELECT d AS root FROM u WHERE n = 1)
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
         FROM w, r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lvl = w.lvl AND h.idx = w.idx)"""
+
+
+def path(p: str, cost: str, label: str = "''", row: str = "''") -> str:
+    return f"{{'c': {p}.c + {cost}, 'l': {p}.l || {label}, 'r': {p}.r || {row}}}"
+
+
+def least(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+USER, ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+NO_PATH = "{'c': 1000000000::BIGINT, 'l': '', 'r': ''}"
+
+
+def put_in(table: str) -> str:
+    """Two steps of insertions: what leads to U, then to A."""
+    user = least("p2", *[path(p, "5", "'I'", USER) for p in ("p0", "p1", "p3")])
+    return f"(SELECT *, {least('p3', path('q2', '5', chr(39) + 'I' + chr(39), ASSISTANT))} AS q3 FROM (SELECT *, {user} AS q2 FROM {table}))"
+
+
+def moved(state: str, *to: tuple[str, str, str]) -> str:
+    """The least path into a state after one row: deleted, or from other states kept or given another role."""
+    kept = [f"CASE WHEN must THEN {NO_PATH} WHEN i = '{c}' THEN {path(p, 'more', chr(39) + 'K' + chr(39), 'chr(10) || role || chr(58) || text')} ELSE " + (NO_PATH if c == "s" else path(p, "more + 1", "'R'", f"{role} || text")) + " END" for p, c, role in to]
+    return least(path(state, "2", "'D'"), *kept)
+
+
+ORACLE["op13_conversation_repair"] = rf"""
+        WITH RECURSIVE c AS (SELECT *, {CRC32.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS x FROM conversations),
+             d AS (SELECT conv_id, turn, CASE x WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+                          unnest(range(CASE x WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+             o AS (SELECT *, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
+             f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS two FROM o),
+             g AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM f),
+             v AS (SELECT DISTINCT conv_id FROM conversations),
+             r AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'l': '', 'r': ''}} AS p0, {NO_PATH} AS p1, {NO_PATH} AS p2, {NO_PATH} AS p3 FROM v
+                   UNION ALL SELECT k.conv_id, g.n, {path("p0", "2", "'D'")}, {moved("p1", ("p0", "s", ""))}, {moved("q2", ("p0", "u", USER), ("p1", "u", USER), ("q3", "u", USER))}, {moved("q3", ("q2", "a", ASSISTANT))}
+                   FROM {put_in("r")} k JOIN g ON k.conv_id IS NOT DISTINCT FROM g.conv_id AND g.n = k.n + 1),
+             e AS (SELECT conv_id, {least("p0", "q3")} AS p FROM {put_in("(SELECT * FROM r QUALIFY n = max(n) OVER (PARTITION BY conv_id))")}),
+             s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                          count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1)
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               p.c AS cost, p.l AS audit, sha256(substr(p.r, 2)) AS repaired_sha256
+        FROM e LEFT JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id"""
