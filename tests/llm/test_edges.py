@@ -57,7 +57,7 @@ def test_stages_take_clashing_columns_nulls_and_empty_tables(spark, docs, rows,
 @pytest.mark.parametrize("min_run", [1, 2, 3, 4])
 def test_line_runs_of_any_length(spark, min_run):
     """Against plain Python: every window of so many lines that stands at a smaller place goes."""
-    from factorloom.llm.lines import drop_repeated_lines, fingerprints
+    from factorloom.llm.lines import drop_repeated_lines, fingerprints, own_windows
 
     rng = random.Random(min_run)
     pool = [prose(rng, 5) for _ in range(7)]
@@ -80,7 +80,7 @@ def test_line_runs_of_any_length(spark, min_run):
     assert got == want
     # each window is held by exactly one fingerprint
     prints = fingerprints(docs, min_run, "doc_id", "text")
-    held = {(r["id"], r["start"]) for r in prints.select("id", F.explode("windows.start").alias("start")).collect()}
+    held = {(r["id"], r["start"]) for r in prints.select("id", F.explode(own_windows(min_run)["start"]).alias("start")).collect()}
     assert held == {(d, j + 1) for d, t in texts for j in range(len([x for x in t.split("\n") if x.strip()]) - min_run + 1)}
 
 
@@ -126,10 +126,22 @@ def test_toxicity_of_one_kind_in_a_fold_and_of_empty_tables(spark):
     rng = random.Random(3)
     docs = [(i, prose(rng, 20) + (" you stupid idiot" if i % 5 == 0 else "")) for i in range(60)]
     table = spark.createDataFrame(docs + [docs[0], (None, "x")], "doc_id long, text string")
-    for kept in (lambda i: i % 5 == 0, lambda i: i < 6, lambda i: i < 25):
+    for kept in (lambda i: i % 5 == 0, lambda i: i % 5 != 0, lambda i: i < 6, lambda i: i < 25):
         labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs if kept(i)], "doc_id long, toxic int")
         out = held_out_scores(table, labels).collect()
         assert len(out) == 62 and all(0 <= r["score"] <= 1 for r in out)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in held_out_scores(table, none).collect()} == {0}
     assert held_out_scores(table.limit(0), none).count() == 0
+
+
+def test_lines_of_very_long_documents(spark):
+    """Texts of 200,000 lines, one twice and one whose lines repeat within, next to short ones."""
+    from factorloom.llm.lines import drop_repeated_lines
+
+    n = 200_000
+    lines = [f"line {i}" for i in range(n)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(["top", *lines[500:900], "middle", *lines[n - 300 :]])), (4, "\n".join(["a", "b"] * (n // 2))), (5, "a\nx\nb")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in drop_repeated_lines(docs, counts=True).collect()}
+    assert got == {1: (texts[0][1], n, 0), 2: ("", n, n), 3: ("top\nmiddle", 702, 700), 4: ("a\nb", n, n - 2), 5: (texts[4][1], 3, 0)}
