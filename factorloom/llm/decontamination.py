@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import i64, rolling, slices, with_only
+from factorloom.llm.common import i64, rolling, saved, slices, with_only
 
 #: Units whose name is a slot of its own; fixed values.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years usd eur gbp dollars euros cents percent mph kmh kph w kw kwh v a hz khz mhz ghz b kb mb gb tb".split())
@@ -149,14 +149,35 @@ def grouped(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ~(slot[1:] & (h[1:] == h[:-1]))))[: len(h)]
 
 
-def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool = False, lengths: Sequence[int] = (), only: np.ndarray | None = None) -> DataFrame:
-    """``(id, row, mode, at, n, size, whole, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
+def telling(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of template hashes at these places has two different plain words at least."""
+    lanes = h[at[:, None] + np.arange(size)]
+    slot = (lanes == NAME) | (lanes == NUM) | (lanes == UNIT)
+    return np.where(slot, ~np.uint64(0), lanes).min(1, initial=~np.uint64(0)) < np.where(slot, np.uint64(0), lanes).max(1, initial=0)
+
+
+def at_ends(hashes: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Which windows are among the first or last ``most`` of a run of equal ones at neighbouring places."""
+    if not len(at):
+        return np.empty(0, bool)
+    first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1] + 1)))
+    size = np.diff(np.append(first, len(at)))
+    inside = np.arange(len(at)) - np.repeat(first, size)
+    return (inside < most) | (np.repeat(size, size) - inside <= most)
+
+
+def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *, short: bool = False, lengths: Sequence[int] = (), only: np.ndarray | None = None, longest: int | None = None) -> DataFrame:
+    """``(id, row, mode, at, n, size, whole, template, hash, slots)``: every window of ``width`` template words; ``n`` windows in the text.
+
+    A window of ``width`` words is compared by its ``template`` if that has two different plain words at least; else by template and values, so that rows of
+    numbers are copies only where the numbers are the same.  Of a run of neighbouring windows that are all alike the first and last
+    ``longest`` are enough to find an item of so many windows.
 
     ``mode`` is 0 for the template whose sentences start with plain words, 1 for the typed one, 2 for the typed one with
     neighbouring slots of a type as one.  ``row`` tells texts of one id apart.
     ``slots`` lists the values of the window's ``size`` words; of slots made one, that of the first decides (``value``) and ``all`` holds each.
     With ``short`` a text of fewer words is one window; windows of the ``lengths``, all smaller than ``width``, are cut from any text.
-    ``whole``: the window is the text.  ``only``: sorted hashes to keep.
+    ``whole``: the window is the text.  ``only``: sorted hashes to keep, of templates and with values.
     """
     kind = dict(table.dtypes)[id_col]
 
@@ -165,7 +186,7 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):
                 ids = batch.column(id_col)
-                row, key, modes, at, total, sizes, full, out, slots = [], [], [], [], [], [], [], [], []
+                row, key, modes, at, total, sizes, full, plain_hashes, out, slots = [], [], [], [], [], [], [], [], [], []
                 for i, text in enumerate(batch.column(text_col).to_pylist()):
                     plain, typed = hashes.both(text)
                     group = grouped(typed)
@@ -190,6 +211,17 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
                                 if mode == 2:
                                     ends = [*group[1:].tolist(), len(found)]
                                     values = [(found[p], found[p] and " ".join(found[p:q])) for p, q in zip(group.tolist(), ends, strict=True)]
+                            final = w[keep]
+                            if size == width:
+                                for j in np.flatnonzero(~telling(h, keep, size)).tolist():
+                                    place = int(keep[j])
+                                    final[j] = xxhash.xxh3_64_intdigest("\0".join(values[place + o][1] or "" for o in range(size)).encode("utf-8", "surrogatepass"), int(final[j]))
+                                stay = np.ones(len(keep), bool)
+                                if only is not None:
+                                    stay = only[np.minimum(np.searchsorted(only, final), len(only) - 1)] == final
+                                if longest is not None:
+                                    stay &= at_ends(final, keep, longest)
+                                keep, final = keep[stay], final[stay]
                             digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
                             for j in keep.tolist():
                                 row.append(i)
@@ -200,13 +232,14 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
                                 sizes.append(size)
                                 full.append(size == len(h))
                                 slots.append([{"place": j + o, "value": values[j + o][0], "all": values[j + o][1]} for o in range(size) if values[j + o][0] is not None])
-                            out.append(w[keep])
+                            plain_hashes.append(w[keep])
+                            out.append(final)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), *[pa.array(x, pa.int32()) for x in (modes, at, total, sizes)], pa.array(full, pa.bool_()), i64(np.concatenate(out) if out else np.empty(0, np.uint64)), pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string()), ("all", pa.string())])))],
-                    names=["id", "row", "mode", "at", "n", "size", "whole", "hash", "slots"],
+                    [ids.take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), *[pa.array(x, pa.int32()) for x in (modes, at, total, sizes)], pa.array(full, pa.bool_()), *[i64(np.concatenate(x) if x else np.empty(0, np.uint64)) for x in (plain_hashes, out)], pa.array(slots, pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string()), ("all", pa.string())])))],
+                    names=["id", "row", "mode", "at", "n", "size", "whole", "template", "hash", "slots"],
                 )
 
-    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, row long, mode int, at int, n int, size int, whole boolean, hash long, slots array<struct<place:int,value:string,all:string>>")
+    return with_only(table, id_col, text_col).mapInArrow(cut, f"id {kind}, row long, mode int, at int, n int, size int, whole boolean, template long, hash long, slots array<struct<place:int,value:string,all:string>>")
 
 
 def chains(hits: list[tuple[int, int]], n: int, least: float, drift: int) -> list[list[int]]:
@@ -316,15 +349,19 @@ def contaminated(
     for two values in the document, and none in the document for two of the item.  ``exact``: all values alike.
     The best copy is kept for each pair.
 
+    Windows without two different plain words, as in tables of numbers, count only with the same values; a long run of one
+    repeated window is looked at from its ends.
+
     The document side is filtered by the item windows' hashes in each task while there are at most
     ``prefilter_windows`` of them (16 MB), which is checked by a count; beyond that all windows are joined by a shuffle, with the same result.
-    Null or empty texts hold nothing; null ids stay null but never match an item that is null;
+    Long texts are cut into windows a text at a time.  Null or empty texts hold nothing; null ids stay null but never match an item that is null;
     repeated rows are one document; items of fewer words than ``width`` are one window of their own length, found inside any
     document: with other values only if half of ``width`` are plain words or it is the whole document, since "12 km" stands
     everywhere; empty tables give no rows.
     """
     items = template_windows(benchmark, width, item_col, item_text_col, short=True).where("id is not null")
-    prints = items.select("hash").distinct()
+    items = saved(items, "item-windows")
+    prints = items.select(F.explode(F.array("template", "hash")).alias("hash")).distinct()
     count = prints.limit(prefilter_windows + 1).count()
     only = None
     if count <= prefilter_windows:
@@ -332,7 +369,8 @@ def contaminated(
         if not len(only):
             only = np.array([0], np.uint64)
     lengths = [r[0] for r in items.where(F.col("size") < width).select("size").distinct().collect()]  # fewer than width
-    found = template_windows(docs, width, id_col, text_col, lengths=lengths, only=only)
+    longest = items.agg(F.max("n")).first()[0] or 0
+    found = template_windows(docs, width, id_col, text_col, lengths=lengths, only=only, longest=longest)
     d, b = found.alias("d"), items.alias("b")
     pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.mode") == F.col("b.mode")) & (F.col("d.size") == F.col("b.size"))).select(
         "d.id", "d.row", F.col("b.id").alias("item"), F.col("b.row").alias("item_row"), "d.mode", "d.size", F.col("b.n").alias("n"), "d.whole",

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -489,3 +490,28 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for df in (jaccard_components(none), remove_repeats(none), drop_repeated_lines(none), mix(none)):
         assert df.count() == 0
+
+
+def test_decontamination_of_tables_of_numbers(spark):
+    """Rows of numbers are copies only with the same numbers, and take time in proportion, however many there are; so do repeated words."""
+    from factorloom.llm.decontamination import contaminated
+
+    rng = random.Random(12)
+    numbers = " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    prices = "Prices in the list: " + " ".join(f"{rng.randrange(900)} kg {rng.randrange(900)} km" for _ in range(20))
+    items = [(1, numbers), (2, prices), (3, "0 " * 40), (4, "ha " * 30 + "said the old man in the boat to himself")]
+    docs = [
+        (1, " ".join(str(rng.randrange(10**6)) for _ in range(100_000))),  # other numbers
+        (2, f"Some words before it {numbers} and some words after it"),
+        (3, " ".join(f"{rng.randrange(900)} kg {rng.randrange(900)} km" for _ in range(2000))),
+        (4, f"From a report.\n{prices} So it ends."),
+        (5, "0 " * 100_000),
+        (6, "ha " * 50_000 + "said the old man in the boat to himself"),
+        (7, "3 apples " * 20_000),
+        (8, " ".join(str(rng.randrange(10**6)) for _ in range(50_000)) + f" {numbers} " + " ".join(str(rng.randrange(10**6)) for _ in range(50_000))),
+    ]
+    began = time.time()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(2, 1), (4, 2), (5, 3), (6, 4), (8, 1)]
+    assert all(r["exact"] for r in got)
+    assert time.time() - began < 120
