@@ -17,16 +17,16 @@ from factorloom.llm.common import slices
 SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF)]
 NAMES = sorted({s[0] for s in SCRIPTS}) + ["other"]
 _STARTS = np.array([s[1] for s in SCRIPTS])
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some numbers
 BITS = 14
 
 
 def script(word: str) -> int:
     """Index into NAMES of a word's first letter; -1 if it has none."""
-    m = LETTER.search(word)
-    if not m:
+    letter = next((m[0] for m in LETTER.finditer(word) if m[0].isalpha()), None)  # superscripts, fractions and numerals in circles are none
+    if letter is None:
         return -1
-    c = ord(m[0])
+    c = ord(letter)
     k = int(np.searchsorted(_STARTS, c, side="right")) - 1
     return NAMES.index(SCRIPTS[k][0]) if k >= 0 and c <= SCRIPTS[k][2] else len(NAMES) - 1
 
