@@ -124,7 +124,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 150, seed: int = 7) -> Model:
     """Fits on labelled documents for whose id ``usable`` holds; at most ``most_rows`` of them, drawn by hash of the id.
 
-    Four fifths fit the trees, one fifth the calibration; where a kind has fewer than 10 rows, or one of the parts lacks a kind, all rows fit both.
+    Four fifths fit lexicon and trees, one fifth, which these never see, the calibration; where a kind has fewer than 10 rows, or one of the parts
+    lacks a kind, all rows fit all three.
     Without labels of both kinds there is no model.
     """
     drawn = labels.where(usable).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -136,10 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column, id_col: str = "
     rate = total.get(1, 0) / rows if rows else 0.0
     if len(total) < 2:
         return Model({}, None, None, rate)
-    learned = learned_lexicon(sample, most_words)
+    fold = F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string"))) % 5
+    few = min(total.values()) < 10 or sample.select(fold > 0, "label").distinct().count() < 4
+    learned = learned_lexicon(sample if few else sample.where(fold > 0), most_words)
     table = saved(with_features(sample, learned, ["id", "label"]).repartition(4, "id"), "toxicity-features")
-    table = table.select("label", array_to_vector("features").alias("features"), (F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string"))) % 5).alias("fold"))
-    few = min(total.values()) < 10 or table.select(F.col("fold") > 0, "label").distinct().count() < 4
+    table = table.select("label", array_to_vector("features").alias("features"), fold.alias("fold"))
     fit, rest = (table, table) if few else (table.where("fold > 0"), table.where("fold = 0"))
     leaf = min(5, max(1, min(total.values()) // 2))
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=leaf, seed=seed).fit(fit)
