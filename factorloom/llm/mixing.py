@@ -64,6 +64,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    hash_col: str | None = None,
     buckets: int = 4096,
 ) -> DataFrame:
     """``(id, source, size, source_size, target, taken, position, again_at)`` of every document.
@@ -83,9 +84,10 @@ def mix(
     result depends on ids and texts only, so reruns agree.  A null text or one
     without words has size 0 and is not taken; null ids and repeated rows are
     documents of their own (rows alike in id and size are interchangeable); an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored.  ``hash_col``: what of the id orders a source's documents.  One row a source
+    is summed in one task, so there may be millions of sources, not billions.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(hash_col or "id").cast("string"), F.lit("null"))))
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_in_words(F.col(f"`{text_col}`")).alias("size"))
     sizes = saved(docs.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") % buckets).cast("int")), "mix-sizes")
     targets = source_targets(sizes, weights, share, most)
@@ -99,7 +101,7 @@ def mix(
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("start")).alias("b")
     starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope", "level", "rise").alias("b")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", hash_col or "id", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     rows = rows.join(starts, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
     rows = rows.select("d.id", "d.source", "size", "source_size", "target", "slope", "level", "rise", (F.col("start") + F.col("inside")).alias("at"))
@@ -121,12 +123,30 @@ def mix(
     )
 
 
-def in_training_order(mixed: DataFrame, *, id_col: str = "doc_id", untaken: bool = False) -> DataFrame:
-    """One row for each time that a document is read, range-sorted by position.
+def in_training_order(mixed: DataFrame, *, id_col: str = "doc_id", untaken: bool = False, ordered: bool = True) -> DataFrame:
+    """One row for each time that a document is read, range-sorted by position if ``ordered``.
 
     With ``untaken`` a document that is never read has one row too, of pass 0 and without position, at the end.
     """
     reads = F.filter(F.array(F.struct(F.lit(1).alias("pass"), F.col("position").alias("at")), F.struct(F.lit(2).alias("pass"), F.col("again_at").alias("at"))), lambda x: x["at"].isNotNull())
     if untaken:
         reads = F.when(F.size(reads) > 0, reads).otherwise(F.array(F.struct(F.lit(0).alias("pass"), F.lit(None).cast("double").alias("at"))))
-    return mixed.withColumn("_read", F.explode(reads)).select(*[c for c in mixed.columns if c not in ("position", "again_at")], F.col("_read.pass").alias("pass"), F.col("_read.at").alias("position")).orderBy(F.col("position").asc_nulls_last(), id_col, "pass")
+    rows = mixed.withColumn("_read", F.explode(reads)).select(*[c for c in mixed.columns if c not in ("position", "again_at")], F.col("_read.pass").alias("pass"), F.col("_read.at").alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), id_col, "pass") if ordered else rows
+
+
+#: What ``training_order`` adds to the columns of its documents.
+ORDER = ("size", "source_size", "target", "taken", "pass", "position")
+
+
+def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents with all their columns and ``ORDER``, a row for each time that one is read, range-sorted by position; those never read at the end.
+
+    A column of ``docs`` named as one of ``ORDER`` gives way to it.  The order is made of ids and sizes alone and joined to the documents, numbered in a saved table, afterwards.
+    """
+    rows = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("uid")), "mix-documents")
+    narrow = rows.select(F.struct("uid", F.col("doc").getField(id_col).alias("id")).alias("id"), F.col("doc").getField(text_col).alias("text"), F.col("doc").getField(source_col).alias("source"))
+    order = in_training_order(mix(narrow, id_col="id", hash_col="id.id", **options), id_col="id", untaken=True, ordered=False)
+    joined = rows.join(order.select(F.col("id.uid").alias("uid"), *ORDER), "uid")
+    out = joined.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ORDER], *ORDER)
+    return out.orderBy(F.col("position").asc_nulls_last(), F.col(f"`{id_col}`"), "pass")

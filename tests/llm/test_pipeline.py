@@ -19,8 +19,31 @@ def test_stages(spark):
         if name == "line_dedup":
             assert now == ids
         ids, rows = now, path
-    final = {r["doc_id"] for r in p.run(spark, SF).collect()}
-    assert final == ids
+    whole = p.run(spark, SF)
+    added = ["size", "source_size", "target", "taken", "pass", "position"]
+    assert whole.columns == [*docs.columns, *added] and whole.dtypes[: len(docs.columns)] == docs.dtypes
+    final = whole.collect()
+    assert {r["doc_id"] for r in final} == ids
+    texts = {r["doc_id"]: tuple(r[c] for c in docs.columns) for r in rows.collect()}
+    assert all(tuple(r[c] for c in docs.columns) == texts[r["doc_id"]] for r in final)
+    places = [r["position"] for r in final]
+    read = [x for x in places if x is not None]
+    assert places == sorted(read) + [None] * (len(places) - len(read))
+
+
+def test_training_order_keeps_columns_and_tells_equal_rows_apart(spark):
+    """Null and repeated ids, a column named as one of the order's, and an empty table."""
+    from factorloom.llm.mixing import ORDER, mix, training_order
+
+    rows = [(i % 30 if i else None, "w " * (i % 7), f"s{i % 3}", f"n{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    out = training_order(docs.selectExpr("*", "'x' AS taken", "1 AS uid", "2 AS id", "3 AS doc")).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "source", "note", "uid", "id", "doc", *ORDER}
+    assert sorted({r["note"] for r in out}) == sorted(r[3] for r in rows)
+    assert all(r["size"] == len((r["text"] or "").split()) for r in out)
+    taken = lambda found: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"]) for r in found)
+    assert [x[1:] for x in taken([r for r in out if r["pass"] <= 1])] == [x[1:] for x in taken(mix(docs).collect())]
+    assert training_order(docs.limit(0)).count() == 0
 
 
 def test_run_against_plain_python(spark, tmp_path):
