@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each an operator of the llm subpackage.
 
-Every stage takes (spark, docs, sf_dir) and returns documents with the columns it got; ``run`` and
-the cluster write its rows as Parquet and read them again for the next one.
+Every stage takes (spark, docs, sf_dir) and returns documents with the columns it got, the last one with the training
+order beside them; ``run`` and the cluster write its rows as Parquet and read them again for the next one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from factorloom.llm.common import read, saved
 from factorloom.llm.decontamination import without_contaminated
 from factorloom.llm.jaccard import one_of_each
 from factorloom.llm.lines import drop_repeated_lines
-from factorloom.llm.mixing import in_training_order, mix
+from factorloom.llm.mixing import training_order
 from factorloom.llm.toxicity import is_held_out, train, without_toxic
 
 
@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: what the mix takes of each document, a row for each time that it is read, by position; those never read at the end."""
-    return in_training_order(mix(docs), untaken=True)
+    """The documents in training order, with what the mix takes of each: a row for each time that one is read, by position; those never read at the end."""
+    return training_order(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard", jaccard), ("decontamination", decontamination), ("mixing", mixing)]
