@@ -20,7 +20,7 @@ def factor_store(a) -> None:
     spark = _spark()
     store = Store(spark, a.store)
     if a.panel:
-        print(json.dumps({"base": store.write_base(scan_panel(spark, a.panel), a.dates_per_part)}))
+        print(json.dumps({"base": store.write_base(scan_panel(spark, a.panel), a.dates_per_part, updating=a.family)}))
     for f in a.family:
         print(json.dumps({f: store.write_family(f, dtype=a.dtype, overwrite=a.overwrite)}))
 

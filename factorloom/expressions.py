@@ -110,12 +110,76 @@ def stages(formulas: Mapping[str, Expr]) -> dict[Expr, int]:
     return out
 
 
-def with_factors(panel: DataFrame, formulas: Mapping[str, Expr], keep: list[str], dtype: str = "double", keys: tuple[str, str] = ("ticker", "date")) -> DataFrame:
-    """``keep`` and a column of type ``dtype`` (float or double) for each formula.
+#: Operators that read all rows before their own; of what is before a row they need one number, their value there.
+UNBOUNDED = ("fill", "growth")
+
+
+def unbounded(formulas: Mapping[str, Expr]) -> list[Expr]:
+    """The nodes that read all earlier rows, inner ones first."""
+    out: dict[Expr, None] = {}
+    seen: set[Expr] = set()
+
+    def visit(e) -> None:
+        if isinstance(e, Expr) and e.op != "field" and e not in seen:
+            seen.add(e)
+            for a in e.args:
+                visit(a)
+            if e.op in UNBOUNDED:
+                out[e] = None
+
+    for e in formulas.values():
+        visit(e)
+    return list(out)
+
+
+def seeded(formulas: Mapping[str, Expr], seeds: Mapping[Expr, str]) -> dict[str, Expr]:
+    """The formulas with unbounded nodes that start from the columns named in ``seeds``."""
+    made: dict[Expr, Expr] = {}
+
+    def visit(e):
+        if not isinstance(e, Expr) or e.op == "field":
+            return e
+        if e not in made:
+            args = tuple(visit(a) for a in e.args)
+            made[e] = Expr(e.op, (*args, field(seeds[e])) if e in seeds else args)
+        return made[e]
+
+    return {n: visit(e) for n, e in formulas.items()}
+
+
+def reaches(formulas: Mapping[str, Expr]) -> dict[int, int]:
+    """By pass over tickers how many earlier rows of a ticker it reads at most, nested windows added up; unbounded nodes are taken as seeded."""
+    at = stages(formulas)
+    known: dict[Expr, dict[int, int]] = {}
+
+    def reach(e) -> dict[int, int]:
+        if not isinstance(e, Expr) or e.op == "field":
+            return {}
+        if e not in known:
+            out: dict[int, int] = {}
+            for a in e.args:
+                for p, n in reach(a).items():
+                    out[p] = max(n, out.get(p, 0))
+            if e.op in TIME:
+                out[at[e]] = out.get(at[e], 0) + max((a for a in e.args if isinstance(a, int)), default=0)
+            known[e] = out
+        return known[e]
+
+    out: dict[int, int] = {}
+    for e in formulas.values():
+        for p, n in reach(e).items():
+            out[p] = max(n, out.get(p, 0))
+    return out
+
+
+def with_factors(panel: DataFrame, formulas: Mapping[str, Expr], keep: list[str], dtype: str = "double", keys: tuple[str, str] = ("ticker", "date"), exact: Mapping[str, Expr] | None = None) -> DataFrame:
+    """``keep`` and a column of type ``dtype`` (float or double) for each formula, of type double for those in ``exact``.
 
     Each pass deals the rows once and holds some thousand rows, or one ticker's or date's, at a time.  What later passes read goes along.
     Missing values are NULL, never NaN; floats are NULL where a value is beyond their range.
     """
+    kinds = dict.fromkeys(formulas, dtype) | dict.fromkeys(exact or {}, "double")
+    formulas = {**formulas, **(exact or {})}
     at = stages(formulas)
 
     def last(e) -> int:
@@ -155,8 +219,8 @@ def with_factors(panel: DataFrame, formulas: Mapping[str, Expr], keep: list[str]
             continue
         group, order = (keys[0], [*keys]) if now % 2 == 0 else (keys[1], [keys[1]])
         dealt = rows.repartition(parts, group).sortWithinPartitions(*order)
-        schema = ", ".join([*[f"`{c}` {types[c]}" for c in extra], *[f"`{n}` {dtype}" for n in ready], *[f"{names[e]} double" for e in wanted], *[f"`{n}` {dtype}" for n in done]])
-        plan = {"group": group, "extra": extra, "ready": ready, "have": {e: names[e] for e in have}, "wanted": {e: names[e] for e in wanted}, "done": {n: formulas[n] for n in done}, "dtype": dtype}
+        schema = ", ".join([*[f"`{c}` {types[c]}" for c in extra], *[f"`{n}` {kinds[n]}" for n in ready], *[f"{names[e]} double" for e in wanted], *[f"`{n}` {kinds[n]}" for n in done]])
+        plan = {"group": group, "extra": extra, "ready": ready, "have": {e: names[e] for e in have}, "wanted": {e: names[e] for e in wanted}, "done": {n: formulas[n] for n in done}, "kinds": {n: kinds[n] for n in done}}
         rows = dealt.mapInArrow(one_pass(plan), schema)
         have, ready = list(wanted), [*ready, *done]
     return rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{n}`") for n in formulas])
@@ -188,7 +252,7 @@ def one_pass(plan: dict):
         with np.errstate(all="ignore"):
             out = {n: table.column(n) for n in [*plan["extra"], *plan["ready"]]}
             out |= {n: column(value(e), "double") for e, n in plan["wanted"].items()}
-            out |= {n: column(value(e), plan["dtype"]) for n, e in plan["done"].items()}
+            out |= {n: column(value(e), plan["kinds"][n]) for n, e in plan["done"].items()}
         return pa.table(out).combine_chunks()
 
     def run(batches):

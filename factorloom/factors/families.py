@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.expressions import Expr, field, vocabulary, with_factors
+from factorloom.expressions import Expr, field, seeded, unbounded, vocabulary, with_factors
 from factorloom.factors.formulas import ALPHA101, ALPHA191
 from factorloom.functions import no_nan
 
@@ -58,8 +58,30 @@ def classic_factors(panel: DataFrame, families: Iterable[str] = ("alpha191", "al
     for f in dict.fromkeys(families):
         every |= formulas(f)
     chosen = {k: every[k] for k in (only if only is not None else every)}
-    rows = inputs(panel, FIELDS, adjusted).withColumnRenamed("amount", "turnover")
-    return with_factors(rows.withColumn("volume", F.when(F.col("volume") == 0, 1.0).otherwise(F.col("volume"))), chosen, KEYS, dtype)
+    return with_factors(classic_inputs(panel, adjusted), chosen, KEYS, dtype)
+
+
+def classic_inputs(panel: DataFrame, adjusted: bool = True, more: Iterable[str] = ()) -> DataFrame:
+    rows = inputs(panel, [*FIELDS, *more], adjusted).withColumnRenamed("amount", "turnover")
+    return rows.withColumn("volume", F.when(F.col("volume") == 0, 1.0).otherwise(F.col("volume")))
+
+
+def bar_inputs(panel: DataFrame, family: str, adjusted: bool = True, more: Iterable[str] = ()) -> DataFrame:
+    require(panel, BARS)
+    if family == "alpha360":
+        return inputs(panel, [*BARS, *more], adjusted)
+    rows = inputs(panel, [*BARS, "amount", *more], adjusted)
+    return rows if "amount" in panel.columns else rows.withColumn("amount", F.col("close") * F.col("volume"))
+
+
+def continued(panel: DataFrame, family: str, dtype: str = "float") -> DataFrame:
+    """Keys, a family's columns and ``_state_i`` of each unbounded node, which starts from the panel's column ``_seed_i``: its value before the ticker's first row."""
+    every = formulas(family)
+    nodes = unbounded(every)
+    seeds = {e: f"_seed_{i}" for i, e in enumerate(nodes)}
+    run = seeded({**every, **{f"_state_{i}": e for i, e in enumerate(nodes)}}, seeds)
+    rows = classic_inputs(panel, more=seeds.values()) if family in ("alpha101", "alpha191") else bar_inputs(panel, family, more=seeds.values())
+    return with_factors(rows, {k: run[k] for k in every}, KEYS, dtype, exact={k: e for k, e in run.items() if k not in every})
 
 
 SPANS = (5, 10, 20, 30, 60)
@@ -119,19 +141,14 @@ def require(panel: DataFrame, names: Iterable[str]) -> None:
 
 def alpha158(panel: DataFrame, *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float") -> DataFrame:
     """Keys and 158 candlestick, lag and rolling columns; windows need one value (deviations two). One shuffle."""
-    require(panel, BARS)
-    rows = inputs(panel, [*BARS, "amount"], adjusted)
-    if "amount" not in panel.columns:
-        rows = rows.withColumn("amount", F.col("close") * F.col("volume"))
-    every = alpha158_formulas()
+    rows, every = bar_inputs(panel, "alpha158", adjusted), alpha158_formulas()
     return with_factors(rows, {k: every[k] for k in (only if only is not None else every)}, KEYS, dtype)
 
 
 def alpha360(panel: DataFrame, *, only: Iterable[str] | None = None, adjusted: bool = True, dtype: str = "float") -> DataFrame:
     """Keys and 60 lags of six fields over the current close (volume over the current volume), less 1. One shuffle."""
-    require(panel, BARS)
     every = alpha360_formulas()
-    return with_factors(inputs(panel, BARS, adjusted), {k: every[k] for k in (only if only is not None else every)}, KEYS, dtype)
+    return with_factors(bar_inputs(panel, "alpha360", adjusted), {k: every[k] for k in (only if only is not None else every)}, KEYS, dtype)
 
 
 def family_of(column: str) -> str | None:

@@ -185,15 +185,18 @@ def delta(g, x, k):
     return x - delay(g, x, k)
 
 
-def fill(g, x):
-    """The last known value."""
+def fill(g, x, seed=None):
+    """The last known value; before a group's first one its ``seed``."""
     at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(g.n))) if g.n else np.arange(0)
-    return np.where(at >= g.start, x[np.maximum(at, 0)] if g.n else x, np.nan)
+    return np.where(at >= g.start, x[np.maximum(at, 0)] if g.n else x, np.nan if seed is None else seed)
 
 
-def growth(g, x):
-    """Running product of 1 + x; a gap is NaN and doesn't end it."""
+def growth(g, x, seed=None):
+    """Running product of 1 + x, from ``seed``; a gap is NaN and doesn't end it."""
     factors = np.where(np.isnan(x), 1.0, 1 + x)
+    if seed is not None and g.n:
+        first = np.where(np.isnan(seed[g.starts]), 1.0, seed[g.starts])
+        factors[g.starts] = first * factors[g.starts]
     out = np.concatenate([np.cumprod(p) for p in np.split(factors, g.starts[1:])]) if g.n else factors
     return np.where(np.isnan(x), np.nan, out)
 

@@ -7,18 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.operators.standardise import keep_last
 from factorloom.sources.store import Store
 from factorloom.sources.tables import settled
 
 
 def merge_batch(store: Store, batch: DataFrame, families: Sequence[str], per_chunk: int = 60) -> dict[str, dict]:
-    """New bars replace those of their keys. A batch that comes twice changes nothing, so a restarted stream is safe."""
-    new = batch.withColumn("_new", F.lit(1))
-    if store.manifest()["base"]:
-        new = store.base().drop("chunk").withColumn("_new", F.lit(0)).unionByName(new)
-    rows = settled(keep_last(new, ["date", "ticker"], [F.col("_new")]).drop("_new"))
-    store.write_base(rows, per_chunk)
+    """New bars replace those of their keys, in the chunks of their dates alone; families follow from the chunks that changed.
+
+    A batch that comes twice changes nothing, so a restarted stream is safe. Refused if the store has families that aren't among ``families``.
+    """
+    store.merge(settled(batch), per_chunk, updating=families)
     return {f: store.write_family(f) for f in families}
 
 

@@ -102,6 +102,120 @@ def test_store_keeps_bases_and_families_together(spark, bars):
     assert store.manifest()["number"] == number and store.base().count() == 2 * 45
 
 
+@pytest.fixture(scope="module")
+def long_bars(spark):
+    """Two hundred dates; B has gaps in its prices, C has every seventh date only, D begins late, E ends early."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for t in "ABCDE":
+        p = 10.0
+        for i in range(200):
+            p *= 1 + rng.normal(0, 0.02)
+            if t == "C" and i % 7 or t == "D" and i < 150 or t == "E" and i > 120:
+                continue
+            close = None if t == "B" and 55 < i % 90 < 75 else p
+            rows.append((datetime(2023, 1, 1) + timedelta(days=i), t, p, p * 1.01, p * 0.99, close, p, 100.0 + i % 11, p * 100))
+    return spark.createDataFrame(rows, "date timestamp_ntz, ticker string, open double, high double, low double, close double, vwap double, volume double, amount double").cache()
+
+
+def reads(store, monkeypatch):
+    """The chunks of the base that are read from now on."""
+    seen, plain = set(), type(store)._read
+    monkeypatch.setattr(type(store), "_read", lambda self, where, at, chunks=None: (seen.update(chunks if chunks is not None else map(int, at)) if where == "base" else None, plain(self, where, at, chunks))[1])
+    return seen
+
+
+def test_a_new_chunk_reads_its_look_back_and_a_state(spark, long_bars, monkeypatch):
+    """Adding chunks one by one gives what a full run gives, for tickers with gaps too, and reads only what windows reach."""
+    from factorloom.factors.families import add_family, expected_columns
+
+    store, day = Store(spark, shared(spark, "store")), lambda n: datetime(2023, 1, 1) + timedelta(days=n)
+    some = long_bars.where("ticker <> 'C'")
+    store.write_base(some.where(F.col("date") < day(180)), 10)
+    assert store.write_family("alpha158")["written"] == list(range(18))
+    store.write_base(some.where(F.col("date") < day(190)), 10, updating=["alpha158"])
+    seen = reads(store, monkeypatch)
+    assert store.write_family("alpha158") == {"written": [18], "reused": list(range(18))}
+    assert seen == set(range(11, 19)) == set(store.manifest()["families"]["alpha158"]["read"])
+    monkeypatch.undo()
+    names = expected_columns("alpha158")
+    full = add_family(some.where(F.col("date") < day(190)), "alpha158").select("date", "ticker", *names)
+    assert rows_of(store.load(["alpha158"]).select("date", "ticker", *names)) == rows_of(full)
+    # every seventh date: 60 rows of C are 420 dates
+    store.write_base(long_bars, 10, updating=["alpha158"])
+    store.write_family("alpha158")
+    assert rows_of(store.load(["alpha158"]).select("date", "ticker", *names)) == rows_of(add_family(long_bars, "alpha158").select("date", "ticker", *names))
+
+
+def test_a_revised_bar_reaches_as_far_as_windows_and_states(spark, long_bars):
+    """A changed price in an old chunk rewrites the chunks that look back to it, and later ones only if the state has changed."""
+    from factorloom.factors.families import add_family, expected_columns
+    from factorloom.streaming.incremental import merge_batch
+
+    some = long_bars.where("ticker in ('A', 'E')")
+    store, names = Store(spark, shared(spark, "store")), expected_columns("alpha158")
+    store.write_base(some, 10)
+    store.write_family("alpha158")
+    old = {k: v["hash"] for k, v in store.manifest()["families"]["alpha158"]["state"].items()}
+    batch = some.where((F.col("date") == datetime(2023, 1, 25)) & (F.col("ticker") == "A")).withColumn("close", F.col("close") * 2)
+    assert merge_batch(store, batch, ["alpha158"], 10)["alpha158"]["written"] == list(range(2, 10))
+    now = store.manifest()["families"]["alpha158"]
+    assert {k: v["hash"] for k, v in now["state"].items()} == old  # the last known price of each chunk is as before
+    changed = some.join(batch.select("date", "ticker", F.lit(2.0).alias("times")), ["date", "ticker"], "left").withColumn("close", F.col("close") * F.coalesce("times", F.lit(1.0))).drop("times")
+    assert rows_of(store.load(["alpha158"]).select("date", "ticker", *names)) == rows_of(add_family(changed, "alpha158").select("date", "ticker", *names))
+    # E's last price is carried by every later state, but no later chunk has rows of E
+    batch = some.where((F.col("date") == datetime(2023, 5, 1)) & (F.col("ticker") == "E")).withColumn("close", F.col("close") * 3)
+    merge_batch(store, batch, ["alpha158"], 10)
+    changed = changed.where(~((F.col("date") == datetime(2023, 5, 1)) & (F.col("ticker") == "E"))).unionByName(batch)
+    assert rows_of(store.load(["alpha158"]).select("date", "ticker", *names)) == rows_of(add_family(changed, "alpha158").select("date", "ticker", *names))
+
+
+def test_merges_touch_only_their_chunks(spark, long_bars, monkeypatch):
+    from factorloom.sources.store import Conflict
+    from factorloom.streaming.incremental import merge_batch
+
+    path, day = shared(spark, "store"), lambda n: datetime(2023, 1, 1) + timedelta(days=n)
+    store, other = Store(spark, path), Store(spark, path)
+    some = long_bars.where("ticker in ('A', 'B')")
+    gap = F.col("date").isin(day(33), day(34))
+    store.merge(some.where((F.col("date") < day(95)) & ~gap), 10)
+    assert len(store.manifest()["base"]["chunks"]) == 10
+    before = {k: v["at"] for k, v in store.manifest()["base"]["chunks"].items()}
+    seen = reads(store, monkeypatch)
+    assert store.merge(some.where(gap | F.col("date").between(day(95), day(116))), 10) == [3, 9, 10, 11]
+    assert seen == {3, 9, 10, 11}
+    monkeypatch.undo()
+    after = store.manifest()
+    assert all(after["base"]["chunks"][k]["at"] == at for k, at in before.items() if k not in ("3", "9"))
+    assert rows_of(store.base().drop("chunk")) == rows_of(some.where(F.col("date") <= day(116)))
+    # a replay changes nothing
+    assert store.merge(some.where(gap), 10) == [] and store.manifest()["number"] == after["number"]
+    # another run commits between reading and writing: its rows are not lost
+    plain, once = Store._write_chunks, []
+
+    def slow(self, rows, chunks):
+        if self is store and not once:
+            once.append(other.merge(some.where(F.col("date") == day(117)), 10))
+        return plain(self, rows, chunks)
+
+    monkeypatch.setattr(Store, "_write_chunks", slow)
+    store.merge(some.where(F.col("date") == day(118)), 10)
+    monkeypatch.undo()
+    assert once and rows_of(store.base().drop("chunk")) == rows_of(some.where(F.col("date") <= day(118)))
+    stale = store.manifest()
+    other.merge(some.where(F.col("date") == day(119)), 10)
+    with pytest.raises(Conflict):
+        store._note(stale)
+    # families that would be left behind are refused
+    store.write_family("alpha360", look_back=59)
+    with pytest.raises(ValueError, match="not brought up to date"):
+        merge_batch(store, some.where(F.col("date") == day(120)), [], 10)
+    with pytest.raises(ValueError, match="dates a chunk"):
+        store.merge(some, 20)
+    with pytest.raises(ValueError, match="columns"):
+        store.merge(some.drop("vwap"), 10)
+
+
 def test_ridge_is_the_closed_form(spark):
     from factorloom.analytics import models
 
