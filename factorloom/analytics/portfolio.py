@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import clip, safe_div
 from factorloom.operators import crosssection as cs
+from factorloom.operators.quantiles import quantiles
+from factorloom.sources.tables import settled
 
 
 def top_by_score(scores: DataFrame, k: int, by: str = "period") -> DataFrame:
@@ -36,9 +38,9 @@ def capped(rows: DataFrame, total: str, cap: float, by: list[str]) -> DataFrame:
 
 def volatility(train: DataFrame, *, least: int = 8, last_resort: float = 0.20) -> DataFrame:
     """Population deviation of returns by ticker; tickers with fewer than ``least`` take the median."""
-    per = train.groupBy("ticker").agg(F.when(F.count("return_1d") >= least, F.stddev_pop("return_1d")).alias("vol"))
-    median = F.percentile("vol", F.lit(0.5)).over(Window.partitionBy(F.lit(0)))
-    return per.select("ticker", F.coalesce("vol", median, F.lit(last_resort)).alias("vol"))
+    per = settled(train.groupBy("ticker").agg(F.when(F.count("return_1d") >= least, F.stddev_pop("return_1d")).alias("vol")))
+    median = quantiles(per, ["vol"])["vol"][0]
+    return per.select("ticker", F.coalesce("vol", F.lit(last_resort if median is None else median)).alias("vol"))
 
 
 def heuristic_weights(scores: DataFrame, *, gross: float = 1.0, net: float = 0.0, cap: float = 0.25, clip_at: float = 3.0, vol_power: float = 0.0, min_score: float = 0.0, min_names: int = 1, sector: str | None = None) -> DataFrame:

@@ -173,8 +173,10 @@ def fill_values(reference: DataFrame, columns: Sequence[str]) -> dict[str, objec
     """Medians (numbers), false (flags) and "missing" (text), from the reference rows alone."""
     kinds = dict(reference.dtypes)
     numbers = [c for c in columns if kinds[c] not in ("boolean", "string")]
-    row = reference.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numbers]).first() if numbers else {}
-    return {c: (row[c] if c in numbers else False if kinds[c] == "boolean" else "missing") for c in columns}
+    from factorloom.operators.quantiles import quantiles
+
+    medians = quantiles(reference, numbers) if numbers else {}
+    return {c: (medians[c][0] if c in numbers else False if kinds[c] == "boolean" else "missing") for c in columns}
 
 
 def filled(panel: DataFrame, values: Mapping[str, object], mark: Iterable[str] = ()) -> DataFrame:

@@ -102,6 +102,35 @@ def streaming_merge(spark, d):
     return s.base().select(*key(), r(c("close")).alias("close"), r(c("volume"), 2).alias("volume"))
 
 
+GROWN = ("alpha158_std_5", "alpha158_ret_mean_10", "alpha158_vstd_5", "alpha158_ma_10")
+
+
+@query(lambda: family_sql({k: fam.formulas("alpha158")[k] for k in GROWN}, MONTH))
+def store_carried_state(spark, d):
+    """A store that grows by merges: each chunk goes on from the last known values that the chunk before its look-back has left, late bars included."""
+    s, p = store(spark, "carried"), monthly(spark, d)
+    late = (F.year("date") == 1995) & (F.month("date") == 4)
+    s.write_base(p.where((c("date") < F.lit(stamp("1997-01-01"))) & ~late), 6)
+    s.write_family("alpha158", dtype="double")
+    merge_batch(s, p.where(late | (c("date") >= F.lit(stamp("1997-01-01")))), ["alpha158"], 6, dtype="double")
+    every = fam.formulas("alpha158")
+    return s.load(["alpha158"]).select(*key(), *[r(c(n), digits(every[n])).alias(n) for n in GROWN])
+
+
+QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q99": 0.99}
+QUANTILE_COLUMNS = ("open", "close", "volume", "amount", "momentum", "rounded")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS name, " + ", ".join(f"round(quantile_cont({x}, {q}), 6) AS {n}" for n, q in QUANTILES.items()) + f" FROM (SELECT *, close / lag(close, 3) OVER {ORDER} - 1 AS momentum, CASE WHEN volume > 100 THEN round(volume, -2) END AS rounded FROM ({MONTH}))" for x in QUANTILE_COLUMNS))
+def column_quantiles(spark, d):
+    """Exact quantiles of several columns at once, ties and gaps among them."""
+    from factorloom.operators.quantiles import quantiles
+
+    p = tables.settled(monthly(spark, d).withColumns({"momentum": c("close") / W.delay(c("close"), 3) - 1, "rounded": F.when(c("volume") > 100, F.round("volume", -2))}))
+    found = quantiles(p, QUANTILE_COLUMNS, list(QUANTILES.values()))
+    return spark.createDataFrame([(x, *v) for x, v in found.items()], "name string, " + ", ".join(f"{n} double" for n in QUANTILES)).select("name", *[F.round(n, 6).alias(n) for n in QUANTILES])
+
+
 @query(f"SELECT {DATED}, ticker, round(close, 6) AS close, round(lag(close, 5) OVER {ORDER} / close - 1, 5) AS alpha360_close_lag05 FROM ({MONTH}) QUALIFY date BETWEEN '1996-01-01' AND '1996-12-01'")
 def panel_scan(spark, d):
     """A panel written, rewritten with another codec and scanned for columns and dates."""

@@ -11,13 +11,14 @@ from factorloom.sources.store import Store
 from factorloom.sources.tables import settled
 
 
-def merge_batch(store: Store, batch: DataFrame, families: Sequence[str], per_chunk: int = 60) -> dict[str, dict]:
+def merge_batch(store: Store, batch: DataFrame, families: Sequence[str], per_chunk: int = 60, **options) -> dict[str, dict]:
     """New bars replace those of their keys, in the chunks of their dates alone; families follow from the chunks that changed.
 
-    A batch that comes twice changes nothing, so a restarted stream is safe. Refused if the store has families that aren't among ``families``.
+    A batch that comes twice changes nothing, so a restarted stream is safe. Refused if the store has families that aren't among ``families``;
+    ``options`` are those of ``write_family``.
     """
     store.merge(settled(batch), per_chunk, updating=families)
-    return {f: store.write_family(f) for f in families}
+    return {f: store.write_family(f, **options) for f in families}
 
 
 def follow(spark: SparkSession, landing: str, schema: str, root: str, checkpoint: str, families: Sequence[str], per_chunk: int = 60):
