@@ -121,7 +121,7 @@ def long_bars(spark):
 def reads(store, monkeypatch):
     """The chunks of the base that are read from now on."""
     seen, plain = set(), type(store)._read
-    monkeypatch.setattr(type(store), "_read", lambda self, where, at, chunks=None: (seen.update(chunks if chunks is not None else map(int, at)) if where == "base" else None, plain(self, where, at, chunks))[1])
+    monkeypatch.setattr(type(store), "_read", lambda self, where, at, chunks=None, *more: (seen.update(chunks if chunks is not None else map(int, at)) if where == "base" else None, plain(self, where, at, chunks, *more))[1])
     return seen
 
 
@@ -170,6 +170,47 @@ def test_a_revised_bar_reaches_as_far_as_windows_and_states(spark, long_bars):
     assert rows_of(store.load(["alpha158"]).select("date", "ticker", *names)) == rows_of(add_family(changed, "alpha158").select("date", "ticker", *names))
 
 
+def test_a_store_in_archives_is_read_where_it_lies(spark, long_bars):
+    """Loads from one archive of a store's folder, and from several made by tasks, are the store's own; only what is asked for is read."""
+    import tarfile
+
+    from factorloom.sources.tar import MembersReader, TarStore, members, pack, scan_members
+
+    some = long_bars.where("ticker in ('A', 'B')")
+    root = shared(spark, "store")
+    store, local = Store(spark, root), root.removeprefix("file://")
+    store.write_base(some, 50)
+    store.write_family("alpha158")
+    store.write_family("alpha360")
+    with tarfile.open(f"{local}.tar", "w") as tar:
+        tar.add(local, "data/store")
+    packed = pack(store, f"{root}-packed", archive_bytes=200 << 10)
+    assert len(packed) > 2
+    spans = ({}, {"start": "2023-02-01", "end": "2023-02-20"}, {"families": ["alpha360"], "prefixes": ["alpha360_close_"]}, {"families": [], "dates": [datetime(2023, 1, 5), datetime(2023, 6, 2)]})
+    for inside in (TarStore(spark, f"file://{local}.tar"), TarStore(spark, packed)):
+        for options in spans:
+            assert rows_of(inside.load(**options)) == rows_of(store.load(**options))
+        assert inside.stale() == []
+        with pytest.raises(ValueError, match="can't be changed"):
+            inside.write_family("alpha101")
+        with pytest.raises(ValueError, match="has no"):
+            inside.load(["alpha101"])
+    # a task a member of the chunks that hold the dates; row groups without any of them are skipped
+    parts = [m for m in members(f"{local}.tar") if "/base/" in m.name and m.name.endswith(".parquet")]
+    assert scan_members(spark, parts, ["date", "close"]).columns == ["date", "close"]
+    wanted = [m for m in parts if "chunk=2" in m.name]
+    assert sum(b.num_rows for m in wanted for b in MembersReader(wanted, ["close"], "2023-04-11", "2023-05-30").read(m)) == 100
+    assert sum(b.num_rows for m in wanted for b in MembersReader(wanted, ["close"], "2023-06-01", None).read(m)) == 0
+    with tarfile.open(f"{local}.tar.gz", "w:gz") as tar:
+        tar.add(local, "data/store")
+    with pytest.raises(ValueError, match="without compression"):
+        TarStore(spark, f"{local}.tar.gz")
+    with tarfile.open(f"{local}-empty.tar", "w"):
+        pass
+    with pytest.raises(ValueError, match="no manifest"):
+        TarStore(spark, f"{local}-empty.tar")
+
+
 def test_merges_touch_only_their_chunks(spark, long_bars, monkeypatch):
     from factorloom.sources.store import Conflict
     from factorloom.streaming.incremental import merge_batch
