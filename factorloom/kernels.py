@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Elements of windows that are laid out at once.
-MOST = 2_000_000
+#: Windows of so many rows are ranked by looking at each row, of half as many sorted; longer ones go through a wavelet tree.
+SHORT = 48
 #: 2^18 + 1 leaves 35 of a double's 53 bits.
 LEVEL = 2.0**18 + 1
 #: A double of this size has twelve decimals.
@@ -39,138 +39,223 @@ def level(x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(x), big - (big - x), x)
 
 
-def windowed(g: Groups, n: int, least: int | None, f: Callable[..., np.ndarray], *columns: np.ndarray, whole: bool = False) -> np.ndarray:
-    """``f`` of each row's last ``n`` values, the oldest first; NaN with fewer than ``least`` known ones (None: all n).
+class Lanes:
+    """Rows with ``n`` - 1 empty places before each group, so that every row has a window of n places that ends with it.
 
-    Windows have NaN where a group has no row yet, unless all must be known: then these are set to NaN afterwards.
+    What can be put together from two parts (sums, extremes, moments) is made for stretches of 1, 2, 4 ... places, and a window from the
+    stretches of its length's bits: some log n steps over whole arrays, never a subtraction, and in an order that depends on
+    the window alone, not on where the rows before it begin.
     """
-    need, out = n if least is None else least, np.full(g.n, np.nan)
-    padded = [np.concatenate([np.full(n - 1, np.nan), c]) for c in columns]
-    step = max(1, MOST // n)
-    for a in range(0, g.n, step):
-        b = min(g.n, a + step)
-        parts = [np.lib.stride_tricks.sliding_window_view(p[a : b + n - 1], n) for p in padded]
-        short = g.at[a:b] < n - 1
-        if need < n or whole:
-            ahead = np.arange(n)[None] < (n - 1 - g.at[a:b])[:, None]
-            parts = [np.where(ahead, np.nan, p) for p in parts]
-            known = (~np.isnan(parts[0])).sum(1)
-            out[a:b] = np.where(known >= need, f(*parts), np.nan)
-        else:
-            out[a:b] = np.where(short, np.nan, f(*parts))
-    return out
 
+    def __init__(self, g: Groups, n: int):
+        self.n = n
+        self.last = np.arange(g.n) + (g.code + 1) * (n - 1) if g.n else np.empty(0, np.int64)
+        self.first = self.last - (n - 1)
+        self.size = g.n + len(g.starts) * (n - 1)
 
-def total(g, x, n, least=None):
-    return windowed(g, n, least, lambda w: (np.nansum if least is not None else np.sum)(w, axis=1), finite(x))
+    def laid(self, x: np.ndarray, empty: float = np.nan) -> np.ndarray:
+        out = np.full(self.size, empty)
+        out[self.last] = x
+        return out
 
+    def count(self, known: np.ndarray) -> np.ndarray:
+        ends = np.append(0, np.cumsum(known))
+        return ends[self.last + 1] - ends[self.first]
 
-def mean(g, x, n, least=None):
-    return windowed(g, n, least, _mean if least is not None else lambda w: w.sum(1) / n, finite(x))
+    def put_together(self, one: tuple[np.ndarray, ...], join: Callable) -> tuple[np.ndarray, ...]:
+        """Each row's window from its places: ``join(older, newer, length of older)`` of neighbouring stretches."""
+        before = lambda state, k: tuple(np.roll(x, k) for x in state) if k else state  # noqa: E731  what comes round is before all windows
+        out, have, done, size = None, one, 0, 1
+        while True:
+            if self.n & size:
+                out = have if out is None else join(before(have, done), out, size)
+                done += size
+            if done == self.n:
+                return tuple(x[self.last] for x in out)
+            have = join(before(have, size), have, size)
+            size *= 2
 
 
-def _mean(w):
-    known = ~np.isnan(w)
-    return w.sum(1) / w.shape[1] if known.all() else np.where(known, w, 0).sum(1) / np.maximum(1, known.sum(1)) * np.where(known.any(1), 1, np.nan)
+def by(f: np.ufunc) -> Callable:
+    return lambda a, b, _: (f(a[0], b[0]),)
 
 
-def _moments(u, v):
-    """Sums of squared and crossed deviations of pairs that are known whole, and their number; deviations of equal values are exactly 0."""
-    known = ~(np.isnan(u) | np.isnan(v))
-    n = known.sum(1)
+def enough(lanes: Lanes, known: np.ndarray, n: int, least: int | None, x: np.ndarray) -> np.ndarray:
+    return np.where(lanes.count(known) >= (n if least is None else least), x, np.nan)
 
-    def deviations(w):
-        first = w[np.arange(len(w)), known.argmax(1)][:, None]
-        d = np.where(known, w - first, 0)
-        return np.where(known, d - (d.sum(1) / np.maximum(1, n))[:, None], 0)
 
-    du = deviations(u)
-    dv = du if v is u else deviations(v)
-    return (du * du).sum(1), (dv * dv).sum(1), (du * dv).sum(1), n
+def total(g, x, n, least=None):
+    lanes, x = Lanes(g, n), finite(x)
+    known = lanes.laid(~np.isnan(x), 0) > 0
+    return enough(lanes, known, n, least, lanes.put_together((lanes.laid(np.nan_to_num(x), 0.0),), by(np.add))[0])
 
 
-def std(g, x, n, least=None):
-    def f(w):
-        a, _, _, k = _moments(w, w)
-        return np.sqrt(np.where(k > 1, a, np.nan) / np.maximum(1, k - 1))
+def mean(g, x, n, least=None):
+    lanes, x = Lanes(g, n), finite(x)
+    size = lanes.count(lanes.laid(~np.isnan(x), 0) > 0)
+    sums = lanes.put_together((lanes.laid(np.nan_to_num(x), 0.0),), by(np.add))[0]
+    return np.where(size >= max(1, n if least is None else least), sums / np.maximum(1, size), np.nan)
 
-    return windowed(g, n, least, lambda w: _all_known(w, f, least), finite(x))
 
+def moments(lanes: Lanes, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each window: how many rows have all columns, their means, and the sums of squared and crossed deviations; equal values deviate by exactly 0."""
+    known = ~np.isnan(columns[0])
+    for c in columns[1:]:
+        known &= ~np.isnan(c)
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    one = [lanes.laid(known, 0.0), *[lanes.laid(np.where(known, c, 0.0), 0.0) for c in columns]]
 
-def _all_known(w, f, least):
-    return f(w) if least is not None else np.where(np.isnan(w).any(1), np.nan, f(w))
+    def join(a, b, _):
+        size = a[0] + b[0]
+        share = b[0] / np.maximum(1, size)
+        apart = [np.where(a[0] > 0, y - x, 0.0) * (b[0] > 0) for x, y in zip(a[1 : 1 + k], b[1 : 1 + k], strict=True)]
+        means = [np.where(a[0] > 0, x + d * share, y) for x, y, d in zip(a[1 : 1 + k], b[1 : 1 + k], apart, strict=True)]
+        weight = a[0] * share
+        return (size, *means, *[x + y + apart[i] * apart[j] * weight for (i, j), x, y in zip(pairs, a[1 + k :], b[1 + k :], strict=True)])
 
+    return lanes.put_together((*one, *[np.zeros(lanes.size) for _ in pairs]), join)
 
-def _pairs(g, x, y, n, least, f):
-    x, y = finite(x), finite(y)
-    both = ~(np.isnan(x) | np.isnan(y))
-    x, y = np.where(both, x, np.nan), np.where(both, y, np.nan)
-    return windowed(g, n, least, lambda u, v: np.where((~np.isnan(u)).sum(1) >= (n if least is None else least), f(u, v), np.nan), x, y)
 
+def std(g, x, n, least=None):
+    size, _, squares = moments(Lanes(g, n), finite(x))
+    return np.where((size >= (n if least is None else least)) & (size > 1), np.sqrt(squares / np.maximum(1, size - 1)), np.nan)
 
-def cov(g, x, y, n, least=None):
-    def f(u, v):
-        _, _, c, k = _moments(u, v)
-        return np.where(k > 1, c, np.nan) / np.maximum(1, k - 1)
 
-    return _pairs(g, x, y, n, least, f)
+def cov(g, x, y, n, least=None):
+    size, *_, crossed, _ = moments(Lanes(g, n), finite(x), finite(y))
+    return np.where((size >= (n if least is None else least)) & (size > 1), crossed / np.maximum(1, size - 1), np.nan)
 
 
 def corr(g, x, y, n, least=None):
     """To twelve decimals, so that none is nearly 0; NaN where a side is constant."""
+    size, _, _, a, c, b = moments(Lanes(g, n), finite(x), finite(y))
+    return np.where(size >= (n if least is None else least), divided(c, np.sqrt(a) * np.sqrt(b)) + TWELVE - TWELVE, np.nan)
 
-    def f(u, v):
-        a, b, c, _ = _moments(u, v)
-        return divided(c, np.sqrt(a) * np.sqrt(b)) + TWELVE - TWELVE
 
-    return _pairs(g, x, y, n, least, f)
+def _extreme(g, x, n, least, f, empty):
+    lanes, x = Lanes(g, n), finite(x)
+    known = ~np.isnan(x)
+    return enough(lanes, lanes.laid(known, 0) > 0, n, least, lanes.put_together((lanes.laid(np.where(known, x, empty), empty),), by(f))[0])
 
 
 def lowest(g, x, n, least=None):
-    return windowed(g, n, least, lambda w: np.min(w, axis=1) if least is None else np.fmin.reduce(w, axis=1), finite(x))
+    return _extreme(g, x, n, least, np.minimum, np.inf)
 
 
 def highest(g, x, n, least=None):
-    return windowed(g, n, least, lambda w: np.max(w, axis=1) if least is None else np.fmax.reduce(w, axis=1), finite(x))
+    return _extreme(g, x, n, least, np.maximum, -np.inf)
 
 
-def rolling_rank(g, x, n, least=None):
-    """Percentile rank of the last value among the known ones, ties averaged; infinities keep their place."""
+def place_of(sign: float):
+    def run(g, x, n):
+        """Place of the first best value (largest of sign * x), the oldest being 1."""
+        lanes, x = Lanes(g, n), level(finite(x))
+        known = ~np.isnan(x)
+        rows = lanes.laid(np.where(known, sign * x, -np.inf), -np.inf)
 
-    def f(w):
-        last = w[:, -1:]
-        known = (~np.isnan(w)).sum(1)
-        out = ((w < last).sum(1) + ((w == last).sum(1) + 1) / 2) / np.maximum(1, known)
-        return np.where(np.isnan(last[:, 0]), np.nan, out)
+        def join(a, b, size):
+            older = a[0] >= b[0]
+            return np.where(older, a[0], b[0]), np.where(older, a[1], b[1] + size)
 
-    return windowed(g, n, least, f, level(x), whole=True)
+        return enough(lanes, lanes.laid(known, 0) > 0, n, None, lanes.put_together((rows, np.ones(lanes.size)), join)[1])
 
+    return run
 
-def place_of(best):
-    def run(g, x, n):
-        """Place of the first best value, the oldest being 1."""
-        return windowed(g, n, None, lambda w: np.where(np.isnan(w).any(1), np.nan, best(w, axis=1) + 1.0), level(finite(x)))
 
-    return run
+class Wavelet:
+    """Counts and order statistics of any stretch of a row of whole numbers, in steps by their bits."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(1, int(codes.max(initial=0)).bit_length())
+        self.levels = []
+        v = codes
+        for b in range(self.bits - 1, -1, -1):
+            one = (v >> b & 1).astype(bool)
+            self.levels.append((b, np.append(0, np.cumsum(~one))))
+            v = np.concatenate([v[~one], v[one]])
+
+    def below(self, first: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """How many places of ``first`` to ``end`` (excluded) have a smaller number than ``code``."""
+        out = np.zeros(len(first), np.int64)
+        for b, zeros in self.levels:
+            a, z = zeros[first], zeros[end]
+            up = code >> b & 1 == 1
+            out += np.where(up, z - a, 0)
+            first, end = np.where(up, zeros[-1] + first - a, a), np.where(up, zeros[-1] + end - z, z)
+        return np.where(code >> self.bits > 0, out + end - first, out)
+
+    def smallest(self, first: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The number of rank k, from 0."""
+        out = np.zeros(len(first), np.int64)
+        for b, zeros in self.levels:
+            a, z = zeros[first], zeros[end]
+            up = k >= z - a
+            k, out = np.where(up, k - (z - a), k), np.where(up, out | 1 << b, out)
+            first, end = np.where(up, zeros[-1] + first - a, a), np.where(up, zeros[-1] + end - z, z)
+        return out
+
+
+def _coded(lanes: Lanes, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct known values in order, and every place's index among them; those without a value come after all."""
+    known = ~np.isnan(x)
+    values, codes = np.unique(x[known], return_inverse=True)
+    whole = np.full(len(x), len(values), np.int64)
+    whole[known] = codes
+    laid = np.full(lanes.size, len(values), np.int64)
+    laid[lanes.last] = whole
+    return values, laid
 
 
-def quantile(g, x, n, q, least=None):
-    """Linear interpolation between neighbouring known values."""
+def rolling_rank(g, x, n, least=None):
+    """Percentile rank of the last value among the known ones, ties averaged; infinities keep their place."""
+    lanes, x = Lanes(g, n), level(x)
+    if n <= SHORT:
+        rows = lanes.laid(x)
+        less, alike = np.zeros(g.n, np.int32), np.zeros(g.n, np.int32)
+        for k in range(n):
+            other = rows[lanes.last - k]
+            less += other < x
+            alike += other == x
+        size = lanes.count(~np.isnan(rows))
+        return np.where(~np.isnan(x) & (size >= (n if least is None else least)), (less + (alike + 1) / 2) / np.maximum(1, size), np.nan)
+    values, codes = _coded(lanes, x)
+    tree, mine = Wavelet(codes), codes[lanes.last]
+    size = lanes.count(codes < len(values))
+    less = tree.below(lanes.first, lanes.last + 1, mine)
+    alike = tree.below(lanes.first, lanes.last + 1, mine + 1) - less
+    out = (less + (alike + 1) / 2) / np.maximum(1, size)
+    return np.where((mine < len(values)) & (size >= (n if least is None else least)), out, np.nan)
 
-    def f(w):
-        w = np.sort(w, axis=1)  # NaN last
-        at = ((~np.isnan(w)).sum(1) - 1) * q
-        low = np.maximum(0, np.floor(at)).astype(int)
-        row = np.arange(len(w))
-        down, up = w[row, low], w[row, np.minimum(low + 1, np.maximum(0, (~np.isnan(w)).sum(1) - 1))]
-        return down + (up - down) * (at - low)
 
-    return windowed(g, n, least, f, finite(x), whole=True)
+def quantile(g, x, n, q, least=None):
+    """Linear interpolation between neighbouring known values."""
+    lanes, x = Lanes(g, n), finite(x)
+    if n <= SHORT // 2:
+        rows = lanes.laid(x)
+        w = np.sort(np.lib.stride_tricks.sliding_window_view(rows, n)[lanes.first], axis=1)  # NaN last
+        size = lanes.count(~np.isnan(rows))
+        at = np.maximum(0, size - 1) * q
+        low, row = np.floor(at).astype(np.int64), np.arange(g.n)
+        down, up = w[row, low], w[row, np.minimum(low + 1, np.maximum(0, size - 1))]
+        return np.where(size >= max(1, n if least is None else least), down + (up - down) * (at - low), np.nan)
+    values, codes = _coded(lanes, x)
+    if not len(values):
+        return np.full(g.n, np.nan)
+    tree, size = Wavelet(codes), lanes.count(codes < len(values))
+    at = np.maximum(0, size - 1) * q
+    low = np.floor(at).astype(np.int64)
+    value = lambda k: values[np.minimum(tree.smallest(lanes.first, lanes.last + 1, k), len(values) - 1)]
+    down, up = value(low), value(np.minimum(low + 1, np.maximum(0, size - 1)))
+    return np.where(size >= max(1, n if least is None else least), down + (up - down) * (at - low), np.nan)
 
 
 def decay(g, x, n):
     """Weighted mean, the newest weighing n times the oldest."""
-    return windowed(g, n, None, lambda w: (w * np.arange(1, n + 1)).sum(1) / (n * (n + 1) / 2), finite(x))
+    lanes, x = Lanes(g, n), finite(x)
+    rows = lanes.laid(np.nan_to_num(x), 0.0)
+    weighed = lanes.put_together((rows, rows), lambda a, b, size: (a[0] + b[0], a[1] + b[1] + size * b[0]))[1]
+    return enough(lanes, lanes.laid(~np.isnan(x), 0) > 0, n, None, weighed / (n * (n + 1) / 2))
 
 
 def delay(g, x, k):
@@ -248,7 +333,7 @@ ROW: dict[str, Callable[..., np.ndarray]] = {
 }
 #: Operators per ticker (arguments: columns, then whole numbers) and per date.
 TIME: dict[str, Callable[..., np.ndarray]] = {
-    "ts_sum": total, "mean": mean, "std": std, "ts_min": lowest, "ts_max": highest, "ts_rank": rolling_rank, "argmax": place_of(np.argmax), "argmin": place_of(np.argmin),
+    "ts_sum": total, "mean": mean, "std": std, "ts_min": lowest, "ts_max": highest, "ts_rank": rolling_rank, "argmax": place_of(1.0), "argmin": place_of(-1.0),
     "corr": corr, "cov": cov, "delay": delay, "delta": delta, "decay": decay, "growth": growth, "fill": fill, "quantile": quantile,
 }
 DATE: dict[str, Callable[..., np.ndarray]] = {"rank": rank, "scale": scale}

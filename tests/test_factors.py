@@ -172,3 +172,68 @@ def test_windows_stay_within_tickers_whatever_the_batches(spark, bars, monkeypat
     got = alpha158(gaps, dtype="double", only=["alpha158_ma_5"]).join(gaps.select("date", "ticker", "close"), ["date", "ticker"])
     assert got.where("close is null and alpha158_ma_5 is not null").count() == 0
     assert alpha158(table.limit(0)).count() == 0
+
+
+def test_rolling_kernels_against_plain_windows():
+    """Every operator over windows of any length and groups of any size, with gaps, infinities, ties and constants, against NumPy on each window."""
+    import warnings
+
+    from factorloom import kernels as k
+
+    def plain(g, f, n, least, *columns):
+        out = np.full(g.n, np.nan)
+        for i in range(g.n):
+            rows = [c[max(g.start[i], i - n + 1) : i + 1] for c in columns]
+            known = ~np.any([np.isnan(r) for r in rows], axis=0)
+            if known.sum() >= (n if least is None else least) and known.any():
+                out[i] = f(*[r[known] for r in rows], *([rows[0][-1]] if f is place_in else []))
+        return out
+
+    def place_in(w, last):
+        return np.nan if np.isnan(last) else ((w < last).sum() + ((w == last).sum() + 1) / 2) / len(w)
+
+    rng = np.random.default_rng(17)
+    for trial in range(14):
+        sizes = rng.integers(1, 90, rng.integers(1, 5)).tolist()
+        g = k.Groups(np.cumsum([0, *sizes[:-1]]), sum(sizes))
+        x = rng.normal(size=g.n) * 10 ** rng.uniform(-2, 4)
+        y = rng.normal(size=g.n) + x
+        if trial % 3 == 0:
+            x = np.round(x / np.abs(x).max() * 3)
+        if trial % 4 == 0:
+            x[rng.random(g.n) < 0.2] = np.nan
+        if trial % 5 == 0:
+            x[rng.random(g.n) < 0.1] = np.inf
+        if trial == 13:
+            x[:] = 0.1
+        scale = max(1.0, np.abs(x[np.isfinite(x)]).max(initial=0))
+        same = lambda got, want, tol=1e-9: np.testing.assert_allclose(got, want, rtol=1e-9, atol=tol * scale, equal_nan=True)  # noqa: E731, B023
+        fx = k.finite(x)
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for n in (1, 2, 5, 20, 25, 49, 70):
+                for least in (None, 1, 2) if n > 2 else (None,):
+                    for own, f in ((k.total, np.sum), (k.mean, np.mean), (k.lowest, np.min), (k.highest, np.max)):
+                        same(own(g, x, n, least), plain(g, f, n, least, fx))
+                    same(k.std(g, x, n, least), plain(g, lambda w: np.std(w, ddof=1) if len(w) > 1 else np.nan, n, least, fx), 1e-7)
+                    same(k.cov(g, x, y, n, least), plain(g, lambda u, v: np.cov(u, v)[0, 1] if len(u) > 1 else np.nan, n, least, fx, y), 1e-6 * scale)
+                    same(k.rolling_rank(g, x, n, least), plain(g, place_in, n, least, k.level(x)))
+                    same(k.quantile(g, x, n, 0.3, least), plain(g, lambda w: np.quantile(w, 0.3), n, least, fx))
+                for sign, f in ((1.0, np.argmax), (-1.0, np.argmin)):
+                    same(k.place_of(sign)(g, x, n), plain(g, lambda w, f=f: f(w) + 1, n, None, k.level(fx)))
+                same(k.decay(g, x, n), plain(g, lambda w: np.average(w, weights=np.arange(1, len(w) + 1)), n, None, fx))
+                if trial != 13 and n > 2:
+                    got, want = k.corr(g, x, y, n), plain(g, lambda u, v: np.corrcoef(u, v)[0, 1], n, None, fx, y)
+                    np.testing.assert_allclose(got, want, atol=1e-6, equal_nan=True)
+                elif n > 1:  # constant: no deviation at all, so no correlation
+                    assert trial != 13 or np.isnan(k.corr(g, x, y, n)).all() and np.nanmax(k.std(g, x, n), initial=0) == 0
+
+
+def test_continued_operators_go_on_from_their_seeds():
+    from factorloom import kernels as k
+
+    g = k.Groups(np.array([0, 3]), 6)
+    x = np.array([np.nan, 0.5, np.nan, np.nan, 0.1, 0.2])
+    seed = np.array([7.0, 7.0, 7.0, np.nan, np.nan, np.nan])
+    np.testing.assert_array_equal(k.fill(g, x, seed), [7.0, 0.5, 0.5, np.nan, 0.1, 0.2])
+    np.testing.assert_allclose(k.growth(g, x, seed), [np.nan, 10.5, np.nan, np.nan, 1.1, 1.32])
