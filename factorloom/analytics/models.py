@@ -24,6 +24,18 @@ def _boosted(p: dict):
     return OneVsRest(featuresCol="_x", labelCol="_y", classifier=GBTClassifier(maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)))
 
 
+def _hist_boosted(p: dict):
+    from factorloom.analytics.trees import Booster
+
+    return Booster(p.get("max_iter", p.get("n_estimators", 100)), p.get("max_depth", 3) or 6, p.get("learning_rate", 0.1), p.get("l2_regularization", 0.0), p.get("min_samples_leaf", 20), p.get("max_bins", 64))
+
+
+def _extra_trees(p: dict):
+    from factorloom.analytics.trees import ExtraTrees
+
+    return ExtraTrees(p.get("n_estimators", 100), p.get("max_depth", 10) or 30, p.get("min_samples_leaf", 1), p.get("max_features", "sqrt"), seed=p.get("seed", 42))
+
+
 def _linear(mix: float, alpha: float, summed: bool = False):
     """Least squares with penalty ``alpha * (mix * sum |w| + (1 - mix) / 2 * sum w^2)``; ``summed``: against the sum of squared errors, not their mean.
 
@@ -43,13 +55,14 @@ def _linear(mix: float, alpha: float, summed: bool = False):
 MODELS: dict[str, tuple[str, Callable[[dict], object]]] = {
     "random_forest": ("class", _forest),
     "gradient_boosting": ("class", _boosted),
-    "hist_gradient_boosting": ("class", _boosted),
+    "hist_gradient_boosting": ("class", _hist_boosted),
+    "extra_trees": ("class", _extra_trees),
     "ridge": ("value", _linear(0.0, 1.0, summed=True)),
     "lasso": ("value", _linear(1.0, 0.001)),
     "elasticnet": ("value", _linear(0.5, 0.001)),
 }
 #: Named by users of other engines, but without a counterpart here.
-ABSENT = ("extra_trees", "xgboost", "xgboost_regressor", "xgb_ranker")
+ABSENT = ("xgboost", "xgboost_regressor", "xgb_ranker")
 
 
 def register(name: str, kind: str, build: Callable[[dict], object]) -> None:
@@ -68,7 +81,10 @@ def fit(rows: DataFrame, features: Sequence[str], name: str, **params):
     if getattr(build, "moments", False):
         n, spread = rows.dropna(subset=list(features)).agg(F.count("_y"), F.coalesce(F.stddev_pop("_y"), F.lit(0.0))).first()
         params = params | {"n": max(1, n), "spread": spread}
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), build(params)]).fit(rows)
+    built = build(params)
+    if not hasattr(built, "getFeaturesCol"):  # our own: over columns, gaps allowed
+        return kind, built.fit(rows, features)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), built]).fit(rows)
     return kind, model
 
 
