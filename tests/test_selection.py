@@ -51,6 +51,49 @@ def test_elimination(panel):
     assert got.history[0]["dropped_feature"] == "noise" and got.features == ["good", "noise"]
 
 
+def test_a_column_shuffled_over_all_rows(spark, panel):
+    """The same values on other rows and dates, alike for a seed whatever the partitions; the other columns stay."""
+    from factorloom.analytics.selection import numbered, shuffled
+
+    rows = panel.select("date", "ticker", "good", "noise")
+    places = [r["n"] for r in numbered(rows.repartition(7), ["date", "ticker"], "n").orderBy("date", "ticker").collect()]
+    assert places == list(range(320))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    out = shuffled(rows, "good", 3)
+    assert out.columns == rows.columns and key(out.select("good")) == key(rows.select("good"))
+    assert key(out.drop("good")) == key(rows.drop("good"))
+    assert key(out) == key(shuffled(rows.repartition(5), "good", 3)) != key(shuffled(rows, "good", 4))
+    a, b = (dict(((r["date"], r["ticker"]), r["good"]) for r in df.collect()) for df in (rows, out))
+    dates: dict = {}
+    for (d, _), v in a.items():
+        dates.setdefault(v, set()).add(d)
+    assert sum(k[0] not in dates[v] for k, v in b.items()) > 160  # most values are on another date
+    with pytest.raises(ValueError):
+        permutation_profits(rows, None, ["good"], scope="week")
+
+
+def test_the_estimator_finds_better_points_than_chance():
+    """A planted peak over a range, a whole number and a choice: better than drawing for most seeds, and the same for a seed."""
+    import random
+
+    from factorloom.analytics.selection import drawn, estimated
+
+    space = {"x": (0.0, 10.0), "n": (1, 50), "kind": ["a", "b", "c", "d"]}
+    value = lambda p: -((p["x"] - 7.3) ** 2) - ((p["n"] - 31) / 10) ** 2 - 3 * (p["kind"] != "c")
+
+    def best(search, seed):
+        rng, tried = random.Random(seed), []
+        for _ in range(60):
+            p = estimated(space, tried, rng) if search else drawn(space, rng)
+            tried.append((value(p), p))
+        assert all(0 <= p["x"] <= 10 and isinstance(p["n"], int) and 1 <= p["n"] <= 50 for _, p in tried)
+        return max(t[0] for t in tried)
+
+    pairs = [(best(True, s), best(False, s)) for s in range(30)]
+    assert sum(a > b for a, b in pairs) >= 20 and sum(a for a, _ in pairs) > sum(b for _, b in pairs)
+    assert best(True, 5) == best(True, 5)
+
+
 def test_tune(panel):
     best, tried = tune(panel, ["good"], "lasso", {"alpha": [0.0, 100.0]}, trials=4, folds=2, seed=1)
     assert best == {"alpha": 0.0} and len(tried) == 4 and tune(panel, ["good"], "lasso", {"alpha": [0.0, 100.0]}, trials=4, folds=2, seed=1) == (best, tried)
