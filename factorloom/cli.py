@@ -85,29 +85,37 @@ def factor_mining(a) -> None:
 def backtest(a) -> None:
     from datetime import date
 
-    from factorloom.analytics.backtest import holdout, segments, walk_forward
+    from factorloom.analytics.backtest import Segment, chained, holdout
     from factorloom.analytics.outputs import summary, write_run
     from factorloom.analytics.performance import metrics
+    from factorloom.analytics.riskqp import Risk
     from factorloom.config import resolve
     from factorloom.sources.tables import scan_panel, settled
     from pyspark.sql import functions as F
 
-    s = resolve(a.config, a.set, {"model": "ridge", "train_months": 60, "test_months": 3, "windows": 20, "cost_bps": 0.0, "cap": 0.25})
-    parts = [(date.fromisoformat(x["start"]), x["windows"], x["train_months"], x["test_months"]) for x in [s, *[s | more for more in s.get("then", [])]]]
-    steps = segments(parts)
-    if a.store:  # only the chunks of the run's dates
+    s = resolve(a.config, a.set, {"model": "ridge", "train_months": 60, "test_months": 3, "gap_months": 0, "windows": 20, "cost_bps": 0.0, "cap": 0.25, "weights": "heuristic"})
+
+    def options(x: dict) -> dict:
+        if x["weights"] not in ("heuristic", "risk"):
+            raise SystemExit(f"no weights {x['weights']!r}; there are heuristic and risk")
+        risk = {"risk": Risk(**({"cap": x["cap"]} | x.get("risk", {})))} if x["weights"] == "risk" else {}
+        return {"model": x["model"], "cost_bps": x["cost_bps"], "cap": x["cap"]} | risk | x.get("params", {})
+
+    whole = [s, *[{k: v for k, v in s.items() if k != "then"} | more for more in s.get("then", [])]]  # a later segment has the first one's settings but for its own
+    parts = [Segment(date.fromisoformat(x["start"]), x["windows"], x["train_months"], x["test_months"], x["gap_months"], x["features"], options(x)) for x in whole]
+    steps = [t for p in parts for t in p.spans()]
+    start, end = str(min(x.train_start for x in steps)), str(max(date.fromisoformat(s["holdout_end"]) if "holdout_end" in s else steps[0].test_end, *[x.test_end for x in steps]))
+    if a.store:  # only the chunks, and of a panel the row groups, of the run's dates
         from factorloom.sources.store import Store
 
-        end = s.get("holdout_end") or str(max(x.test_end for x in steps))
-        panel = Store(_spark(), a.store).load(a.family or None, start=str(min(x.train_start for x in steps)), end=end)
+        panel = Store(_spark(), a.store).load(a.family or None, start=start, end=end)
     elif a.panel:
-        panel = scan_panel(_spark(), a.panel)
+        panel = scan_panel(_spark(), a.panel, start=start, end=end)
     else:
         raise SystemExit("a backtest needs --panel or --store")
-    options = {"model": s["model"], "cost_bps": s["cost_bps"], "cap": s["cap"], "settle": settled} | s.get("params", {})
-    runs = {"rolling": walk_forward(panel, s["features"], steps, **options)}
+    runs = {"rolling": chained(panel, s["features"], parts, settle=settled)}
     if "holdout_start" in s:
-        runs["holdout"] = holdout(panel, s["features"], date.fromisoformat(s["holdout_start"]), date.fromisoformat(s["holdout_end"]), months=s["test_months"], **options)
+        runs["holdout"] = holdout(panel, s["features"], date.fromisoformat(s["holdout_start"]), date.fromisoformat(s["holdout_end"]), months=s["test_months"], settle=settled, **options(s))
     figures = {}
     for name, out in runs.items():
         series = out["returns"].select(F.lit("strategy").alias("series"), F.col("period").alias("date"), F.col("net_return").alias("ret"))

@@ -129,6 +129,25 @@ def store_in_archives(spark, d):
     return lags(inside.load(["alpha360"], prefixes=["alpha360_"], start=stamp("1996-03-01"), end=stamp("1998-10-01")))
 
 
+PAIR = f"SELECT date, ticker % 2 AS ticker, avg(close) AS close FROM ({MONTH}) GROUP BY 1, 2"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT date, max(close) FILTER (ticker = 0) AS p, max(close) FILTER (ticker = 1) AS q FROM ({PAIR}) GROUP BY 1),
+  b AS (SELECT *, row_number() OVER (ORDER BY date) AS i, p / lag(p) OVER (ORDER BY date) - 1 AS rp, q / lag(q) OVER (ORDER BY date) - 1 AS rq, p / lag(p, 3) OVER (ORDER BY date) - 1 AS sp, q / lag(q, 3) OVER (ORDER BY date) - 1 AS sq FROM a),
+  c AS (SELECT *, var_pop(rp - rq) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) + 0.0002 AS v, CASE WHEN sp > sq THEN 1 ELSE -1 END AS d FROM b),
+  r AS (SELECT 3::BIGINT AS i, 0::DOUBLE AS x UNION ALL SELECT c.i, greatest(-0.5, least(0.5, (c.d + 0.4 * r.x) / (10 * c.v + 0.4))) FROM r JOIN c ON c.i = r.i + 1)
+  SELECT strftime(date, '%Y-%m-%d') AS date, ticker, round(CASE ticker WHEN 0 THEN x ELSE -x END, 5) AS weight FROM r JOIN c USING (i), (VALUES (0::BIGINT), (1::BIGINT)) t(ticker) WHERE i > 3""")
+def risk_weights_of_two(spark, d):
+    """Signal, risk and turnover weighed by the quadratic programme, for the suppliers as two names, where each period has a closed form."""
+    from factorloom.analytics.riskqp import Risk, risk_weights
+
+    p = monthly(spark, d).groupBy("date", (c("ticker") % 2).alias("ticker")).agg(F.avg("close").alias("close"))
+    p = p.withColumns({"ret": c("close") / W.delay(c("close"), 1) - 1, "score": c("close") / W.delay(c("close"), 3) - 1})
+    scores = p.select(F.lit("pair").alias("strategy"), c("date").alias("period"), "ticker", "score").where("score is not null")
+    found = risk_weights(scores, p.select("date", "ticker", "ret").where("ret is not null"), Risk(cap=0.5, look_back=12, shrink=False))
+    return found.withColumnRenamed("period", "date").select(*key(), r(c("weight"), 5).alias("weight"))
+
+
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q99": 0.99}
 QUANTILE_COLUMNS = ("open", "close", "volume", "amount", "momentum", "rounded")
 

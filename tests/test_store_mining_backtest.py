@@ -352,6 +352,72 @@ def test_walk_forward(spark, bars):
         models.fit(train, ["f1"], "xgboost")
 
 
+def test_chained_segments_have_their_own_settings(spark, bars):
+    """Each segment is a walk-forward run of its own, windows that overlap the one before are left out, and one NAV goes through all."""
+    from factorloom.analytics.backtest import Segment, chained, spans, walk_forward
+    from factorloom.operators.standardise import returns
+    from factorloom.sources.tables import settled
+
+    assert [(s.test_start, s.test_end) for s in spans(date(2022, 1, 1), 2, 12, 3, 1)] == [(date(2023, 2, 1), date(2023, 5, 1)), (date(2023, 5, 1), date(2023, 8, 1))]
+    p = settled(returns(bars).withColumn("benchmark_next_period_return", F.lit(0.0)).withColumn("f1", F.sin(F.col("volume"))).withColumn("f2", F.col("close") / 10))
+    one = Segment(date(2022, 12, 1), 1, 2, 1, settings={"model": "ridge", "cost_bps": 10.0, "alpha": 0.1})
+    two = Segment(date(2022, 9, 1), 2, 3, 3, features=["f2"], settings={"model": "lasso", "alpha": 0.0})
+    assert [s.test_start for s in two.spans()] == [date(2022, 12, 1), date(2023, 3, 1)]  # the first begins before segment one ends
+    out = chained(p, ["f1", "f2"], [one, two], initial=2.0, cap=0.3, settle=settled)
+    plain = [walk_forward(p, f, steps, cap=0.3, settle=settled, **part.settings) for f, part, steps in ((["f1", "f2"], one, one.spans()), (["f2"], two, two.spans()[1:]))]
+    key = lambda df: sorted((str(r["period"]), str(r["ticker"]), round(r["weight"], 12)) for r in df.collect())
+    for i, run in enumerate(plain):
+        assert key(out["weights"].where(F.col("segment") == i)) == key(run["weights"]) != []
+    net = [r["net_return"] for run in plain for r in run["returns"].orderBy("period").collect()]
+    assert [r["nav"] for r in out["nav"].orderBy("period").collect()] == pytest.approx([2 * (1 + net[0]), 2 * (1 + net[0]) * (1 + net[1])])
+    with pytest.raises(ValueError, match="window"):
+        chained(p, ["f1"], [Segment(date(2022, 12, 1), 0)])
+
+
+def test_risk_weights_in_walk_forward_and_holdout(spark, bars):
+    """The programme's weights on the scores of the run, from returns before each period alone."""
+    from factorloom.analytics.backtest import Span, holdout, walk_forward
+    from factorloom.analytics.riskqp import Risk, risk_weights
+    from factorloom.operators.standardise import returns
+    from factorloom.sources.tables import settled
+
+    p = settled(returns(bars).withColumn("benchmark_next_period_return", F.lit(0.0)).withColumn("f1", F.sin(F.col("volume") + F.ascii("ticker"))))
+    steps = [Span(date(2023, 1, 1), date(2023, 2, 15), date(2023, 2, 15), date(2023, 3, 1)), Span(date(2023, 1, 15), date(2023, 3, 1), date(2023, 3, 1), date(2023, 3, 15))]
+    risk = Risk(cap=0.2, look_back=30, turnover=0.5)
+    out = walk_forward(p, ["f1"], steps, alpha=0.1, risk=risk, settle=settled)
+    rows = out["weights"].groupBy("period").agg(F.sum("weight").alias("net"), F.max(F.abs("weight")).alias("top"), F.sum(F.abs("weight")).alias("gross")).collect()
+    assert len(rows) == 2 and all(abs(r["net"]) < 1e-6 and r["top"] <= 0.2 + 1e-6 and 0.1 < r["gross"] <= 1 + 1e-6 for r in rows)
+    # prices after the last period begins change nothing
+    later = p.withColumn("return_1d", F.when(F.col("date") >= datetime(2023, 3, 1), 9.0).otherwise(F.col("return_1d")))
+    key = lambda o: sorted((str(r["period"]), r["ticker"], round(r["weight"], 9)) for r in o["weights"].collect())
+    assert key(walk_forward(later, ["f1"], steps, alpha=0.1, risk=risk, settle=settled)) == key(out)
+    held = holdout(p, ["f1"], date(2023, 2, 15), date(2023, 3, 20), months=1, alpha=0.1, risk=risk, settle=settled)
+    assert held["weights"].select("period").distinct().count() == 2 and held["exposures"].first()["largest"] <= 0.2 + 1e-6
+    plain = walk_forward(p, ["f1"], steps, alpha=0.1, settle=settled)
+    assert key(plain) != key(out)
+    scores = spark.createDataFrame([("run", date(2023, 3, 1), t, float(i)) for i, t in enumerate("ABCD")], "strategy string, period date, ticker string, score double")
+    assert risk_weights(scores, p.select(F.to_date("date").alias("date"), "ticker", F.col("return_1d").alias("ret")).where("ret is not null"), risk).count() > 0
+
+
+def test_backtest_command_takes_segments_and_risk_weights(spark, bars, tmp_path, capsys):
+    import json
+
+    from factorloom.cli import main
+    from factorloom.operators.standardise import returns
+    from factorloom.sources.tables import write_panel
+
+    path = f"{tmp_path}/panel"
+    write_panel(returns(bars).withColumn("benchmark_next_period_return", F.lit(0.0)).withColumn("f1", F.sin(F.col("volume"))).withColumn("f2", F.col("close") / 10), path)
+    config = tmp_path / "run.json"
+    config.write_text(json.dumps({"features": ["f1", "f2"], "start": "2022-12-01", "windows": 1, "train_months": 2, "test_months": 1, "params": {"alpha": 0.1}, "then": [{"start": "2022-12-01", "train_months": 3, "weights": "risk", "risk": {"look_back": 20}, "model": "lasso", "params": {"alpha": 0.0}}]}))
+    assert main(["backtest", "--panel", path, "--config", str(config), "--output", f"{tmp_path}/out"]) == 0
+    figures = json.loads(capsys.readouterr().out)
+    assert set(figures) == {"rolling"}
+    assert [r["segment"] for r in spark.read.option("header", True).csv(f"{tmp_path}/out/rolling/returns").orderBy("period").collect()] == ["0", "1"]
+    with pytest.raises(SystemExit, match="no weights"):
+        main(["backtest", "--panel", path, "--config", str(config), "--set", "weights=equal"])
+
+
 def test_segments_follow_each_other():
     from factorloom.analytics.backtest import segments
 
