@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.expressions import Expr, field, seeded, unbounded, vocabulary, with_factors
+from factorloom.expressions import Expr, field, reaches, seeded, stages, unbounded, vocabulary, with_factors
 from factorloom.factors.formulas import ALPHA101, ALPHA191
 from factorloom.functions import no_nan
 
@@ -174,3 +174,43 @@ def add_family(panel: DataFrame, family: str, dtype: str = "float") -> DataFrame
 
 def catalogue() -> list[dict]:
     return [{"family": f, "columns": n, "prefix": f"{f}_"} for f, n in FAMILIES.items()]
+
+
+def factor_catalogue(spark, families: Iterable[str] = tuple(FAMILIES)) -> DataFrame:
+    """A row for each factor: family, formula, the fields that it reads, how many rows of a ticker it looks back, whether it carries a state, and the passes that it takes."""
+    rows = []
+    for f in families:
+        for name, e in formulas(normal_family(f)).items():
+            fields = sorted({n.args[0] for n in _nodes(e) if n.op == "field"})
+            far = reaches({name: e})
+            rows.append((name, normal_family(f), written(e), fields, sum(far.values()), bool(unbounded({name: e})), 1 + max(stages({name: e}).values(), default=0)))
+    return spark.createDataFrame(rows, "factor string, family string, formula string, fields array<string>, look_back int, carries_state boolean, passes int")
+
+
+def _nodes(e) -> list[Expr]:
+    return [e, *[n for a in e.args for n in _nodes(a)]] if isinstance(e, Expr) else []
+
+
+def written(e) -> str:
+    """An expression as text."""
+    if not isinstance(e, Expr):
+        return f"{e:g}" if isinstance(e, float) else str(e)
+    return e.args[0] if e.op == "field" else f"{e.op}({', '.join(written(a) for a in e.args)})"
+
+
+def merge_external(panel: DataFrame, factors: DataFrame, *, prefix: str, expected: Iterable[str] | None = None, whole: bool = True) -> DataFrame:
+    """The panel with the columns of ``factors`` that start with ``prefix``, in place of those it has.
+
+    Keys of ``factors`` may stand once each; with ``whole`` they must be the panel's, else rows that only the panel has get NULL. ``expected`` columns must be there.
+    """
+    require(factors, [*KEYS, *(expected or ())])
+    columns = [c for c in factors.columns if c.startswith(prefix)]
+    if not columns:
+        raise ValueError(f"no column starts with {prefix!r}")
+    if twice := factors.groupBy(*KEYS).count().where("count > 1").limit(5).collect():
+        raise ValueError(f"repeated keys, such as {[tuple(r) for r in twice]}")
+    if whole:
+        for a, b, what in ((panel, factors, "keys without factors"), (factors, panel, "keys that the panel lacks")):
+            if lone := a.select(*KEYS).join(b.select(*KEYS), KEYS, "left_anti").limit(5).collect():
+                raise ValueError(f"{what}, such as {[tuple(r) for r in lone]}")
+    return panel.drop(*columns).join(factors.select(*KEYS, *columns), KEYS, "left")

@@ -185,9 +185,13 @@ def recent_dates(spark, d):
     return tables.recent_dates(monthly(spark, d), 7).select(day())
 
 
-@query("SELECT strftime(g, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS g) WHERE isodow(g) < 6")
+@query("WITH g AS (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS g FROM orders) SELECT strftime(g, '%Y-%m-%d') AS date, count(o_orderkey) AS orders FROM g LEFT JOIN orders ON o_orderdate::DATE = g WHERE isodow(g) < 6 GROUP BY 1")
 def business_days(spark, d):
-    return tables.business_days(spark, "1995-01-01", "1996-12-31").select(day())
+    """The business days from the first to the last order, with the orders of each, none among them."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(c("o_orderdate").cast("date").alias("date"))
+    first, last = orders.agg(F.min("date"), F.max("date")).first()
+    counts = orders.groupBy("date").agg(F.count(F.lit(1)).alias("orders"))
+    return tables.business_days(spark, str(first), str(last)).join(counts, "date", "left").select(day(), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
 def vendor(spark, d):
@@ -344,10 +348,18 @@ def ridge_scores(spark, d):
     return models.scores(p.where(c("date") >= split), fitted).select(*key(), r(c("score")).alias("score"))
 
 
-@query("SELECT i::INT AS step, strftime(DATE '1992-01-31' + to_months(3 * i), '%Y-%m-%d') AS train_start, strftime(DATE '1992-01-31' + to_months(3 * i) + to_months(24), '%Y-%m-%d') AS train_end, strftime(DATE '1992-01-31' + to_months(3 * i) + to_months(24) + to_months(3), '%Y-%m-%d') AS test_end FROM range(12) t(i)")
+@query(f"""WITH p AS ({MONTH}), f AS (SELECT min(date)::DATE AS first FROM p), w AS (SELECT i::INT AS step, (first + to_months(3 * i)) AS a, (first + to_months(3 * i + 24)) AS b, (first + to_months(3 * i + 27)) AS e FROM f, range(12) t(i))
+  SELECT step, strftime(a, '%Y-%m-%d') AS train_start, strftime(b, '%Y-%m-%d') AS train_end, strftime(e, '%Y-%m-%d') AS test_end, count(*) FILTER (date < b) AS train_rows, count(*) FILTER (date >= b) AS test_rows FROM w JOIN p ON date >= a AND date < e GROUP BY ALL""")
 def walk_windows(spark, d):
-    rows = [(i, str(s.train_start), str(s.train_end), str(s.test_end)) for i, s in enumerate(bt.spans(date(1992, 1, 31), 12, 24, 3))]
-    return spark.createDataFrame(rows, "step int, train_start string, train_end string, test_end string")
+    """Rolling windows from the panel's first month on, with the rows of each training and test span."""
+    p = monthly(spark, d)
+    first = p.agg(F.min("date")).first()[0].date()
+    rows = [(i, s.train_start, s.train_end, s.test_end) for i, s in enumerate(bt.spans(first, 12, 24, 3))]
+    windows = F.broadcast(spark.createDataFrame(rows, "step int, train_start date, train_end date, test_end date"))
+    joined = p.select("date").join(windows, (c("date") >= c("train_start")) & (c("date") < c("test_end")))
+    train = (c("date") < c("train_end")).cast("long")
+    names = ("train_start", "train_end", "test_end")
+    return joined.groupBy("step", *names).agg(F.sum(train).alias("train_rows"), F.sum(1 - train).alias("test_rows")).select("step", *[c(n).cast("string").alias(n) for n in names], "train_rows", "test_rows")
 
 
 @query("WITH v AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS date, event_type AS ticker, ts, value FROM events) SELECT strftime(date, '%Y-%m-%d %H:%M') AS date, ticker, round(arg_min(value, ts), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, ts), 4) AS close, count(*) AS volume FROM v GROUP BY ALL")

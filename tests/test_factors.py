@@ -237,3 +237,40 @@ def test_continued_operators_go_on_from_their_seeds():
     seed = np.array([7.0, 7.0, 7.0, np.nan, np.nan, np.nan])
     np.testing.assert_array_equal(k.fill(g, x, seed), [7.0, 0.5, 0.5, np.nan, 0.1, 0.2])
     np.testing.assert_allclose(k.growth(g, x, seed), [np.nan, 10.5, np.nan, np.nan, 1.1, 1.32])
+
+
+def test_exports_lead_to_what_they_name():
+    import factorloom
+
+    for name in factorloom.__all__:
+        assert getattr(factorloom, name) is not None and name in dir(factorloom)
+    from factorloom import Store, add_family
+
+    assert Store.__name__ == "Store" and add_family.__module__ == "factorloom.factors.families"
+    with pytest.raises(AttributeError):
+        factorloom.nothing  # noqa: B018
+
+
+def test_catalogue_of_single_factors(spark):
+    from factorloom.factors.families import factor_catalogue
+
+    rows = {r["factor"]: r for r in factor_catalogue(spark).collect()}
+    assert len(rows) == 810 and {r["family"] for r in rows.values()} == set(FAMILIES)
+    one = rows["alpha191_014"]
+    assert (one["formula"], one["fields"], one["look_back"], one["carries_state"], one["passes"]) == ("-(close, delay(close, 5))", ["close"], 5, False, 1)
+    assert rows["alpha101_019"]["carries_state"] and rows["alpha101_019"]["passes"] == 2
+    assert rows["alpha360_open_lag59"]["look_back"] == 59 and rows["alpha360_open_lag59"]["fields"] == ["close", "open"]
+
+
+def test_external_factors_merge_into_a_panel(spark):
+    from factorloom.factors.families import merge_external
+
+    panel = spark.createDataFrame([("2024-01-01", "A", 1.0, 9.0), ("2024-01-01", "B", 2.0, 9.0)], "date string, ticker string, close double, own_x double")
+    made = spark.createDataFrame([("2024-01-01", "A", 5.0, 0.0), ("2024-01-01", "B", 6.0, 0.0)], "date string, ticker string, own_x double, other double")
+    assert sorted(map(tuple, merge_external(panel, made, prefix="own_").collect())) == [("2024-01-01", "A", 1.0, 5.0), ("2024-01-01", "B", 2.0, 6.0)]
+    assert {r["own_x"] for r in merge_external(panel, made.where("ticker = 'A'"), prefix="own_", whole=False).collect()} == {5.0, None}
+    for factors, options, said in ((made.union(made), {}, "repeated"), (made.where("ticker = 'A'"), {}, "without factors"), (made, {"expected": ["own_y"]}, "own_y"), (made, {"prefix": "mine_"}, "mine_")):
+        with pytest.raises((ValueError, KeyError), match=said):
+            merge_external(panel, factors, **{"prefix": "own_", **options})
+    with pytest.raises(ValueError, match="panel lacks"):
+        merge_external(panel.where("ticker = 'A'"), made, prefix="own_")
