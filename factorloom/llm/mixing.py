@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import WORD, saved
+from factorloom.llm.merkle import field
 
 
 def size_in_words(text: Column) -> Column:
@@ -142,11 +143,12 @@ ORDER = ("size", "source_size", "target", "taken", "pass", "position")
 def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents with all their columns and ``ORDER``, a row for each time that one is read, range-sorted by position; those never read at the end.
 
-    A column of ``docs`` named as one of ``ORDER`` gives way to it.  The order is made of ids and sizes alone and joined to the documents, numbered in a saved table, afterwards.
+    A column of ``docs`` named as one of ``ORDER`` gives way to it.  The order is made of ids and sizes alone.  A digest of all columns leads from it
+    back to the documents, whose texts are shuffled twice, for the join and for the sort; rows alike in all columns are one there, so none is multiplied.
     """
-    rows = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("uid")), "mix-documents")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.md5(F.concat(*[field(F.col(f"`{c}`")) for c in docs.columns])).alias("uid"))
     narrow = rows.select(F.struct("uid", F.col("doc").getField(id_col).alias("id")).alias("id"), F.col("doc").getField(text_col).alias("text"), F.col("doc").getField(source_col).alias("source"))
     order = in_training_order(mix(narrow, id_col="id", hash_col="id.id", **options), id_col="id", untaken=True, ordered=False)
-    joined = rows.join(order.select(F.col("id.uid").alias("uid"), *ORDER), "uid")
+    joined = rows.groupBy("uid").agg(F.first("doc").alias("doc")).join(order.select(F.col("id.uid").alias("uid"), *ORDER), "uid")
     out = joined.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ORDER], *ORDER)
     return out.orderBy(F.col("position").asc_nulls_last(), F.col(f"`{id_col}`"), "pass")

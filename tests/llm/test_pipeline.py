@@ -36,10 +36,11 @@ def test_training_order_keeps_columns_and_tells_equal_rows_apart(spark):
     from factorloom.llm.mixing import ORDER, mix, training_order
 
     rows = [(i % 30 if i else None, "w " * (i % 7), f"s{i % 3}", f"n{i}") for i in range(90)]
+    rows += [rows[40]] * 3  # alike in all columns
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
     out = training_order(docs.selectExpr("*", "'x' AS taken", "1 AS uid", "2 AS id", "3 AS doc")).collect()
     assert out[0].asDict().keys() == {"doc_id", "text", "source", "note", "uid", "id", "doc", *ORDER}
-    assert sorted({r["note"] for r in out}) == sorted(r[3] for r in rows)
+    assert sorted({r["note"] for r in out}) == sorted({r[3] for r in rows}) and len([r for r in out if r["pass"] <= 1]) == len(rows)
     assert all(r["size"] == len((r["text"] or "").split()) for r in out)
     taken = lambda found: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"]) for r in found)
     assert [x[1:] for x in taken([r for r in out if r["pass"] <= 1])] == [x[1:] for x in taken(mix(docs).collect())]
