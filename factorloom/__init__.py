@@ -12,6 +12,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EXPORTS = {
     "factors.families": ("FAMILIES", "add_family", "alpha158", "alpha360", "catalogue", "classic_factors", "expected_columns", "factor_catalogue", "formulas", "merge_external", "normal_family"),
     "factors.mining": ("mine", "out_of_sample"),
+    "sources.cache": ("DateCache",),
     "sources.store": ("Conflict", "Store", "snapshot"),
     "sources.tables": ("rewrite", "scan_panel", "write_panel"),
     "sources.tar": ("TarStore", "pack"),

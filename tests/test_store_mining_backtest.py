@@ -257,6 +257,42 @@ def test_merges_touch_only_their_chunks(spark, long_bars, monkeypatch):
         store.merge(some.drop("vwap"), 10)
 
 
+def test_a_cache_fetches_only_wanted_days(spark, long_bars, monkeypatch):
+    """Days not there, the last ones again, empty days once; a run that is overtaken starts anew; strange days and other columns are refused."""
+    from factorloom.sources.cache import DateCache
+
+    asked, path = [], shared(spark, "cache")
+    cache, other = DateCache(spark, path), DateCache(spark, path)
+    dates = spark.createDataFrame([(date(2023, 1, d),) for d in range(1, 11)], "date date")
+
+    def source(days, factor=1.0):
+        asked.append(sorted(r[0].day for r in days.collect()))
+        return long_bars.join(days, F.to_date("date") == F.col("day")).where("ticker = 'C'").select("date", "ticker", (F.col("low") * factor).alias("low"))
+
+    with pytest.raises(ValueError, match="nothing"):
+        cache.read("bars")
+    assert cache.fill("bars", dates.limit(8), source) == {"fetched": 8, "rows": 2}  # C has the 1st and the 8th
+    assert cache.fill("bars", dates, source) == {"fetched": 2, "rows": 0} and cache.fill("bars", dates, source) == {"fetched": 0, "rows": 0}
+    assert asked == [list(range(1, 9)), [9, 10]]
+    assert cache.fill("bars", dates.limit(8), lambda d: source(d, 2.0), refresh=2) == {"fetched": 2, "rows": 1} and asked[-1] == [7, 8]
+    want = long_bars.where("ticker = 'C'").where("date < '2023-01-11'").select("date", "ticker", (F.col("low") * F.when(F.dayofmonth("date") == 8, 2.0).otherwise(1.0)).alias("low"))
+    assert rows_of(cache.read("bars")) == rows_of(want)
+    assert cache.read("bars", "2023-01-02", "2023-01-09").count() == 1 and cache.read("bars", "2023-01-02", "2023-01-03").count() == 0
+    once = []
+
+    def slow(days):
+        if not once:
+            once.append(other.fill("other", dates.limit(1), source))
+        return source(days)
+
+    more = spark.createDataFrame([(date(2023, 1, 15),)], "date date")
+    assert cache.fill("bars", more, slow) == {"fetched": 1, "rows": 1} and len(cache.days("other")) == 1 and len(cache.days("bars")) == 11
+    with pytest.raises(ValueError, match="not wanted"):
+        cache.fill("bars", spark.createDataFrame([(date(2023, 2, 1),)], "date date"), lambda d: long_bars.select("date", "ticker", "low"))
+    with pytest.raises(ValueError, match="other columns"):
+        cache.fill("bars", spark.createDataFrame([(date(2023, 1, 22),)], "date date"), lambda d: source(d).drop("ticker"))
+
+
 def test_ridge_is_the_closed_form(spark):
     from factorloom.analytics import models
 
