@@ -183,6 +183,18 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
 
     def cut(batches):
         canon, hashes = Canon(), TemplateHashes()
+        mask = np.uint64((1 << 22) - 1)
+        if only is not None:
+            likely = np.zeros(1 << 22, bool)
+            likely[only & mask] = True
+
+        def known(w: np.ndarray) -> np.ndarray:
+            """The places of hashes that are in ``only``: most others are told apart by their last bits."""
+            if only is None:
+                return np.arange(len(w))
+            at = np.flatnonzero(likely[w & mask])
+            return at[only[np.minimum(np.searchsorted(only, w[at]), len(only) - 1)] == w[at]]
+
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):
                 ids = batch.column(id_col)
@@ -191,18 +203,16 @@ def template_windows(table: DataFrame, width: int, id_col: str, text_col: str, *
                     plain, typed = hashes.both(text)
                     group = grouped(typed)
                     for mode, h in enumerate((plain, typed, typed[group])):
-                        if mode == 2 and len(group) == len(typed):
-                            group = np.arange(len(typed))
-                        cuts = [(width, rolling(h, width))]
+                        if mode < 2 or len(group) < len(typed):  # else all windows are those of mode 1
+                            full_windows = rolling(h, width)
+                            full_kept = known(full_windows)
+                        cuts = [(width, full_windows)]
                         if mode < 2:
                             own = {len(h)} if short and 0 < len(h) < width else set()
                             cuts += [(k, rolling(h, k) ^ np.uint64(k)) for k in sorted({*lengths, *own}) if k <= len(h)]
                         values = None
                         for size, w in cuts:
-                            keep = np.arange(len(w))
-                            if only is not None and len(w):
-                                spot = np.minimum(np.searchsorted(only, w), len(only) - 1)
-                                keep = np.flatnonzero(only[spot] == w)
+                            keep = full_kept if size == width else known(w)
                             if not len(keep):
                                 continue
                             if values is None:
