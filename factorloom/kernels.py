@@ -104,6 +104,8 @@ def moments(lanes: Lanes, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
         known &= ~np.isnan(c)
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    if lanes.n < 8:
+        return _few(lanes, known, columns, pairs)
     one = [lanes.laid(known, 0.0), *[lanes.laid(np.where(known, c, 0.0), 0.0) for c in columns]]
 
     def join(a, b, _):
@@ -117,6 +119,23 @@ def moments(lanes: Lanes, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return lanes.put_together((*one, *[np.zeros(lanes.size) for _ in pairs]), join)
 
 
+def _few(lanes: Lanes, known: np.ndarray, columns: tuple[np.ndarray, ...], pairs: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """``moments`` of short windows, row by row and oldest first, from deviations against the first: products of equal ranks cancel to exactly 0, on which ties of covariances hang."""
+    mask, rows = lanes.laid(known, 0) > 0, [lanes.laid(np.where(known, c, 0.0), 0.0) for c in columns]
+    places = [lanes.last - k for k in range(lanes.n - 1, -1, -1)]
+    size, base = np.zeros(len(lanes.last)), [np.zeros(len(lanes.last)) for _ in rows]
+    for at in places:
+        base = [np.where(size > 0, b, r[at]) for b, r in zip(base, rows, strict=True)]
+        size = size + mask[at]
+    sums = [sum(np.where(mask[at], r[at] - b, 0.0) for at in places) for b, r in zip(base, rows, strict=True)]
+    means = [s / np.maximum(1, size) for s in sums]
+    products = [np.zeros(len(size)) for _ in pairs]
+    for at in places:
+        away = [np.where(mask[at], r[at] - b - m, 0.0) for r, b, m in zip(rows, base, means, strict=True)]
+        products = [p + away[i] * away[j] for p, (i, j) in zip(products, pairs, strict=True)]
+    return (size, *[b + m for b, m in zip(base, means, strict=True)], *products)
+
+
 def std(g, x, n, least=None):
     size, _, squares = moments(Lanes(g, n), finite(x))
     return np.where((size >= (n if least is None else least)) & (size > 1), np.sqrt(squares / np.maximum(1, size - 1)), np.nan)
