@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions import finite, no_nan, safe_div
+from factorloom.sources.tables import settled
 
 
 def long_factors(panel: DataFrame, factors: Sequence[str], target: str, *, finite_only: bool = False) -> DataFrame:
@@ -165,16 +166,36 @@ def normal_tail(z):
     return F.when(z > 3, tail).otherwise(series)
 
 
+def harmonic(m):
+    """1 + 1/2 + ... + 1/m to all its figures: summed up to 64 terms, beyond that by the Euler-Maclaurin series, whose next term is below 1e-16."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(64), F.greatest(F.lit(1), m)).cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    x = m.cast("double")
+    return F.when(m <= 64, few).otherwise(F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))))
+
+
 def q_values(tests: DataFrame) -> DataFrame:
-    """Benjamini-Hochberg and Benjamini-Yekutieli q-values of ``(factor, p_value)``; missing tests count in the family."""
-    every = Window.partitionBy(F.lit(0))
-    rows = tests.withColumn("m", F.count(F.lit(1)).over(every))
-    some = rows.where("p_value is not null").withColumn("i", F.row_number().over(every.orderBy("p_value", "factor")))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
-    back = every.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    """Benjamini-Hochberg and Benjamini-Yekutieli q-values of ``(factor, p_value)``; missing tests count in the family.
+
+    Tests are range-sorted and numbered by the counts of each part; the smallest value of later parts is carried over as one row a part.
+    """
+    names = ["factor", "p_value"]
+    parts = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["p_value", "factor"]
+    rows = settled(tests.select(*names).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    before, after = (Window.partitionBy(F.lit(0)).orderBy(o) for o in ("part", F.desc("part")))  # one row a part
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("all"), F.count("p_value").alias("some"))
+    starts = counts.select("part", F.coalesce(F.sum("some").over(earlier(before)), F.lit(0)).alias("start"), F.sum("all").over(Window.partitionBy(F.lit(0))).alias("m"))
+    inner = Window.partitionBy("part")
+    some = rows.where("p_value is not null").join(F.broadcast(starts), "part").withColumn("i", F.col("start") + F.row_number().over(inner.orderBy(*order)))
     some = some.withColumn("raw", F.col("p_value") * F.col("m") / F.col("i"))
-    some = some.withColumns({"q_bh": F.least(F.lit(1.0), F.min("raw").over(back)), "q_by": F.least(F.lit(1.0), F.min(F.col("raw") * harmonic).over(back))})
-    return rows.where("p_value is null").select("factor", "p_value", F.lit(None).cast("double").alias("q_bh"), F.lit(None).cast("double").alias("q_by")).unionByName(some.select("factor", "p_value", "q_bh", "q_by"))
+    lows = some.groupBy("part").agg(F.min("raw").alias("low"))
+    lows = lows.select("part", F.min("low").over(earlier(after)).alias("later"))
+    back = inner.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    low = F.least(F.min("raw").over(back), F.col("later"))
+    some = some.join(F.broadcast(lows), "part").withColumn("low", low)
+    some = some.select(*names, F.least(F.lit(1.0), "low").alias("q_bh"), F.least(F.lit(1.0), F.col("low") * harmonic(F.col("m"))).alias("q_by"))
+    return rows.where("p_value is null").select(*names, F.lit(None).cast("double").alias("q_bh"), F.lit(None).cast("double").alias("q_by")).unionByName(some)
 
 
 def quality_gate(summary: DataFrame, least_coverage: float = 0.8) -> DataFrame:

@@ -54,6 +54,24 @@ def test_q_values(spark):
     assert abs(got["a"]["q_by"] - 0.04 * 25 / 12) < 1e-12 and got["d"]["q_bh"] is None
 
 
+def test_q_values_of_many_tests(spark):
+    """Ties, gaps and several parts against the plain loop; it took the square of the tests before."""
+    import time
+
+    n = 120_000
+    ps = [None if i % 17 == 0 else ((i * 7919) % 1000 + 1) / 1000.0 for i in range(n)]
+    began = time.time()
+    got = {r["factor"]: r for r in ev.q_values(spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(ps)], "factor string, p_value double")).collect()}
+    assert time.time() - began < 60 and len(got) == n
+    h, low = math.fsum(1 / k for k in range(1, n + 1)), math.inf
+    order = sorted((p, f"f{i}") for i, p in enumerate(ps) if p is not None)
+    for i in range(len(order), 0, -1):
+        p, f = order[i - 1]
+        low = min(low, p * n / i)
+        assert abs(got[f]["q_bh"] - min(1, low)) < 1e-12 and abs(got[f]["q_by"] - min(1, low * h)) < 1e-11
+    assert all(got[f"f{i}"]["q_bh"] is None for i, p in enumerate(ps) if p is None)
+
+
 def test_groups(spark):
     rows = cross_section(spark, list(map(float, range(10))), [i / 100 for i in range(10)])
     for rule in ("store", "panel"):
