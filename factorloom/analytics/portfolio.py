@@ -27,7 +27,8 @@ def capped(rows: DataFrame, total: str, cap: float, by: list[str]) -> DataFrame:
     in order of size finds that k. If even all at the cap fall short, all are at the cap.
     """
     order = Window.partitionBy(*by).orderBy(F.desc("size"), "ticker")
-    rows = rows.withColumns({"_k": F.row_number().over(order) - 1, "_left": F.sum("size").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    back = Window.partitionBy(*by).orderBy("size", F.desc("ticker"))  # a frame to the last row would be summed anew for each row
+    rows = rows.withColumns({"_k": F.row_number().over(order) - 1, "_left": F.sum("size").over(back.rowsBetween(Window.unboundedPreceding, 0))})
     share = safe_div((F.col(total) - F.col("_k") * cap) * F.col("size"), F.col("_left"))
     free = F.when(share <= cap + 1e-15, F.struct("_k", "_left"))
     first = F.min(free).over(Window.partitionBy(*by))

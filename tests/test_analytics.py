@@ -113,6 +113,17 @@ def test_capped_weights_against_the_loop(spark):
         assert abs(r["weight"] - want[r["period"], r["ticker"]]) < 1e-12
 
 
+def test_capped_weights_of_many_names(spark):
+    """40,000 names in one period: the sum of all smaller ones is running, not taken anew for each name."""
+    import time
+
+    rows = spark.range(40_000).select(F.lit(1).alias("period"), "id", F.col("id").alias("ticker"), (1 + F.col("id") % 1000 / 10).alias("size"), F.lit(0.5).alias("total"))
+    began = time.time()
+    r = pf.capped(rows, "total", 0.00002, ["period"]).agg(F.sum("weight"), F.max("weight"), F.min("weight")).first()
+    assert time.time() - began < 20
+    assert abs(r[0] - 0.5) < 1e-9 and r[1] == 0.00002 and 0 < r[2] < 0.00001
+
+
 def test_weights_and_turnover(spark):
     scores = spark.createDataFrame([(1, f"t{i}", float(v)) for i, v in enumerate([3, 2, 1, -1, -2, -4])], "period int, ticker string, score double")
     w = pf.heuristic_weights(scores)
