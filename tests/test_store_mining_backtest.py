@@ -483,3 +483,22 @@ def test_what_a_run_leaves(spark, tmp_path):
     assert json.loads(text("settings_json")) == {"api_token": "***", "model": "ridge"}
     assert json.loads(text("metrics_json"))["beta"] == figures["beta"]
     assert spark.read.option("header", True).csv(f"{where}/hedged").count() == 6
+
+
+def test_large_families_are_not_dealt_again(spark, tmp_path, monkeypatch):
+    """Families above ``LARGE`` values are written by the tasks that made them, and load the same."""
+    from datetime import datetime
+
+    from factorloom.sources import store as st
+
+    rows = [(datetime(2024, 1, 1 + d), f"t{t}", 1.0 + d, 3.0 + d + t, 0.5, 1.5 + d * t, 1.0 + t, 10.0 + d, 5.0) for d in range(9) for t in range(4)]
+    p = spark.createDataFrame(rows, "date timestamp, ticker string, open double, high double, low double, close double, vwap double, volume double, amount double")
+    found = []
+    for large in (1 << 40, 0):
+        monkeypatch.setattr(st, "LARGE", large)
+        s = st.Store(spark, f"file://{tmp_path}/{large}")
+        s.write_base(p, 4)
+        s.write_family("alpha158", dtype="double")
+        s.write_external("mine", p.select("date", "ticker", (p.close * 2).alias("mine_x")))
+        found.append(sorted(map(str, s.load().drop("chunk").collect())))
+    assert found[0] == found[1] and len(found[0]) == 36
