@@ -274,3 +274,35 @@ def test_external_factors_merge_into_a_panel(spark):
             merge_external(panel, factors, **{"prefix": "own_", **options})
     with pytest.raises(ValueError, match="panel lacks"):
         merge_external(panel.where("ticker = 'A'"), made, prefix="own_")
+
+
+def test_added_families_keep_repeated_rows(spark):
+    """Families of one pass go along with the rows; joined to them, rows of equal keys were multiplied."""
+    from datetime import datetime
+
+    from factorloom.factors import families as fam
+
+    rows = [(datetime(2024, 1, d), "a", 1.0 * d, 2.0, 0.5, 1.5 * d, 1.0, 10.0, f"x{d}") for d in (1, 2, 2)]
+    p = spark.createDataFrame(rows, "date timestamp, ticker string, open double, high double, low double, close double, vwap double, volume double, note string")
+    got = fam.add_families(p, ["alpha360", "Alpha-158"], dtype="double")
+    assert got.count() == 3 and {r["note"] for r in got.collect()} == {"x1", "x2"}
+    assert set(got.columns) == {*p.columns, *fam.expected_columns("alpha360"), *fam.expected_columns("alpha158")}
+
+
+def test_large_groups_leave_in_slices():
+    """A date of many rows is held as the arrays of its operators; before, all its columns were made at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from factorloom.expressions import Expr, field, one_pass
+
+    n = 50_000
+    formulas = {f"f{i}": Expr("rank", (field("x") * float(1 - 2 * (i % 2)),)) * (i + 1.0) for i in range(20)}
+    plan = {"group": "date", "extra": ["date"], "ready": [], "have": {field("x"): "_f0"}, "wanted": {}, "done": formulas, "kinds": dict.fromkeys(formulas, "double")}
+    x = np.random.default_rng(1).permutation(n).astype(float)
+    table = pa.table({"date": np.repeat([1, 2], [n - 10, 10]), "_f0": x})
+    out = list(one_pass(plan)(iter(table.to_batches(max_chunksize=10_000))))
+    assert max(b.num_rows for b in out) <= 8192 and sum(b.num_rows for b in out) == n
+    got = pa.Table.from_batches(out)
+    want = np.argsort(np.argsort(x[: n - 10])) + 1
+    assert np.allclose(got.column("f0").to_numpy()[: n - 10], want / (n - 10)) and np.allclose(got.column("f2").to_numpy()[n - 10 :], 3 * (np.argsort(np.argsort(x[n - 10 :])) + 1) / 10)
