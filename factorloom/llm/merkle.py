@@ -172,6 +172,7 @@ def proofs(table: DataFrame, heads: DataFrame, forest: Forest, height: int, step
     """Each row of ``table`` with ``subroot``, ``root``, ``proof_sha256``, ``folded_root`` and, for ``steps``, its siblings ``lefts`` and ``rights``.
 
     ``heads``: for every (tree, block) the siblings ``lefts`` and ``rights`` beyond the tree, and the root.  A task holds one block.
+    Every row's own leaf, or its tampered one, is folded with its siblings up to ``folded_root``; the root is never taken instead.
     """
     size = ARITY**height
     names = [c for c in table.columns if c not in ("idx", "n", "tree", "leaf", "bad")]
@@ -208,11 +209,9 @@ def proofs(table: DataFrame, heads: DataFrame, forest: Forest, height: int, step
                 for j in range(len(run)):
                     own = [(b"".join(run[:j]), b"".join(run[j + 1 :]))] if len(tiers) > 1 else []
                     out[0].append(hashlib.sha256(own[0][0] + own[0][1] + tail if own else tail).hexdigest())
-                    node, fold = bad[i + j], root
-                    if node is not None:
-                        fold = node
-                        for left, right in own + upper:
-                            fold = digest((left, fold, right))
+                    fold = run[j] if bad[i + j] is None else bad[i + j]
+                    for left, right in own + upper:
+                        fold = digest((left, fold, right))
                     out[1].append(fold.decode())
                     if steps:
                         out[2].append([x.decode() for x, _ in own + upper])

@@ -119,3 +119,17 @@ def test_fragments_merge_in_any_order(sizes, draw):
 def test_sizes_around_powers_of_three(spark):
     rows = [(i, f"{i}\n", "en", f"s{n}", i) for n in (1, 2, 3, 4, 9, 10, 81, 82, 244) for i in range(n)]
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_clean_rows_are_folded_too(spark):
+    """What a row's leaf and siblings lead to is computed for rows that nobody tampered with as well, not taken from the root that is given."""
+    sizes = (1, 2, 82, 244)
+    leaves = {t: [h(f"{t}:{i}") for i in range(n)] for t, n in enumerate(sizes)}
+    rows = [(t, i, bytearray.fromhex(x), None) for t, xs in leaves.items() for i, x in enumerate(xs)]
+
+    def finish(table, tops, forest, roots, height):
+        none = F.array().cast("array<string>")
+        return merkle.proofs(table, tops.select("tree", "block", none.alias("lefts"), none.alias("rights"), F.lit("0" * 64).alias("root")), forest, height, False)
+
+    got = merkle.climbed(spark.createDataFrame(rows, "tree int, name long, leaf binary, bad binary"), ["name"], finish).collect()
+    assert len(got) == sum(sizes) and all(r["root"] == "0" * 64 and r["folded_root"] == tree(leaves[r["tree"]])[0] for r in got)
