@@ -1,5 +1,7 @@
 """Families: column contracts, values against a separate evaluation in pandas, plans of few shuffles."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -306,3 +308,18 @@ def test_large_groups_leave_in_slices():
     got = pa.Table.from_batches(out)
     want = np.argsort(np.argsort(x[: n - 10])) + 1
     assert np.allclose(got.column("f0").to_numpy()[: n - 10], want / (n - 10)) and np.allclose(got.column("f2").to_numpy()[n - 10 :], 3 * (np.argsort(np.argsort(x[n - 10 :])) + 1) / 10)
+
+
+def test_order_of_trades_does_not_matter(spark):
+    """Two tickers with the same trades in other orders have the same amount and vwap to the last bit, as ranks would tell them apart; gaps and infinities stay."""
+    from factorloom.panel import bars as made
+
+    values = [1.1, 2.2, 3.3, 97_000.07, 1e9 + 0.01, 12.34, 5e-3, 7e10]
+    odd = {9: [None, None], 10: [float("inf"), 1.0], 11: [float("nan"), 1.0], 12: [None, 2.5]}
+    sets = {k: random.Random(k).sample(values[:-1], 7) for k in range(8)} | {8: [values[-1], 0.5]} | odd
+    rows = spark.createDataFrame([(k, i, 2.0, v) for k, vs in sets.items() for i, v in enumerate(vs)], "k int, i int, q double, v double").coalesce(1)
+    c = F.col
+    got = {r["ticker"]: r for r in made(rows, F.lit(datetime(2024, 1, 1)), c("k"), c("i"), c("q"), c("q"), c("v")).collect()}
+    assert len({(got[k]["amount"], got[k]["vwap"]) for k in range(8)}) == 1
+    assert got[0]["amount"] == math.fsum(values[:-1]) and got[8]["amount"] == 7e10 + 0.5
+    assert got[9]["amount"] is None and got[10]["amount"] == math.inf and math.isnan(got[11]["amount"]) and got[12]["amount"] == 2.5
