@@ -5,17 +5,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import saved, slices, words
 
+if TYPE_CHECKING:  # every Python worker imports this module, and keeps what that loads: pyspark.ml brings pandas, and only the driver needs either
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+#: Bytes of text that a task turns into Python objects at a time.
+SLICE = 4 << 20
 #: Insults known without any label.
 SEED = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown fool liar coward vermin filth shut hate kill die".split())
 #: Words that speak to the reader, in the languages of the corpus.
@@ -35,7 +39,7 @@ def normal(word: str) -> str:
 class Kinds(dict):
     """Bit flags by word: 1 seed lexicon, 2 learned lexicon, 4 second person, 8 all capitals, 16 obfuscated."""
 
-    def __init__(self, learned: dict[str, float], most: int = 500_000):
+    def __init__(self, learned: dict[str, float], most: int = 100_000):
         super().__init__()
         self.learned, self.most = learned, most
 
@@ -82,7 +86,7 @@ def with_features(docs: DataFrame, learned: dict[str, float], keep: list[str], t
     def run(batches):
         kinds = Kinds(learned)
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 found = np.array([features(t, kinds) for t in batch.column(text_col).to_pylist()]).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(NAMES)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, "features"])
@@ -90,16 +94,25 @@ def with_features(docs: DataFrame, learned: dict[str, float], keep: list[str], t
     return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, f"{schema}, features array<double>")
 
 
-def learned_lexicon(labelled: DataFrame, most: int, least_docs: int = 5) -> dict[str, float]:
-    """The ``most`` words that tell toxic documents from others best: log ratio of document rates, significant at 5 sigma."""
+def learned_lexicon(labelled: DataFrame, most: int, least_docs: int = 5, held: int = 50_000) -> dict[str, float]:
+    """The ``most`` words that tell toxic documents from others best: log ratio of document rates, significant at 5 sigma.
+
+    A task hands its counts on once it holds ``held`` of them, a document's words more at most.
+    """
+
+    def rows(got):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([int(k[1]) for k in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["word", "label", "n"])
 
     def count(batches):
         got = Counter()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                     got.update((w, label) for w in {normal(x) for x in (text or "").split()} if w)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([int(k[1]) for k in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["word", "label", "n"])
+                    if len(got) >= held:
+                        yield rows(got)
+                        got = Counter()
+        yield rows(got)
 
     per = labelled.select("text", "label").mapInArrow(count, "word string, label int, n long")
     total = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
@@ -128,6 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column, id_col: str = "
     lacks a kind, all rows fit all three.
     Without labels of both kinds there is no model.
     """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     drawn = labels.where(usable).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     drawn = drawn.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -156,6 +173,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Null and empty texts score as texts without any feature.  Null ids stay null, repeated rows are scored each, other columns
     are ignored.  Where labels are of one kind, or there are none, their rate is given to all.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     if model.trees is None:
         return docs.select(F.col(f"`{id_col}`"), F.lit(float(model.rate)).alias("score"))
     rows = with_features(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), model.learned, [id_col], text_col)
@@ -177,11 +196,16 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score below the threshold, all columns as they are; nothing is joined or shuffled.
 
-    Without a model nothing tells documents apart, and all stay.
+    Without a model nothing tells documents apart, and all stay.  Columns go through Python once each, the text too, by place,
+    so that no name clashes with those that the model adds.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     if model.trees is None:
         return docs
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    rows = with_features(whole, model.learned, ["row"]).select("row", array_to_vector("features").alias("features"))
-    raw = model.trees.transform(rows).select("row", vector_to_array("probability")[1].alias("raw"))
-    return model.steps.transform(raw).where(F.col("score") < threshold).select("row.*")
+    names = docs.columns
+    text = names.index(text_col) if text_col in names else [c.lower() for c in names].index(text_col.lower())
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = with_features(plain, model.learned, plain.columns, f"c{text}").select(*plain.columns, array_to_vector("features").alias("features"))
+    raw = model.trees.transform(rows).select(*plain.columns, vector_to_array("probability")[1].alias("raw"))
+    return model.steps.transform(raw).where(F.col("score") < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

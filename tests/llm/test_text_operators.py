@@ -423,6 +423,34 @@ def test_toxicity_of_few_labels(spark):
     assert without_toxic(docs, train(docs, labels.where("toxic = 1"), usable=~is_held_out())).count() == 120
 
 
+def test_toxicity_in_a_small_worker(spark, monkeypatch):
+    """What a Python worker imports and holds: no pandas, each text once, counts in parts that give the same lexicon."""
+    import subprocess
+    import sys
+
+    from factorloom.llm import toxicity as t
+
+    loaded = subprocess.run([sys.executable, "-c", "import sys, factorloom.llm.toxicity; print(*sys.modules)"], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(x for x in sys.path if x)}).stdout.split()
+    assert "factorloom.llm.toxicity" in loaded and not {"pandas", "pyspark.ml"} & set(loaded)
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + (" you grobnik idiot" if i % 4 == 0 else ""), "en", "s", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labelled = spark.createDataFrame([(r[1], int(r[0] % 4 == 0)) for r in rows], "text string, label int")
+    whole = t.learned_lexicon(labelled, 150)
+    assert {"grobnik", "idiot"} <= set(whole) and t.learned_lexicon(labelled, 150, held=20) == whole
+
+    model, given = t.train(docs, spark.createDataFrame([(r[0], int(r[0] % 4 == 0)) for r in rows], "doc_id long, toxic int"), usable=F.lit(True)), []
+    plain = t.with_features
+    monkeypatch.setattr(t, "with_features", lambda d, learned, keep, text_col="text": given.append(d.select(*dict.fromkeys([*keep, text_col]))) or plain(d, learned, keep, text_col))
+    upper = t.without_toxic(docs.withColumnRenamed("text", "Text"), model)
+    assert upper.columns == ["doc_id", "Text", *docs.columns[2:]]
+    kept = t.without_toxic(docs, model)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, upper.collect())) == [r for r in rows if r[0] % 4]
+    for sent in given:
+        assert all(str(r).count(rows[r[0]][1]) == 1 for r in sent.collect())
+
+
 def test_jaccard_of_repeated_and_null_ids(spark):
     from factorloom.llm.jaccard import jaccard_components, one_of_each
 
