@@ -171,25 +171,38 @@ def add_family(panel: DataFrame, family: str, dtype: str = "float") -> DataFrame
 
 
 def add_families(panel: DataFrame, families: Iterable[str], dtype: str = "float") -> DataFrame:
-    """The panel with the columns of families, each made from the panel alone. Those of one pass go along with the rows, others are joined to them."""
+    """The panel with the columns of families, each made from the panel alone; both classic families are one chain of passes.
+
+    The panel's columns go along with the rows. Only where they are so many that taking them through all passes moves more, the classic families are joined to them.
+    """
     names = list(dict.fromkeys(map(normal_family, families)))
     every = {f: formulas(f) for f in names}
     out = panel.drop(*[c for e in every.values() for c in e])
-    for f in names:
-        if f in ("alpha101", "alpha191"):
-            out = out.join(classic_factors(panel, [f], dtype=dtype), KEYS, "left")
+    if classic := [f for f in names if f in ("alpha101", "alpha191")]:
+        chosen = {k: e for f in classic for k, e in every[f].items()}
+        if (len(out.columns) - len(KEYS)) * len(set(stages(chosen).values())) <= len(out.columns) + len(chosen):
+            volume = picked(out, "volume")
+            read = {f: picked(out, "amount" if f == "turnover" else f) for f in ("open", "high", "low", "close", "vwap", "turnover", "turnover_rate")}
+            out = _along(out, chosen, read | {"volume": F.when(volume == 0, 1.0).otherwise(volume)}, dtype)
+        else:
+            out = out.join(classic_factors(panel, classic, dtype=dtype), KEYS, "left")
     for f in names:
         if f in ("alpha158", "alpha360"):
             require(out, BARS)
-            own = [*KEYS, *[c for c in out.columns if c not in KEYS]]
             read = {b: picked(out, b) for b in BARS}
             if f == "alpha158":
                 read["amount"] = picked(out, "amount") if "amount" in out.columns else read["close"] * read["volume"]
-            rows = out.select(*[F.col(f"`{c}`") for c in own], *[x.alias(f"_in_{n}") for n, x in read.items()])
-            out = with_factors(rows, renamed(every[f], {n: f"_in_{n}" for n in read}), own, dtype)
+            out = _along(out, every[f], read, dtype)
     return out
 
 
+def _along(panel: DataFrame, chosen: dict[str, Expr], read: dict[str, Column], dtype: str) -> DataFrame:
+    """The panel's columns and the formulas over ``read``, which go with the rows through the passes."""
+    own = [*KEYS, *[c for c in panel.columns if c not in KEYS]]
+    rows = panel.select(*[F.col(f"`{c}`") for c in own], *[x.alias(f"_in_{n}") for n, x in read.items()])
+    return with_factors(rows, renamed(chosen, {n: f"_in_{n}" for n in read}), own, dtype)
+
+
 def catalogue() -> list[dict]:
     return [{"family": f, "columns": n, "prefix": f"{f}_"} for f, n in FAMILIES.items()]
 

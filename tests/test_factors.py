@@ -359,3 +359,24 @@ def test_deep_formulas_by_themselves_and_together(spark, bars):
     every = rows(None)
     for n in names:
         pd.testing.assert_series_equal(rows([n])[n], every[n])
+
+
+def test_classic_families_go_along_with_a_panel(spark, bars):
+    """No join, so that neither side is dealt again and repeated rows stay as many; a panel of many columns is joined, with the same values."""
+    from pyspark.sql.functions import col
+
+    from factorloom.factors.families import add_families
+
+    table, _ = bars
+    adjusted = table.withColumns({"close_adj": col("close") * 1.5, "note": F.concat("ticker", F.lit("x"))})
+    both = add_families(adjusted, ["alpha101", "Alpha-191"], dtype="double")
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+    names = ["alpha101_012", "alpha101_053", "alpha101_071", "alpha191_014", "alpha191_100"]
+    assert both.columns == ["date", "ticker", *[c for c in adjusted.columns if c not in ("date", "ticker")], *expected_columns("alpha101"), *expected_columns("alpha191")]
+    wide = add_families(adjusted.withColumns({f"more_{i}": F.lit(1.0) for i in range(90)}), ["alpha101", "alpha191"], dtype="double")
+    assert "Join" in wide._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: df.orderBy("ticker", "date").select("date", "ticker", *names).toPandas()
+    want = rows(classic_factors(adjusted, ["alpha101", "alpha191"], dtype="double"))
+    pd.testing.assert_frame_equal(rows(both), want)
+    pd.testing.assert_frame_equal(rows(wide), want)
+    assert add_families(table.union(table.where("ticker = 'A'")), ["alpha101"]).count() == table.count() + 70
