@@ -502,3 +502,21 @@ def test_large_families_are_not_dealt_again(spark, tmp_path, monkeypatch):
         s.write_external("mine", p.select("date", "ticker", (p.close * 2).alias("mine_x")))
         found.append(sorted(map(str, s.load().drop("chunk").collect())))
     assert found[0] == found[1] and len(found[0]) == 36
+
+
+def test_stores_leave_no_shuffle_files(spark, long_bars):
+    """What a step of a store has shuffled goes when it is done, not when the session ends."""
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {int(f.split("/shuffle_")[1].split("_")[0]) for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+    s = Store(spark, shared(spark, "swept"))
+    s.write_base(long_bars, 50)
+    s.write_family("alpha101")
+    made = spark.sparkContext._jsc.sc().newShuffleId() - first
+    for _ in range(100):
+        if len(left := {i for i in there() if i > first}) <= made // 4:  # the JVM may hold on to the last query
+            break
+        time.sleep(0.1)
+    assert made > 12 and len(left) <= made // 4, (made, left)
