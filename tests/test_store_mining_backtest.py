@@ -504,6 +504,22 @@ def test_large_families_are_not_dealt_again(spark, tmp_path, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 36
 
 
+def test_a_wide_panel_is_not_written_beside_the_store(spark, long_bars, monkeypatch):
+    """Base and families are written from the panel itself; before, all its columns were written once more."""
+    from factorloom.factors.families import add_family
+    from factorloom.sources import store as st
+
+    written, real = [], st.settled
+    monkeypatch.setattr(st, "settled", lambda df: (written.append(df.columns), real(df))[1])
+    s = Store(spark, shared(spark, "wide"))
+    wide = add_family(long_bars, "alpha360", dtype="double")
+    s.write_panel(wide, 50, dtype="double")
+    assert written and not [c for columns in written for c in columns if c.startswith("alpha360_")]
+    assert rows_of(s.load()) == rows_of(wide.select(s.load().columns))
+    with pytest.raises(ValueError, match="aren't the base's"):  # as many keys of each chunk, but one is another's
+        s.write_family("mine", lambda b: b.select("date", F.when((F.col("ticker") == "A") & (F.dayofyear("date") == 9), F.lit("Z")).otherwise(F.col("ticker")).alias("ticker"), F.lit(1.0).alias("mine_x")))
+
+
 def test_stores_leave_no_shuffle_files(spark, long_bars):
     """What a step of a store has shuffled goes when it is done, not when the session ends."""
     import time
