@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from factorloom.sources.store import Store
+from factorloom.sources.tables import settled
 
 
 def opened(path: str):
@@ -177,19 +178,25 @@ class TarStore(Store):
         return rows if wanted else rows.where(F.lit(False))
 
 
-def pack(store: Store, folder: str, *, archive_bytes: int = 256 << 20) -> list[str]:
+#: In how many parts a store is moved: beside it there is one of them at a time.
+PARTS = 16
+
+
+def pack(store: Store, folder: str, *, archive_bytes: int = 256 << 20, move: bool = False) -> list[str]:
     """Copies what the newest manifest of a store names into tar archives below ``folder``, each made by one task from its files in turn; returns them.
 
-    An archive's name is new at each attempt and only those of attempts that succeed are returned.
+    An archive's name is new at each attempt and only those of attempts that succeed are returned. With ``move`` the archives take the store's place, so that there is no room
+    needed for both: files go as soon as a part's archives are complete, and the manifest with the last; a run that dies on the way leaves each file in the store or in an archive.
     """
     spark, note = store.spark, store.manifest()
     places = [f"base/w={v['at']}/chunk={k}" for k, v in note["base"]["chunks"].items()] + [f"counts/w={v['at']}/chunk={k}" for k, v in note["base"]["chunks"].items()]
     for f, e in note["families"].items():
         places += [f"factors/{f}/w={at}/chunk={k}" for k, at in e["at"].items()] + [f"state/{f}/w={v['at']}/chunk={k}" for k, v in e.get("state", {}).items()]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{store.root}/{p}" for p in places]).select("path", "length")
+    files = settled(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{store.root}/{p}" for p in places]).select("path", "length"))
     total = files.agg(F.sum("length")).first()[0] or 0
     number = max(1, -(-total // archive_bytes))
-    dealt = files.withColumn("archive", F.pmod(F.xxhash64("path"), F.lit(number))).repartition(number, "archive").sortWithinPartitions("archive", "path")
+    parts = min(PARTS, number) if move else 1
+    rows = files.withColumn("archive", F.pmod(F.xxhash64("path"), F.lit(number)))
     root, text = store.root, json.dumps(note, sort_keys=True).encode()
 
     def write(batches):
@@ -207,7 +214,21 @@ def pack(store: Store, folder: str, *, archive_bytes: int = 256 << 20) -> list[s
                     tar.addfile(entry, file)
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"])], names=["archive"])
 
-    made = [r[0] for r in dealt.mapInArrow(write, "archive string").collect()]
+    def remove(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, where = pafs.FileSystem.from_uri(path)
+                if fs.get_file_info(where).type != pafs.FileType.NotFound:  # another attempt of this task may have been here
+                    fs.delete_file(where)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
+
+    made = []
+    for i in range(parts):
+        part = rows.where(F.col("archive") % parts == i)
+        dealt = part.repartition(max(1, number // parts), "archive").sortWithinPartitions("archive", "path")
+        made += [r[0] for r in dealt.mapInArrow(write, "archive string").collect()]
+        if move:
+            part.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     last = f"{folder}/{uuid.uuid4().hex}.tar"
@@ -215,4 +236,8 @@ def pack(store: Store, folder: str, *, archive_bytes: int = 256 << 20) -> list[s
         entry = tarfile.TarInfo(f"manifest/{note['number']:08d}.json")
         entry.size = len(text)
         tar.addfile(entry, io.BytesIO(text))
+    if move:
+        for p in [*places, "manifest"]:  # what is left of folders: checksums
+            files, where = store._files(f"{store.root}/{p}")
+            files.delete(where, True)
     return [*made, last]

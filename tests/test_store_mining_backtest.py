@@ -1,5 +1,6 @@
 """Stores, streams, mining and walk-forward runs over small panels."""
 
+import os
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -504,6 +505,33 @@ def test_large_families_are_not_dealt_again(spark, tmp_path, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 36
 
 
+def test_a_store_moves_into_archives(spark, long_bars, monkeypatch):
+    """The archives take the store's place part by part, so there needn't be room for both; a copy leaves the store as it is."""
+    from factorloom.sources import tar
+
+    monkeypatch.setattr(tar, "PARTS", 4)
+    root = shared(spark, "store")
+    store, local = Store(spark, root), root.removeprefix("file://")
+    store.write_base(long_bars.where("ticker in ('A', 'B')"), 50)
+    store.write_family("alpha158")
+    want = rows_of(store.load())
+    sizes = lambda where: sum(os.path.getsize(f"{r}/{f}") for r, _, fs in os.walk(where) for f in fs if f.endswith((".parquet", ".tar")))
+    whole = sizes(local)
+    assert rows_of(tar.TarStore(spark, tar.pack(store, f"{root}-copy", archive_bytes=100 << 10)).load()) == want and sizes(local) == whole
+    frame = type(long_bars)
+    both, noted = [], frame.mapInArrow
+
+    def watched(self, *args, **options):
+        both.append(sizes(local) + sizes(f"{local}-moved"))
+        return noted(self, *args, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    moved = tar.pack(store, f"{root}-moved", archive_bytes=100 << 10, move=True)
+    monkeypatch.undo()
+    assert len(both) == 8 and max(both) < 1.75 * whole and sizes(local) == 0
+    assert rows_of(tar.TarStore(spark, moved).load()) == want and store.manifest()["number"] == 0
+
+
 def test_a_wide_panel_is_not_written_beside_the_store(spark, long_bars, monkeypatch):
     """Base and families are written from the panel itself; before, all its columns were written once more."""
     from factorloom.factors.families import add_family
